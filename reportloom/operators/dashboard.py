@@ -93,7 +93,7 @@ def theme_confidence(annotations: DataFrame, n: int = 10) -> DataFrame:
 def theme_confidence_crosstab(annotations: DataFrame, n: int = 10) -> DataFrame:
     wide = (
         _known(annotations, "theme", "confidence").groupBy("theme")
-        .pivot("confidence", ["High", "Medium", "Low"]).agg(F.count("*"))
+        .pivot("confidence", ["High", "Medium", "Low"]).agg(F.count("theme"))
         .na.fill(0)
     )
     total = F.col("High") + F.col("Medium") + F.col("Low")

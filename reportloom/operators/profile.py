@@ -147,12 +147,17 @@ def top_areas(df: DataFrame, n: int = 20) -> DataFrame:
     return top_n(counts, n, "n", "coroner_area")
 
 
+def _per_period(df: DataFrame, period: Column) -> DataFrame:
+    """Rows per period. Undated rows leave after the count, so a date that is
+    itself an extraction is computed once per row."""
+    counts = df.groupBy(period).agg(F.count("*").alias("n"))
+    return counts.filter(F.col(counts.columns[0]).isNotNull())
+
+
 def monthly_timeline(df: DataFrame) -> DataFrame:
     """Reports per month; months without reports count 0."""
     month = F.trunc("date_of_report", "MM").cast("date")
-    counts = df.filter(F.col("date_of_report").isNotNull()).groupBy(month.alias("month")).agg(
-        F.count("*").alias("n")
-    )
+    counts = _per_period(df, month.alias("month"))
     spine = counts.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).select(
         F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month")
     )
@@ -163,19 +168,12 @@ def monthly_timeline(df: DataFrame) -> DataFrame:
 
 def month_label_counts(df: DataFrame) -> DataFrame:
     """Counts per "March 2020" label, with the month for sorting."""
-    return (
-        df.filter(F.col("date_of_report").isNotNull())
-        .groupBy(F.trunc("date_of_report", "MM").cast("date").alias("month"))
-        .agg(F.count("*").alias("n"))
-        .select("month", F.date_format("month", "MMMM yyyy").alias("month_year"), "n")
-    )
+    counts = _per_period(df, F.trunc("date_of_report", "MM").cast("date").alias("month"))
+    return counts.select("month", F.date_format("month", "MMMM yyyy").alias("month_year"), "n")
 
 
 def year_counts(df: DataFrame) -> DataFrame:
-    return (
-        df.filter(F.col("date_of_report").isNotNull())
-        .groupBy(F.year("date_of_report").alias("year")).agg(F.count("*").alias("n"))
-    )
+    return _per_period(df, F.year("date_of_report").alias("year"))
 
 
 def seasonality(df: DataFrame) -> DataFrame:

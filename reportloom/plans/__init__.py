@@ -7,6 +7,7 @@ from reportloom.plans.registry import QUERIES, SQL
 MODULES = [
     "text_queries",
     "corpus_queries",
+    "dashboard_queries",
 ]
 
 

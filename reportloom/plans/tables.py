@@ -54,7 +54,7 @@ def _by_value(column: str, values: dict[str, str]) -> Column:
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with the values its report will state."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
