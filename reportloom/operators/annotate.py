@@ -56,7 +56,7 @@ def sentence_matches(sentences: DataFrame, frameworks: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"{WORD}+"), 0))
     probe = sentences.select("*", F.explode(words).alias("_first"))
     found = probe.join(dim, "_first").filter(
-        (F.col("_kw") == F.col("_first")) | F.lower("sentence").rlike(F.col("_pattern"))
+        (F.col("_kw") == F.col("_first")) | F.rlike(F.lower("sentence"), F.col("_pattern"))
     )
     return found.drop("_first", "_kw", "_pattern")
 

@@ -8,6 +8,7 @@ MODULES = [
     "text_queries",
     "corpus_queries",
     "dashboard_queries",
+    "annotation_queries",
 ]
 
 
