@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reportloom.functions.helpers import WORD, word_count
 from reportloom.functions.text import confidence_label, lemma, split_sentences
 from reportloom.operators.dashboard import NO_THEME
-from reportloom.operators.small import as_array, top_n_per_group, with_each
+from reportloom.operators.small import as_array, bounded, top_n_per_group, with_each
 
 THEME = ["framework", "theme_idx", "theme"]
 METADATA = ["title", "coroner_name", "coroner_area", "year", "date_of_report"]
@@ -55,7 +55,7 @@ def sentence_matches(sentences: DataFrame, frameworks: DataFrame) -> DataFrame:
     lower = F.lower("sentence")
     words = F.array_distinct(F.regexp_extract_all(lower, F.lit(f"{WORD}+"), 0))
     probe = sentences.select("*", F.explode(words).alias("_first"))
-    found = probe.join(dim, "_first").filter(
+    found = probe.join(bounded(dim), "_first").filter(
         (F.col("_kw") == F.col("_first")) | F.rlike(F.lower("sentence"), F.col("_pattern"))
     )
     return found.drop("_first", "_kw", "_pattern")
@@ -122,7 +122,7 @@ def semantic_similarity(
     context_vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Max of document·theme and context·theme cosine, for the given pairs only."""
-    themes = theme_vectors.select("framework", "theme", "theme_vector")
+    themes = bounded(theme_vectors.select("framework", "theme", "theme_vector"))
     scored = (
         pairs.join(doc_vectors, "record_id", "left").join(themes, ["framework", "theme"], "left")
         .withColumn("semantic_similarity", cosine(F.col("vector"), F.col("theme_vector")))

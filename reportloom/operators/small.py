@@ -23,6 +23,16 @@ def as_array(dim: DataFrame, *columns: str, max_rows: int = MAX_DIMENSION_ROWS)
     ).scalar()
 
 
+def bounded(dim: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
+    """A small dimension marked for broadcast; the bound is enforced at run time."""
+    packed = dim.agg(
+        F.count("*").alias("n"), F.collect_list(F.struct(*dim.columns)).alias("rows")
+    )
+    too_many = F.raise_error(F.lit(f"dimension exceeds {max_rows} rows"))
+    checked = F.when(F.col("n") <= max_rows, F.col("rows")).otherwise(too_many)
+    return F.broadcast(packed.select(F.inline(checked)))
+
+
 def with_each(df: DataFrame, dim: DataFrame, *columns: str, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
     """Every row of ``df`` with every row of a small dimension (zero-filled grids)."""
     staged = df.withColumn("_dim", as_array(dim, *columns, max_rows=max_rows))

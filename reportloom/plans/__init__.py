@@ -9,6 +9,8 @@ MODULES = [
     "corpus_queries",
     "dashboard_queries",
     "annotation_queries",
+    "model_queries",
+    "stream_queries",
 ]
 
 

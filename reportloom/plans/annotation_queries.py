@@ -146,10 +146,11 @@ def _(spark, d):
 
 
 @query("n8_placeholders", f"""
-    {_SCORES}, f AS (SELECT DISTINCT framework FROM fw)
-    SELECT record_id, framework, theme, combined_score FROM kept
+    {_SCORES}, k AS MATERIALIZED (SELECT record_id, framework, theme, combined_score FROM kept),
+    f AS (SELECT DISTINCT framework FROM fw)
+    SELECT * FROM k
     UNION ALL SELECT doc_id, f.framework, 'No Themes Detected', 0.0 FROM documents CROSS JOIN f
-    WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.record_id = doc_id AND k.framework = f.framework)
+    LEFT JOIN k ON k.record_id = doc_id AND k.framework = f.framework WHERE k.record_id IS NULL
 """)
 def _(spark, d):
     found = _scored(spark, d).select("record_id", "framework", "theme", "combined_score")
