@@ -121,7 +121,11 @@ def semantic_similarity(
     theme_vectors: DataFrame,
     context_vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Max of document·theme and context·theme cosine, for the given pairs only."""
+    """Max of document·theme and context·theme cosine, for the given pairs only.
+
+    ``context_vectors`` holds ``(record_id, keyword, vector)``; a theme uses those
+    of its own matched keywords.
+    """
     themes = bounded(theme_vectors.select("framework", "theme", "theme_vector"))
     scored = (
         pairs.join(doc_vectors, "record_id", "left").join(themes, ["framework", "theme"], "left")
@@ -131,7 +135,9 @@ def semantic_similarity(
     if context_vectors is None:
         return scored
     contexts = (
-        context_vectors.join(themes, ["framework", "theme"])
+        pairs.select("record_id", "framework", "theme", F.explode("keyword_list").alias("keyword"))
+        .join(context_vectors.select("record_id", "keyword", "vector"), ["record_id", "keyword"])
+        .join(themes, ["framework", "theme"])
         .groupBy("record_id", "framework", "theme")
         .agg(F.max(cosine(F.col("vector"), F.col("theme_vector"))).alias("_context"))
     )

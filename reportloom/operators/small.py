@@ -24,13 +24,12 @@ def as_array(dim: DataFrame, *columns: str, max_rows: int = MAX_DIMENSION_ROWS)
 
 
 def bounded(dim: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """A small dimension marked for broadcast; the bound is enforced at run time."""
-    packed = dim.agg(
-        F.count("*").alias("n"), F.collect_list(F.struct(*dim.columns)).alias("rows")
-    )
-    too_many = F.raise_error(F.lit(f"dimension exceeds {max_rows} rows"))
-    checked = F.when(F.col("n") <= max_rows, F.col("rows")).otherwise(too_many)
-    return F.broadcast(packed.select(F.inline(checked)))
+    """A dimension for a join: broadcast if it is small, else left to the planner.
+
+    The size is counted first (at most ``max_rows + 1`` rows are looked at). A
+    larger table joins by shuffle, where adaptive execution splits hot keys.
+    """
+    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
 
 
 def with_each(df: DataFrame, dim: DataFrame, *columns: str, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:

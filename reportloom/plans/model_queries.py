@@ -179,9 +179,9 @@ _TERMS = f"""{_CLUSTER}, sc AS (SELECT cluster, term, round(centroid * (docs::DO
     terms AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term)::INT AS rank FROM sc QUALIFY rank <= 20)"""
 
 
-@query("x9_cluster_terms", f"WITH {_TERMS} SELECT cluster, term, round(score, 4) AS score, cluster_frequency, total_frequency, rank FROM terms")
+@query("x9_cluster_terms", f"WITH {_TERMS} SELECT * FROM terms")
 def _(spark, d):
-    return _rounded(K.cluster_terms(_weights(spark, d), _labels(spark, d)), "score")
+    return K.cluster_terms(_weights(spark, d), _labels(spark, d))
 
 
 @query("x10_representative_documents", f"""
