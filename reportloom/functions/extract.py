@@ -34,7 +34,7 @@ def _date(value: Column, *formats: str) -> Column:
 def _written_date(value: Column) -> Column:
     text = F.regexp_replace(value, r"(?<=\d)(?:st|nd|rd|th)", "")
     text = collapse_spaces(F.replace(text, F.lit("day of "), F.lit("")))
-    return _date(text, "d MMMM yyyy", "d MMM yyyy")
+    return let(text, lambda t: _date(t, "d MMMM yyyy", "d MMM yyyy"))
 
 
 def extract_date(content: ColumnOrName) -> Column:
@@ -90,7 +90,7 @@ def split_categories(
         return F.regexp_replace(item, "[|,;]", "")
 
     items = F.filter(F.transform(F.split(as_col(text), r"\|"), tidy), lambda i: ~blank(i))
-    matched = F.transform(items, lambda i: match_category(i, standards, key=F.lower))
+    matched = F.transform(items, lambda i: match_category(i, standards, normalise=False))
 
     def first_wins(names: Column) -> Column:
         lowered = F.transform(names, F.lower)
@@ -129,9 +129,7 @@ def extract_concerns(
     raw = F.coalesce(as_col(content), F.lit(""))
     text = collapse_spaces(raw) if mode == "section" else raw
 
-    def section(body: Column) -> Column:
-        lower = F.lower(body)
-
+    def section(body: Column, lower: Column) -> Column:
         def after(heading: str) -> Column:
             at = F.instr(lower, heading.lower())
             return F.when(at > 0, at + len(heading))
@@ -150,7 +148,7 @@ def extract_concerns(
 
         return F.coalesce(let(start, lambda s: F.when(s.isNotNull(), cut(s))), F.lit(""))
 
-    return let(text, section)
+    return let(text, lambda body: let(F.lower(body), lambda lower: section(body, lower)))
 
 
 def extract_concerns_window(content: ColumnOrName, window: int = 2000) -> Column:

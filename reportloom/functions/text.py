@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -133,18 +134,30 @@ def clean_categories(value: ColumnOrName, is_array: bool = True) -> Column:
 
 def normalize_category(value: ColumnOrName) -> Column:
     text = collapse_spaces(F.lower(F.coalesce(as_col(value), F.lit(""))))
-    text = F.regexp_replace(text, "[,;|\u2022\u00b7\u22c5\u2023\u2043\u25aa\u25ab\u2013\u2014-]", " ")
+    text = F.regexp_replace(text, CATEGORY_SEPARATORS, " ")
     return collapse_spaces(text)
 
 
+# Separators that normalising a category turns into blanks.
+CATEGORY_SEPARATORS = "[,;|\u2022\u00b7\u22c5\u2023\u2043\u25aa\u25ab\u2013\u2014-]"
+
+
+def _standard_key(name: str) -> str:
+    return " ".join(re.sub(CATEGORY_SEPARATORS, " ", name.lower()).split())
+
+
 def match_category(
-    value: ColumnOrName,
-    standards: Sequence[str] = STANDARD_CATEGORIES,
-    key=normalize_category,
+    value: ColumnOrName, standards: Sequence[str] = STANDARD_CATEGORIES, normalise: bool = True
 ) -> Column:
-    """Standard name: exact match, else first containment, else unchanged."""
-    names = literal_array(standards)
-    candidates = F.transform(names, lambda s: F.struct(s.alias("name"), key(s).alias("key")))
+    """Standard name: exact match, else first containment, else unchanged.
+
+    The keys of the standard names are constants; per row only the value's own
+    key is computed. ``normalise=False`` compares in lower case only.
+    """
+    keys = [_standard_key(s) if normalise else s.lower() for s in standards]
+    candidates = F.array(*[
+        F.struct(F.lit(s).alias("name"), F.lit(k).alias("key")) for s, k in zip(standards, keys)
+    ])
 
     def pick(needle: Column) -> Column:
         exact = F.filter(candidates, lambda c: c["key"] == needle)
@@ -156,7 +169,8 @@ def match_category(
             F.get(exact, F.lit(0))["name"], F.get(part, F.lit(0))["name"], as_col(value)
         )
 
-    return F.when(as_col(value) != "", let(key(value), pick))
+    own = normalize_category(value) if normalise else F.lower(as_col(value))
+    return F.when(as_col(value) != "", let(own, pick))
 
 
 def clean_text_basic(value: ColumnOrName) -> Column:

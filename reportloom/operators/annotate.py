@@ -8,6 +8,7 @@ from reportloom.functions.helpers import WORD, word_count
 from reportloom.functions.text import confidence_label, lemma, split_sentences
 from reportloom.operators.dashboard import NO_THEME
 from reportloom.operators.small import as_array, bounded, top_n_per_group, with_each
+from reportloom.session import materialize
 
 THEME = ["framework", "theme_idx", "theme"]
 METADATA = ["title", "coroner_name", "coroner_area", "year", "date_of_report"]
@@ -228,7 +229,8 @@ def annotate(
 ) -> DataFrame:
     """The annotation table of a report table."""
     sentences = split_sentences(reports, text)
-    spans = keyword_spans(sentences, frameworks)
+    # Few sentences match; their table is read by every later step.
+    spans = materialize(keyword_spans(sentences, frameworks), "spans")
     scored = score_themes(
         reports, spans, doc_vectors, theme_vectors, threshold, text, context_vectors
     )

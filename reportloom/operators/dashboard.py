@@ -184,14 +184,19 @@ def theme_correlation(annotations: DataFrame, n: int = 10) -> DataFrame:
     NULL where a theme is in every report or in none.
     """
     themes = top_themes(annotations, n, "theme_rank").select("theme", "theme_rank")
-    sets = theme_set_counts(annotations, themes)
-    reports = sets.select(F.sum("reports")).scalar()
-    cells = (
-        _theme_grid(themes).join(theme_pairs(sets), ["theme_a", "theme_b"], "left")
-        .na.fill(0, ["n"]).withColumn("reports", reports.cast("double"))
+    # At most 2^n combinations and n^2 cells reach the unpartitioned windows.
+    everything = Window.partitionBy()
+    sets = theme_set_counts(annotations, themes).withColumn(
+        "total", F.sum("reports").over(everything)
     )
+    first = sets.select("themes", "reports", "total", F.explode("themes").alias("theme_a"))
+    pairs = first.select("theme_a", F.explode("themes").alias("theme_b"), "reports", "total").groupBy(
+        "theme_a", "theme_b"
+    ).agg(F.sum("reports").alias("n"), F.max("total").alias("total"))
+    cells = _theme_grid(themes).join(pairs, ["theme_a", "theme_b"], "left").na.fill(0, ["n"])
     own = F.when(F.col("theme_a") == F.col("theme_b"), F.col("n"))
     both = cells.withColumns({
+        "reports": F.max("total").over(everything).cast("double"),
         "n_a": F.max(own).over(Window.partitionBy("theme_a")),
         "n_b": F.max(own).over(Window.partitionBy("theme_b")),
     })

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import tokens
 from reportloom.operators.small import as_array, top_n
+from reportloom.session import materialize
 
 
 def term_counts(
@@ -319,9 +320,12 @@ def similar_documents(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vector signature per document, copy groups, similar pairs of groups."""
     counts = term_counts(docs, text, key, stop_words)
-    vocab = vocabulary(counts, document_count(docs), min_df, max_df, max_features)
+    vocab = materialize(
+        vocabulary(counts, document_count(docs), min_df, max_df, max_features), "vocabulary"
+    )
     weights = tfidf_weights(in_vocabulary(counts, vocab), key)
     term_ids = number_terms(vocab)
-    vectors = document_vectors(weights, term_ids, key)
+    # Read several times: by the copy groups, the unit sizes and the pairs.
+    vectors = materialize(document_vectors(weights, term_ids, key), "vectors")
     groups = copy_groups(vectors, key)
     return vectors.select(key, "signature"), groups, similar_pairs(groups, term_ids, threshold)

@@ -13,6 +13,7 @@ from reportloom.plans.tables import (
     theme_vectors,
 )
 from reportloom.plans.text_queries import SENTENCES_SQL
+from reportloom.session import materialize
 
 _HITS = f"""WITH {SENTENCES_SQL}, {FRAMEWORKS_SQL},
     hits AS (SELECT record_id, sentence_idx, "start", "end", sentence, framework, theme_idx, theme, kw_idx, keyword
@@ -39,7 +40,7 @@ def _spans(spark, d):
 
 def _scored(spark, d):
     r = docs(spark, d)
-    return N.score_themes(r, _spans(spark, d), doc_vectors(spark, d), theme_vectors(spark, d), THRESHOLD)
+    return N.score_themes(r, materialize(_spans(spark, d), "spans"), doc_vectors(spark, d), theme_vectors(spark, d), THRESHOLD)
 
 
 def _annotations(spark, d):

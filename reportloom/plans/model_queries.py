@@ -9,6 +9,7 @@ from reportloom.operators import cluster as K, topics as O, vectors as X
 from reportloom.plans.registry import query
 from reportloom.plans.tables import DOCS_SQL, docs
 from reportloom.plans.text_queries import SENTENCES_SQL, sql_list
+from reportloom.session import materialize
 
 MIN_DF, MAX_DF, FEATURES = 0.01, 0.7, 5000
 
@@ -39,6 +40,11 @@ def _weights(spark, d, tf="raw", idf="smooth"):
     return X.tfidf(docs(spark, d), min_df=MIN_DF, max_df=MAX_DF, max_features=FEATURES, tf_scheme=tf, idf_scheme=idf)
 
 
+def _stored_weights(spark, d):
+    """Weights as a written table, for queries that read them several times."""
+    return materialize(_weights(spark, d), "weights")
+
+
 def _labels(spark, d):
     """The language of a document serves as its cluster."""
     return docs(spark, d).select("record_id", F.col("lang").alias("cluster"))
@@ -181,7 +187,7 @@ _TERMS = f"""{_CLUSTER}, sc AS (SELECT cluster, term, round(centroid * (docs::DO
 
 @query("x9_cluster_terms", f"WITH {_TERMS} SELECT * FROM terms")
 def _(spark, d):
-    return K.cluster_terms(_weights(spark, d), _labels(spark, d))
+    return K.cluster_terms(_stored_weights(spark, d), _labels(spark, d))
 
 
 @query("x10_representative_documents", f"""
@@ -190,7 +196,7 @@ def _(spark, d):
     SELECT lab.doc_id, lab.cluster, coalesce(round(dot / (own * length), 4), 0) AS similarity FROM lab LEFT JOIN dots USING (doc_id, cluster) LEFT JOIN cl USING (cluster)
 """)
 def _(spark, d):
-    return _by_doc(K.representative_documents(_weights(spark, d), _labels(spark, d)))
+    return _by_doc(K.representative_documents(_stored_weights(spark, d), _labels(spark, d)))
 
 
 @query("j3_cluster_records", f"""
@@ -200,7 +206,7 @@ def _(spark, d):
     FROM docs JOIN lab ON lab.doc_id = record_id LEFT JOIN dots ON dots.doc_id = record_id LEFT JOIN cl ON cl.cluster = lab.cluster
 """)
 def _(spark, d):
-    best = K.representative_documents(_weights(spark, d), _labels(spark, d))
+    best = K.representative_documents(_stored_weights(spark, d), _labels(spark, d))
     return K.cluster_records(docs(spark, d).select("record_id", "title", "coroner_area"), best)
 
 
@@ -242,7 +248,7 @@ def _(spark, d):
       (SELECT round(avg(worst), 4) FROM r) AS davies_bouldin FROM s CROSS JOIN tot
 """)
 def _(spark, d):
-    return K.cluster_quality(_weights(spark, d), _labels(spark, d))
+    return K.cluster_quality(_stored_weights(spark, d), _labels(spark, d))
 
 
 _BAND = "CASE WHEN size > 10 THEN ' This is a major theme appearing in ' || size || ' documents.' WHEN size > 5 THEN ' This theme appears in ' || size || ' documents.' ELSE ' This is a smaller theme with ' || size || ' documents.' END"
@@ -256,7 +262,7 @@ _BAND = "CASE WHEN size > 10 THEN ' This is a major theme appearing in ' || size
 """)
 def _(spark, d):
     labels = _labels(spark, d)
-    return K.cluster_summary(K.cluster_terms(_weights(spark, d), labels), K.cluster_sizes(labels))
+    return K.cluster_summary(K.cluster_terms(_stored_weights(spark, d), labels), K.cluster_sizes(labels))
 
 
 @query("x14_extractive_summary", f"""
@@ -346,7 +352,7 @@ def _(spark, d):
 
 @query("s10_cluster_export")
 def _(spark, d):
-    r, labels, weights = docs(spark, d), _labels(spark, d), _weights(spark, d)
+    r, labels, weights = docs(spark, d), _labels(spark, d), _stored_weights(spark, d)
     terms = K.cluster_terms(weights, labels)
     return K.cluster_export(
         K.cluster_summary(terms, K.cluster_sizes(labels)), terms, K.representative_documents(weights, labels), r)
