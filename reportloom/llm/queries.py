@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportloom.llm import quality_rules as rules
+from reportloom.llm import exact_dedup, quality_rules as rules
 from reportloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op6_exact_dedup": op6_exact_dedup,
+}
+SQL: dict[str, str] = {
+    "op6_exact_dedup": OP6_SQL,
 }
-SQL: dict[str, str] = {}
