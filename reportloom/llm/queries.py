@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportloom.llm import exact_dedup, quality_rules as rules
+from reportloom.llm import exact_dedup, quality_rules as rules, secret_scan
 from reportloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +27,14 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
