@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reportloom.llm import bpe, exact_dedup, near_dedup, packing, quality_rules as rules, secret_scan
+from reportloom.llm import bpe, exact_dedup, near_dedup, packing, quality_rules as rules, secret_scan, token_counts
 from reportloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,12 +43,17 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_packing": op4_packing,
     "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_token_counts": op8_token_counts,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {
