@@ -32,34 +32,39 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, per_class: int, max_chars: int):
-    """(text, label) rows to fit a classifier on; its size does not grow with the input.
+    """(texts, labels, weights) to fit a classifier on; their size does not grow with the input.
 
-    Per class the ``per_class`` labelled ids that come first by hash are taken, held-out ids
-    excepted; of their texts as many, in the same order, as have ``max_chars``
-    characters together. This is the only place where a row count is bounded.
+    Per class the ``per_class`` labelled ids that come first by hash are taken, held-out
+    ids excepted; of their texts, in the same order, as many as have ``max_chars``
+    characters together. A weight tells how many labelled rows a row of its
+    class stands for. This is the only place where a number of rows is bounded.
     """
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
+    spark = documents.sparkSession
     usable = (
         labels.select("doc_id", F.col(target).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("label").alias("label"))
     )
-    ids = None
-    for value in (0, 1):
-        part = usable.filter(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
-        ids = part if ids is None else ids.unionByName(part)
-    # At most 2 * per_class rows of two numbers: the size of this broadcast is bounded.
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    sized = texts.select("doc_id", "label", F.length("text").alias("chars"))
+    shares = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
+    order = F.xxhash64("doc_id", F.lit(7))
+    firsts = [usable.filter(F.col("label") == v).orderBy(order, "doc_id").limit(per_class) for v in (0, 1)]
+    # At most 2 * per_class rows of two numbers: the size of these broadcasts is bounded.
+    ids = firsts[0].unionByName(firsts[1])
+    texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sizes = texts.select("doc_id", F.length("text").alias("chars")).collect()
     kept, room = [], max_chars
-    for row in sorted(sized.toLocalIterator(), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.doc_id)):
+    for row in sorted(sizes, key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.doc_id)):
         if row.chars <= room:
-            kept.append(row.doc_id)
+            kept.append((row.doc_id,))
             room -= row.chars
-    chosen = documents.sparkSession.createDataFrame([(k,) for k in sorted(set(kept))], "doc_id long")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in rows], np.array([r.label for r in rows], dtype=np.float64)
+    chosen = spark.createDataFrame(kept, "chosen long")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    target_values = np.array([r.label for r in rows], dtype=np.float64)
+    taken = np.maximum(np.bincount(target_values.astype(int), minlength=2), 1)
+    weights = np.array([shares.get(0, 1) / taken[0], shares.get(1, 1) / taken[1]])[target_values.astype(int)]
+    return [r.text for r in rows], target_values, weights / weights.mean() if len(weights) else weights
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES):
