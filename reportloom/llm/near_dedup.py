@@ -247,8 +247,9 @@ def keep_first(documents: DataFrame, percent: int = 85) -> DataFrame:
     Documents are matched by doc_id and text; only the names of those to be dropped are joined.
     """
     marked = near_duplicates(documents, percent).filter(~F.col("kept"))
-    dropped = marked.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    own_id, own_hash = private(documents, "_dropped_id"), private(documents, "_dropped_hash")
+    dropped = marked.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
     own, hashed = F.col("doc_id").cast("long"), private(documents, "_text_hash")
     rows = documents.withColumn(hashed, F.xxhash64("text"))
-    gone: Column = own.eqNullSafe(F.col("_d")) & (F.col(hashed) == F.col("_h"))
+    gone: Column = own.eqNullSafe(F.col(own_id)) & (F.col(hashed) == F.col(own_hash))
     return rows.join(dropped, gone, "left_anti").drop(hashed)

@@ -212,7 +212,9 @@ def quality_rules(documents: DataFrame, limit: float = 50.0, share: float = 0.75
 
 def _judged(stats: DataFrame, params: DataFrame, limit: float) -> DataFrame:
     judged = stats.join(params, "grp", "left").withColumn("distance2", F.coalesce(_distance(), F.lit(0.0)))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= limit))
+    # One condition over both sides of the join: a part of it, pushed down on its own, would
+    # repeat the steps of the statistics inside each other.
+    return judged.withColumn("kept", F.when(F.col("distance2") <= limit, ~F.col("base_failed")).otherwise(False))
 
 
 def keep_good(documents: DataFrame, limit: float = 50.0) -> DataFrame:

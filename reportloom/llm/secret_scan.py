@@ -162,19 +162,21 @@ def _redacted(text: Column, spans: Column, mask: str) -> Column:
 def redact(documents: DataFrame, mask: str = "[secret]", reach: int = BLOCK) -> DataFrame:
     """The documents with every span replaced by ``mask``; ``n_chars``, if there, follows the text.
 
-    Only documents with several parts, one of them weak, are shuffled.
+    Texts are scanned once, their spans written beside them; only documents with
+    several parts, one of them weak, are shuffled.
     """
     whole, columns = private(documents, "_row"), documents.columns
     packed = documents.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias(whole)
     )
     rows = with_parts(packed, F.col("text"))
-    key = row_key(F.col("doc_id"), F.col("text")).alias("row_key")
-    parts = materialize(rows.filter(linkable()).select(key, "base", "weak"), "secret-parts")
-    linked = linked_spans(parts, reach)
-    plain = rows.filter(~linkable()).select(whole, "text", F.col("base").alias("spans"))
+    key = F.when(linkable(), row_key(F.col("doc_id"), F.col("text")))
+    rows = materialize(rows.select(whole, "text", "base", "weak", key.alias("row_key")), "secret-parts")
+    open_rows = rows.filter("row_key is not null")
+    plain = rows.filter("row_key is null").select(whole, "text", F.col("base").alias("spans"))
     spans = F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked")))
-    joined = rows.filter(linkable()).select("*", key).join(linked, "row_key", "left").select(whole, "text", spans.alias("spans"))
+    joined = open_rows.join(linked_spans(open_rows.select("row_key", "base", "weak"), reach), "row_key", "left")
+    joined = joined.select(whole, "text", spans.alias("spans"))
     out = plain.unionByName(joined).withColumn("text", _redacted(F.col("text"), F.col("spans"), mask))
     changed = F.when(F.size("spans") > 0, F.col("text")).otherwise(F.col(whole)["text"])
     fields = {c: F.col(whole)[c] for c in columns} | {"text": changed}
