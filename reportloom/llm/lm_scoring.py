@@ -238,7 +238,7 @@ def score_documents(documents: DataFrame, rounds: int = 2, one_in: int = KEEP_ON
                 for i in range(0, len(words), TOKENS_AT_ONCE):
                     at = slice(i, i + TOKENS_AT_ONCE)
                     scores[at] += network.log_probabilities(around[at], words[at])
-                total, size = np.bincount(owner, weights=scores, minlength=n), np.bincount(owner, minlength=n)
+                total, size = np.bincount(owner, weights=scores, minlength=n).astype(np.float64), np.bincount(owner, minlength=n)
                 mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, n), pa.array(size, pa.int64()), pa.array(total), mean],
