@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reportloom.functions.constants import (
@@ -24,12 +24,10 @@ MONTHS = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _nfkd(texts: pa.Array) -> pa.Array:
     # The one Python step: Spark has no Unicode normalisation function.
-    return texts.map(
-        lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t)
-    )
+    return pc.utf8_normalize(texts, form="NFKD")
 
 
 def nfkd(value: ColumnOrName) -> Column:
@@ -88,7 +86,7 @@ def clean_deceased_name(value: ColumnOrName) -> Column:
 
 # Titles in front of a name, honours behind it.
 NAME_TITLES = (
-    r"Dr\.?|Doctor|Mr\.?|Mrs\.?|Ms\.?|Miss|Prof\.?|Professor|Sir|Dame|HM|HM\s+Senior|"
+    r"Dr\.?|Doctor|Mr\.?|Mrs\.?|Ms\.?|Miss\.?|Prof\.?|Professor|Sir|Dame|HM|HM\s+Senior|"
     r"Hon\.?|Honorable|Justice|Judge|QC|KC"
 )
 NAME_HONOURS = r"QC|KC|Esq\.?|Jr\.?|Sr\.?"
@@ -165,9 +163,9 @@ def match_category(
             candidates,
             lambda c: F.contains(c["key"], needle) | F.contains(needle, c["key"]),
         )
-        return F.coalesce(
-            F.get(exact, F.lit(0))["name"], F.get(part, F.lit(0))["name"], as_col(value)
-        )
+        found = F.coalesce(F.get(exact, F.lit(0))["name"], F.get(part, F.lit(0))["name"], as_col(value))
+        # Every name contains an empty key; a value of separators only stays as it is.
+        return F.when(needle == "", as_col(value)).otherwise(found)
 
     own = normalize_category(value) if normalise else F.lower(as_col(value))
     return F.when(as_col(value) != "", let(own, pick))

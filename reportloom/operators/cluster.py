@@ -7,43 +7,30 @@ from itertools import product
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import clean_text_for_modeling, split_sentences, tokens
 from reportloom.operators.small import top_n_per_group
-from reportloom.operators.vectors import (
-    document_count, idf_weight, term_counts, vocabulary,
-)
 from reportloom.session import materialize
 
 
 def model_vectors(
-    docs: DataFrame, text: str = "content", key: str = "record_id", min_df: int | float = 0.01,
-    max_df: int | float = 0.7, max_features: int = 5000, idf_scheme: str = "smooth",
-    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    docs: DataFrame, text: str = "content", key: str = "record_id", buckets: int = 1 << 16,
+    min_df: int = 1, stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
-    """``(key, features)``: unit TF-IDF vectors for MLlib, built inside the JVM.
+    """``(key, features)``: unit TF-IDF vectors over hashed terms, built inside the JVM.
 
-    Only the vocabulary (at most ``max_features`` terms) reaches the driver.
+    All terms take part, each in one of ``buckets`` places, so no vocabulary is gathered.
     """
-    counts = term_counts(docs, text, key, stop_words)
-    vocab = vocabulary(counts, document_count(docs), min_df, max_df, max_features)
-    rows = vocab.select("term", idf_weight(idf_scheme).alias("idf")).collect()
-    if not rows:
-        raise ValueError("no term satisfies the frequency bounds")
-    words = docs.select(key, tokens(text).alias("_tokens"))
-    counted = CountVectorizerModel.from_vocabulary(
-        [r["term"] for r in rows], "_tokens", "_tf"
-    ).transform(words)
-    weighted = ElementwiseProduct(
-        scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_tf", outputCol="_w"
-    ).transform(counted)
-    return Normalizer(p=2.0, inputCol="_w", outputCol="features").transform(weighted).select(
-        key, "features"
-    )
+    words = tokens(text)
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
+    staged = docs.select(key, words.alias("_tokens"))
+    counted = HashingTF(numFeatures=buckets, inputCol="_tokens", outputCol="_tf").transform(staged)
+    weighted = IDF(inputCol="_tf", outputCol="_w", minDocFreq=min_df).fit(counted).transform(counted)
+    return Normalizer(p=2.0, inputCol="_w", outputCol="features").transform(weighted).select(key, "features")
 
 
 def cluster_range(n_docs: int) -> range:
@@ -99,48 +86,40 @@ def choose_clusters(
 def cluster_documents(docs: DataFrame, text: str = "content", key: str = "record_id", **options) -> tuple[DataFrame, DataFrame]:
     """Clean, vectorise and cluster a corpus; documents without text are left out."""
     vector_options = {
-        n: options.pop(n) for n in ("min_df", "max_df", "max_features", "stop_words") if n in options
+        n: options.pop(n) for n in ("min_df", "buckets", "stop_words") if n in options
     }
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
     return choose_clusters(model_vectors(clean, "clean", key, **vector_options), key=key, **options)
 
 
 def optimise_parameters(
-    docs: DataFrame, grid: dict[str, Sequence] | None = None, limit: int = 20,
+    docs: DataFrame, grid: dict[str, Sequence] | None = None,
     text: str = "content", key: str = "record_id", seed: int = 42,
 ) -> DataFrame:
-    """Score parameter combinations: silhouette − 0.1·|clusters − target|.
+    """Score every parameter combination: silhouette − 0.1·|clusters − target|.
 
-    Vectors are built once per vocabulary size and labels once per (vocabulary
-    size, target); combinations that share them reuse the result.
+    Vectors are built once per number of places and labels once per (places,
+    target); combinations that share them reuse the result.
     """
-    grid = grid or {
-        "target": [3, 5, 7, 10], "min_cluster_size": [2, 3, 5],
-        "similarity_threshold": [0.2, 0.3, 0.4], "max_features": [3000, 5000, 7000],
-    }
-    names = ["target", "min_cluster_size", "similarity_threshold", "max_features"]
+    grid = grid or {"target": [3, 5, 7, 10], "min_cluster_size": [2, 3, 5], "buckets": [1 << 12, 1 << 14, 1 << 16]}
+    names = ["target", "min_cluster_size", "buckets"]
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
     clean = materialize(clean, "clean")
     vectors, fitted, rows = {}, {}, []
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    for target, smallest, similarity, features in list(product(*[grid[n] for n in names]))[:limit]:
-        if features not in vectors:
-            vectors[features] = materialize(
-                model_vectors(clean, "clean", key, max_features=features), "vectors"
-            )
-        if (features, target) not in fitted:
-            labels = _fit(vectors[features], target, "kmeans", seed)
+    for target, smallest, buckets in product(*[grid[n] for n in names]):
+        if buckets not in vectors:
+            vectors[buckets] = materialize(model_vectors(clean, "clean", key, buckets), "vectors")
+        if (buckets, target) not in fitted:
+            labels = _fit(vectors[buckets], target, "kmeans", seed)
             sizes = [r["n"] for r in labels.groupBy("cluster").agg(F.count("*").alias("n")).collect()]
-            fitted[features, target] = (sizes, evaluator.evaluate(labels) if len(sizes) > 1 else 0.0)
-        sizes, silhouette = fitted[features, target]
+            fitted[buckets, target] = (sizes, evaluator.evaluate(labels) if len(sizes) > 1 else 0.0)
+        sizes, silhouette = fitted[buckets, target]
         kept = sum(1 for s in sizes if s >= smallest)
-        rows.append((target, smallest, similarity, features, kept, silhouette,
-                     silhouette - abs(kept - target) * 0.1))
+        rows.append((target, smallest, buckets, kept, silhouette, silhouette - abs(kept - target) * 0.1))
     return docs.sparkSession.createDataFrame(
-        rows,
-        "target int, min_cluster_size int, similarity_threshold double, max_features int, "
-        "clusters int, silhouette double, score double",
-    ).orderBy(F.desc("score"), "target", "min_cluster_size", "similarity_threshold", "max_features")
+        rows, "target int, min_cluster_size int, buckets int, clusters int, silhouette double, score double",
+    ).orderBy(F.desc("score"), "target", "min_cluster_size", "buckets")
 
 
 # --- description of given clusters: weights (key, term, weight), labels (key, cluster)
@@ -200,24 +179,17 @@ def representative_documents(weights: DataFrame, labels: DataFrame, key: str = "
     )
 
 
-def cohesion(labels: DataFrame, signatures: DataFrame, groups: DataFrame, pairs: DataFrame, key: str = "record_id") -> DataFrame:
-    """Mean thresholded cosine inside each cluster, diagonal included.
+def cohesion(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+    """Mean cosine inside each cluster over all pairs, diagonal included.
 
-    Copies are counted through their group: equal vectors have cosine one, and a
-    pair of groups stands for the product of its copies.
+    For unit vectors that is the squared length of their mean, so no pair is formed;
+    small cosines are not cut off. A document without terms counts as zero.
     """
-    members = labels.join(signatures, key).join(groups.select("signature", "rep"), "signature")
-    per_group = members.groupBy("cluster", "rep").agg(F.count("*").cast("double").alias("copies"))
-    same = per_group.groupBy("cluster").agg(F.sum(F.col("copies") * F.col("copies")).alias("same"))
-    left = per_group.select("cluster", F.col("rep").alias("left_id"), F.col("copies").alias("n_left"))
-    right = per_group.select("cluster", F.col("rep").alias("right_id"), F.col("copies").alias("n_right"))
-    across = pairs.join(left, "left_id").join(right, ["right_id", "cluster"]).groupBy("cluster").agg(
-        F.sum(2 * F.col("cosine") * F.col("n_left") * F.col("n_right")).alias("across")
-    )
+    square = F.col("centroid") * F.col("centroid")
+    means = centroids(weights, labels, key).groupBy("cluster").agg(F.sum(square).alias("_c"))
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("size"))
-    total = F.coalesce("same", F.lit(0.0)) + F.coalesce("across", F.lit(0.0))
-    return sizes.join(same, "cluster", "left").join(across, "cluster", "left").select(
-        "cluster", "size", F.round(total / (F.col("size") * F.col("size")), 4).alias("cohesion")
+    return sizes.join(means, "cluster", "left").select(
+        "cluster", "size", F.round(F.coalesce("_c", F.lit(0.0)), 4).alias("cohesion")
     )
 
 

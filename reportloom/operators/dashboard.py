@@ -327,16 +327,18 @@ def mean_scores(annotations: DataFrame, n: int = 10) -> DataFrame:
 
 
 def score_histogram(annotations: DataFrame, bins: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Rows per score bin over a fixed range, empty bins included."""
+    """Rows per score bin over a fixed range, empty bins included.
+
+    Bin -1 holds lower scores, bin ``bins`` higher ones.
+    """
     width = (high - low) / bins
     position = F.floor(F.round((F.col("combined_score") - low) / width, 6)).cast("int")
-    inside = F.col("combined_score").between(low, high)
-    counts = annotations.filter(inside).groupBy(
-        F.least(position, F.lit(bins - 1)).alias("bin")
-    ).agg(F.count("*").alias("n"))
-    spine = annotations.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    score = F.col("combined_score")
+    place = F.when(score < low, -1).when(score > high, bins).otherwise(F.least(position, F.lit(bins - 1)))
+    counts = annotations.filter(score.isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    spine = annotations.sparkSession.range(-1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     return spine.join(counts, "bin", "left").select(
-        "bin", F.round(F.lit(low) + F.col("bin") * width, 4).alias("bin_start"),
+        "bin", F.when(F.col("bin") >= 0, F.round(F.lit(low) + F.col("bin") * width, 4)).alias("bin_start"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 

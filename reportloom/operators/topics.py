@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -13,7 +13,7 @@ from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.helpers import words_of
 from reportloom.functions.text import clean_text_for_modeling
 from reportloom.operators.small import as_array, top_n_per_group
-from reportloom.operators.vectors import document_count, term_counts, vocabulary
+from reportloom.operators.vectors import term_counts
 from reportloom.session import materialize
 
 
@@ -23,7 +23,7 @@ class TopicModel:
     def __init__(self, words: DataFrame, shares: DataFrame, documents: DataFrame):
         self.words = words          # topic, word, weight (whole vocabulary)
         self.shares = shares        # record_id, topic, share
-        self.documents = documents  # record_id, clean
+        self.documents = documents  # record_id, clean, copies
 
     def top_words(self, n: int = 10) -> DataFrame:
         return top_n_per_group(self.words, "topic", n, F.desc("weight"), F.asc("word"))
@@ -33,41 +33,42 @@ class TopicModel:
 
 
 def fit_topics(
-    docs: DataFrame, k: int = 5, text: str = "content", key: str = "record_id", max_features: int = 1000,
-    min_df: int = 2, max_df: float = 0.95, iterations: int = 20, seed: int = 42,
+    docs: DataFrame, k: int = 5, text: str = "content", key: str = "record_id", buckets: int = 1 << 16,
+    iterations: int = 20, seed: int = 42,
     deduplicate: bool = True, stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> TopicModel:
     """LDA on the cleaned corpus; equal cleaned texts count once.
 
-    With few documents the minimum frequency and the number of topics shrink.
+    All terms take part, each in one of ``buckets`` places; the weight of a place is
+    shared out among its terms by their frequency, so no vocabulary is gathered.
     """
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
     if deduplicate:
-        long_enough = clean.filter(F.size(F.split("clean", " ")) > 3)
-        clean = long_enough.groupBy("clean").agg(F.min(key).alias(key)).select(key, "clean")
+        clean = clean.groupBy(F.sha2("clean", 256).alias("_same")).agg(
+            F.min(F.struct(key, "clean")).alias("first"), F.count("*").alias("copies")
+        ).select(f"first.{key}", "first.clean", "copies")
+    else:
+        clean = clean.withColumn("copies", F.lit(1).cast("long"))
     clean = materialize(clean, "clean")
-    n_docs = clean.count()
-    if n_docs < k:
-        k = max(2, n_docs // 2)
     counts = term_counts(clean, "clean", key, stop_words)
-    vocab = vocabulary(
-        counts, document_count(clean), min(min_df, max(2, n_docs // 10)), max_df, max_features
-    )
-    terms = [r["term"] for r in vocab.select("term").collect()]  # at most max_features
-    vectors = CountVectorizerModel.from_vocabulary(terms, "_tokens", "features").transform(
-        clean.select(key, words_of("clean").alias("_tokens"))
-    ).select(key, "features")
-    vectors = materialize(vectors, "lda_vectors")
+    hashing = HashingTF(numFeatures=buckets, inputCol="_tokens", outputCol="features")
+    kept = F.filter(words_of("clean"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words)) if stop_words else words_of("clean")
+    vectors = materialize(hashing.transform(clean.select(key, kept.alias("_tokens"))).select(key, "features"), "lda_vectors")
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="features").fit(vectors)
-    words_table = docs.sparkSession.createDataFrame(
-        [(i, w) for i, w in enumerate(terms)], "term_idx int, word string"
-    )
-    described = model.describeTopics(len(terms)).select(
+    frequency = counts.groupBy("term").agg(F.sum("tf").alias("cf"))
+    placed = hashing.transform(frequency.withColumn("_tokens", F.array("term")))
+    place = F.regexp_extract(F.col("features").cast("string"), r"\[(\d+)", 1).cast("int")
+    placed = placed.select("term", "cf", place.alias("term_idx"))
+    together = placed.groupBy("term_idx").agg(F.sum("cf").alias("all_cf"))
+    described = model.describeTopics(buckets).select(
         "topic", F.inline(F.arrays_zip(
             F.col("termIndices").alias("term_idx"), F.col("termWeights").alias("weight")
         ))
     )
-    words = described.join(words_table, "term_idx").select("topic", "word", "weight")
+    words = described.join(placed.join(together, "term_idx"), "term_idx").select(
+        "topic", F.col("term").alias("word"), (F.col("weight") * F.col("cf") / F.col("all_cf")).alias("weight")
+    )
+    words = materialize(words, "topic_words")
     shares = model.transform(vectors).select(
         key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share")
     )
@@ -85,12 +86,17 @@ def topic_export(model: TopicModel, n: int = 10) -> DataFrame:
 
 
 def topic_insights(
-    model: TopicModel, docs: DataFrame, key: str = "record_id", n_words: int = 50, n_docs: int = 10
+    model: TopicModel, docs: DataFrame, key: str = "record_id", n_words: int = 50, n_docs: int = 10,
+    excerpt_length: int | None = None,
 ) -> DataFrame:
-    """Label, words with document counts, leading documents and prevalence."""
+    """Label, words with document counts, leading documents and prevalence.
+
+    Counts and prevalence are over documents: a text counts as often as it occurs.
+    ``excerpt_length`` cuts the texts of the leading documents.
+    """
     frequency = model.documents.select(
-        F.explode(F.array_distinct(F.split("clean", " "))).alias("word")
-    ).groupBy("word").agg(F.count("*").alias("documents"))
+        "copies", F.explode(F.array_distinct(F.split("clean", " "))).alias("word")
+    ).groupBy("word").agg(F.sum("copies").alias("documents"))
     words = model.top_words(n_words).filter(F.length("word") > 1).join(frequency, "word", "left")
     word_list = words.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct(
         "rank", "word", "weight", F.coalesce("documents", F.lit(0)).alias("documents")
@@ -99,15 +105,18 @@ def topic_insights(
         model.shares.filter("share > 0.01"), "topic", n_docs, F.desc("share"), F.asc(key)
     )
     text = F.col("content")
-    excerpt = F.when(F.length(text) > 300, F.concat(F.substring(text, 1, 300), F.lit("..."))).otherwise(text)
+    excerpt = text
+    if excerpt_length is not None:
+        cut = F.concat(F.substring(text, 1, excerpt_length), F.lit("..."))
+        excerpt = F.when(F.length(text) > excerpt_length, cut).otherwise(text)
     doc_list = best.join(
         docs.select(key, "title", F.col("date_of_report").cast("string").alias("date"), excerpt.alias("summary")), key
     ).groupBy("topic").agg(F.sort_array(F.collect_list(F.struct(
         "rank", key, "title", "date", F.col("share").alias("relevance"), "summary"
     ))).alias("documents"))
-    prevalence = model.shares.groupBy("topic").agg(
-        F.round(F.avg(F.when(F.col("share") > 0.05, 100.0).otherwise(0.0)), 1).alias("prevalence")
-    )
+    counted = model.shares.join(model.documents.select(key, "copies"), key)
+    present = F.sum(F.when(F.col("share") > 0.05, F.col("copies")).otherwise(0))
+    prevalence = counted.groupBy("topic").agg(F.round(100.0 * present / F.sum("copies"), 1).alias("prevalence"))
     leading = F.transform(F.slice("words", 1, 5), lambda w: w["word"])
     return word_list.join(doc_list, "topic", "left").join(prevalence, "topic").select(
         "topic", F.initcap(F.array_join(F.slice(leading, 1, 3), " & ")).alias("label"),

@@ -1,16 +1,14 @@
-"""Term weights as a long table, ranking, and exact similar pairs."""
+"""Term weights as a long table, ranking, and pairs of nearly equal documents."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import tokens
-from reportloom.operators.small import as_array, top_n
+from reportloom.operators.small import top_n
 from reportloom.session import materialize
 
 
@@ -44,12 +42,12 @@ def document_count(docs: DataFrame) -> Column:
 
 def vocabulary(
     counts: DataFrame, n_docs: Column, min_df: int | float = 1, max_df: int | float = 1.0,
-    max_features: int | None = 5000,
+    max_features: int | None = None,
 ) -> DataFrame:
     """Terms with document and corpus frequency inside the given bounds.
 
-    Whole numbers are document counts, fractions are shares of all documents;
-    the most frequent ``max_features`` terms are kept, ties by term.
+    Whole numbers are document counts, fractions are shares of all documents.
+    All terms are kept unless ``max_features`` asks for the most frequent ones.
     """
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     stats = stats.withColumn("n_docs", n_docs.cast("double"))
@@ -103,7 +101,7 @@ def tfidf_weights(
 def tfidf(
     docs: DataFrame, text: str = "content", key: str = "record_id",
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS, min_df: int | float = 1,
-    max_df: int | float = 1.0, max_features: int | None = 5000,
+    max_df: int | float = 1.0, max_features: int | None = None,
     tf_scheme: str = "raw", idf_scheme: str = "smooth", norm: bool = True,
 ) -> DataFrame:
     counts = term_counts(docs, text, key, stop_words)
@@ -114,7 +112,7 @@ def tfidf(
 def bm25(
     docs: DataFrame, text: str = "content", key: str = "record_id",
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS, min_df: int | float = 1,
-    max_df: int | float = 1.0, max_features: int | None = 5000, k1: float = 1.5, b: float = 0.75,
+    max_df: int | float = 1.0, max_features: int | None = None, k1: float = 1.5, b: float = 0.75,
 ) -> DataFrame:
     """BM25 weight of every document term; lengths count vocabulary terms."""
     counts = term_counts(docs, text, key, stop_words)
@@ -138,29 +136,14 @@ def rank_documents(weights: DataFrame, query: Sequence[str], k: int = 10, key: s
     return top_n(scored, k, "score", key)
 
 
-# --- exact pairs of documents with a cosine at or above a threshold ----------
+# --- pairs of nearly equal documents -----------------------------------------
 
-PAIR_SCHEMA = "left_id long, right_id long, cosine double"
-
-
-def number_terms(vocab: DataFrame) -> DataFrame:
-    """Terms numbered from 1 by document frequency, rarest first.
-
-    The vocabulary is capped, so the window sees a bounded number of rows.
-    """
-    order = F.row_number().over(Window.orderBy("df", "term"))
-    return vocab.select("term", order.alias("term_id"))
-
-
-def document_vectors(weights: DataFrame, term_ids: DataFrame, key: str = "record_id") -> DataFrame:
-    """One row per document: its terms, rarest first, and a vector signature."""
-    vectors = weights.join(term_ids, "term").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("vector")
-    )
-    rounded = F.transform("vector", lambda t: F.concat_ws(
-        ":", t["term_id"].cast("string"), F.round(t["weight"], 10).cast("string")
-    ))
-    return vectors.withColumn("signature", F.sha2(F.array_join(rounded, ","), 256))
+def document_vectors(known: DataFrame, weights: DataFrame, key: str = "record_id") -> DataFrame:
+    """One row per document: its (df, term, weight), rarest first, and a vector signature."""
+    listed = weights.join(known.select(key, "term", "df", "tf"), [key, "term"])
+    vectors = listed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "term", "weight", "tf"))).alias("vector"))
+    counted = F.transform("vector", lambda t: F.concat_ws(":", t["term"], t["tf"].cast("string")))
+    return vectors.withColumn("signature", F.sha2(F.array_join(counted, ","), 256))
 
 
 def copy_groups(vectors: DataFrame, key: str = "record_id") -> DataFrame:
@@ -189,143 +172,38 @@ def _prefix_length(vector: Column, threshold: float) -> Column:
     return F.size(vector) - tail
 
 
-def _matrix(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dense weights of the rows, and which of the terms belong to the prefix."""
-    lengths = rows["ids"].map(len).to_numpy()
-    column = np.concatenate(rows["ids"].to_numpy()) - 1
-    row = np.repeat(np.arange(len(rows)), lengths)
-    place = np.arange(len(column)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    inside = place < np.repeat(rows["prefix"].to_numpy(), lengths)
-    weights = np.zeros((len(rows), width))
-    weights[row, column] = np.concatenate(rows["weights"].to_numpy())
-    prefix = np.zeros((len(rows), width), dtype=bool)
-    prefix[row[inside], column[inside]] = True
-    return weights, prefix
-
-
-def _block_pairs(threshold: float):
-    def evaluate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, low, high = (int(k) for k in key)
-        width, first, last = (int(rows[c].iloc[0]) for c in ("terms", "term_from", "term_to"))
-        ours, theirs = rows[rows["block"] == low], rows[rows["block"] == high]
-        a = b = np.array([], "int64")
-        score = np.array([], "float64")
-        if len(ours) and len(theirs):
-            left, left_prefix = _matrix(ours, width)
-            right, right_prefix = (left, left_prefix) if low == high else _matrix(theirs, width)
-            product = left @ right.T
-            i, j = np.nonzero(product >= threshold)
-            if low == high:
-                i, j = i[i < j], j[i < j]
-            if first > 1 or last < width:
-                # A pair is emitted where its first shared prefix term lies.
-                mine = np.zeros(len(i), dtype=bool)
-                for at in range(0, len(i), 10_000):
-                    part = slice(at, at + 10_000)
-                    meeting = (left_prefix[i[part]] & right_prefix[j[part]]).argmax(axis=1) + 1
-                    mine[part] = (meeting >= first) & (meeting <= last)
-                i, j = i[mine], j[mine]
-            x, y = ours["rep"].to_numpy()[i], theirs["rep"].to_numpy()[j]
-            a, b, score = np.minimum(x, y), np.maximum(x, y), product[i, j]
-        return pd.DataFrame({"left_id": a, "right_id": b, "cosine": score})
-
-    return evaluate
-
-
-def _meeting_units(sized: DataFrame, term_ids: DataFrame, block: int) -> DataFrame:
-    """Which unit of work each term belongs to, and into how many blocks it splits.
-
-    Neighbouring rare terms share a unit of about ``block`` postings, a frequent
-    term is a unit of its own. If the corpus is so dense that meeting by term
-    would compare more vectors than comparing all blocks once, all terms form
-    one unit. All windows see the vocabulary only, which is capped.
-    """
-    postings = sized.select(F.explode(
-        F.slice(F.transform("vector", lambda t: t["term_id"]), 1, F.col("prefix"))
-    ).alias("term_id")).groupBy("term_id").agg(F.count("*").alias("n"))
-    everything = Window.partitionBy()
-    before = F.sum("n").over(Window.orderBy("term_id").rowsBetween(Window.unboundedPreceding, -1))
-    unit = Window.partitionBy("unit")
-    by_term = (
-        term_ids.select("term_id").join(postings, "term_id", "left").na.fill(0, ["n"])
-        .withColumn("unit", F.floor(F.coalesce(before, F.lit(0)) / block).cast("int"))
-        .withColumns({
-            "in_unit": F.sum("n").over(unit),
-            "term_from": F.min("term_id").over(unit),
-            "term_to": F.max("term_id").over(unit),
-            "terms": F.max("term_id").over(everything),
-            "vectors": sized.select(F.count("*")).scalar(),
-        })
-    )
-    # Summed over terms, postings x unit size is the sum of squared unit sizes.
-    compared = F.sum(F.col("n").cast("double") * F.col("in_unit")).over(everything)
-    dense = compared > F.col("vectors").cast("double") * F.col("vectors")
-    size = F.when(dense, F.col("vectors")).otherwise(F.col("in_unit"))
-    return by_term.select(
-        "term_id",
-        F.when(dense, 0).otherwise(F.col("unit")).alias("unit"),
-        F.greatest(F.ceil(size / block).cast("int"), F.lit(1)).alias("blocks"),
-        F.when(dense, 1).otherwise(F.col("term_from")).alias("term_from"),
-        F.when(dense, F.col("terms")).otherwise(F.col("term_to")).alias("term_to"),
-        "terms",
-    )
-
-
-def similar_pairs(
-    groups: DataFrame, term_ids: DataFrame, threshold: float = 0.3, block: int = 1000
-) -> DataFrame:
+def similar_pairs(groups: DataFrame, threshold: float = 0.8) -> DataFrame:
     """All pairs of distinct vectors with cosine >= threshold (exact).
 
-    Vectors meet in units of terms they share in their prefix. A unit splits into
-    blocks that meet pairwise, so a group holds about two blocks however frequent
-    its terms are; it is evaluated as one matrix product and emits nothing but
-    pairs over the threshold, each pair once.
+    Vectors meet on the rare terms they cannot do without; a pair is named once,
+    by the first such term that both have. Their cosine is then summed over
+    shared terms. At a high threshold few pairs meet, however many documents there are.
     """
-    sized = groups.withColumn("prefix", _prefix_length(F.col("vector"), threshold))
-    fields = ["unit", "blocks", "term_from", "term_to", "terms"]
-    units = as_array(_meeting_units(sized, term_ids, block), "term_id", *fields)
-    staged = sized.select(
-        "rep", "prefix",
-        F.transform("vector", lambda t: t["term_id"]).alias("ids"),
-        F.transform("vector", lambda t: t["weight"]).alias("weights"),
-        units.alias("_units"),
-    )
-    met = F.array_distinct(F.transform(
-        F.slice("ids", 1, F.col("prefix")), lambda t: F.struct(
-            *[F.get("_units", t - 1)[f].alias(f) for f in fields]
-        )
-    ))
-    placed = staged.select("rep", "prefix", "ids", "weights", F.inline(met)).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    )
-    spread = placed.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select(
-        "unit", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "rep", "prefix", "ids", "weights", "term_from", "term_to", "terms",
-    )
-    # The groups are few bytes but much work: a fixed number of partitions keeps
-    # them from being merged into a handful of tasks by size.
-    parts = 4 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["unit", "low", "high"]
-    return spread.repartition(parts, *keys).groupBy(*keys).applyInPandas(
-        _block_pairs(threshold), PAIR_SCHEMA
+    sized = groups.select("rep", "vector", _prefix_length(F.col("vector"), threshold).alias("prefix"))
+    leading = F.transform(F.slice("vector", F.lit(1), F.col("prefix")), lambda t: t["term"])
+    entries = sized.select("rep", leading.alias("leading")).select("rep", "leading", F.explode("leading").alias("term"))
+    left = entries.select("term", F.col("rep").alias("left_id"), F.col("leading").alias("_left"))
+    right = entries.select("term", F.col("rep").alias("right_id"), F.col("leading").alias("_right"))
+    first = F.array_intersect("_left", "_right")[0] == F.col("term")
+    met = left.join(right, "term").filter((F.col("left_id") < F.col("right_id")) & first).select("left_id", "right_id")
+    terms = groups.select("rep", F.inline("vector")).select("rep", "term", "weight")
+    mine = terms.select(F.col("rep").alias("left_id"), "term", F.col("weight").alias("_a"))
+    theirs = terms.select(F.col("rep").alias("right_id"), "term", F.col("weight").alias("_b"))
+    scored = met.join(mine, "left_id").join(theirs, ["right_id", "term"]).groupBy("left_id", "right_id").agg(
+        F.sum(F.col("_a") * F.col("_b")).alias("cosine")
     )
+    return scored.filter(F.col("cosine") >= threshold - 1e-9)
 
 
 def similar_documents(
-    docs: DataFrame, threshold: float = 0.3, text: str = "content", key: str = "record_id",
-    min_df: int | float = 1, max_df: int | float = 0.7, max_features: int = 5000,
+    docs: DataFrame, threshold: float = 0.8, text: str = "content", key: str = "record_id",
+    min_df: int | float = 1, max_df: int | float = 1.0, max_features: int | None = None,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vector signature per document, copy groups, similar pairs of groups."""
     counts = term_counts(docs, text, key, stop_words)
-    vocab = materialize(
-        vocabulary(counts, document_count(docs), min_df, max_df, max_features), "vocabulary"
-    )
-    weights = tfidf_weights(in_vocabulary(counts, vocab), key)
-    term_ids = number_terms(vocab)
-    # Read several times: by the copy groups, the unit sizes and the pairs.
-    vectors = materialize(document_vectors(weights, term_ids, key), "vectors")
+    known = in_vocabulary(counts, vocabulary(counts, document_count(docs), min_df, max_df, max_features))
+    # Read several times: by the copy groups and by the pairs.
+    vectors = materialize(document_vectors(known, tfidf_weights(known, key), key), "vectors")
     groups = copy_groups(vectors, key)
-    return vectors.select(key, "signature"), groups, similar_pairs(groups, term_ids, threshold)
+    return vectors.select(key, "signature"), groups, similar_pairs(groups, threshold)

@@ -103,7 +103,7 @@ def _(spark, d):
     ).alias("content"))
     theme_docs = described.withColumn("record_id", -F.abs(F.xxhash64("framework", "theme")))
     corpus = r.select("record_id", "content").unionByName(theme_docs.select("record_id", "content"))
-    weights = tfidf(corpus, max_features=5000)
+    weights = tfidf(corpus)
     theme_weights = weights.join(theme_docs.select("record_id", "framework", "theme"), "record_id")
     pairs = N.theme_keywords(_spans(spark, d)).select("record_id", "framework", "theme")
     return N.tfidf_similarity(pairs, weights, theme_weights)

@@ -9,7 +9,7 @@ from reportloom.operators import dedup, profile as A
 from reportloom.plans.registry import query
 from reportloom.plans.tables import (
     ATTACH_SQL, DOCS_SQL, EVAL_SQL, REPORTS_SQL, attachment_reports, docs, eval_rows,
-    reports, spread, table,
+    reports, table,
 )
 from reportloom.plans.text_queries import SENTENCES_SQL, SQL_LEMMA, sql_list
 from reportloom.schema import reduced_view
@@ -114,7 +114,7 @@ _LINKS = r"""regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?
     FROM pages
 """)
 def _(spark, d):
-    r = pages.pages_to_reports(spread(table(spark, d, "pages")))
+    r = pages.pages_to_reports(table(spark, d, "pages"))
     return r.select(
         "record_id", "url", (F.length("title") > 0).alias("has_title"),
         (F.length("content") > 0).alias("has_text"), F.size("pdfs").alias("n_pdfs"),
@@ -123,7 +123,7 @@ def _(spark, d):
 
 @query("s5_page_text")
 def _(spark, d):
-    return pages.pages_to_reports(spread(table(spark, d, "pages"))).select("record_id", "title", "content")
+    return pages.pages_to_reports(table(spark, d, "pages")).select("record_id", "title", "content")
 
 
 @query("s6_page_links", f"""
@@ -137,7 +137,7 @@ def _(spark, d):
     FROM h
 """)
 def _(spark, d):
-    return pages.page_links(spread(table(spark, d, "pages"))).drop("link_text")
+    return pages.page_links(table(spark, d, "pages")).drop("link_text")
 
 
 @query("s7_write_reports_csv", f"""

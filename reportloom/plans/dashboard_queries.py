@@ -270,8 +270,8 @@ def _(spark, d):
 
 
 @query("d22_score_histogram", f"""
-    {A}, c AS (SELECT least(floor(round(combined_score / 0.05, 6))::INT, 19) AS bin, count(*) AS n FROM ann WHERE combined_score BETWEEN 0 AND 1 GROUP BY 1)
-    SELECT r.b::INT AS bin, round(r.b * 0.05, 4)::DOUBLE AS bin_start, coalesce(n, 0) AS n FROM range(20) r(b) LEFT JOIN c ON c.bin = r.b
+    {A}, c AS (SELECT CASE WHEN combined_score < 0 THEN -1 WHEN combined_score > 1 THEN 20 ELSE least(floor(round(combined_score / 0.05, 6))::INT, 19) END AS bin, count(*) AS n FROM ann WHERE combined_score IS NOT NULL GROUP BY 1)
+    SELECT r.b::INT AS bin, CASE WHEN r.b >= 0 THEN round(r.b * 0.05, 4)::DOUBLE END AS bin_start, coalesce(n, 0) AS n FROM range(-1, 21) r(b) LEFT JOIN c ON c.bin = r.b
 """)
 def _(spark, d):
     return D.score_histogram(line_annotations(spark, d))

@@ -11,14 +11,12 @@ from reportloom.plans.tables import DOCS_SQL, docs
 from reportloom.plans.text_queries import SENTENCES_SQL, sql_list
 from reportloom.session import materialize
 
-MIN_DF, MAX_DF, FEATURES = 0.01, 0.7, 5000
-
 _COUNTS = f"""counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (
       SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents)
       WHERE NOT list_contains({sql_list(ENGLISH_STOP_WORDS)}, term) GROUP BY 1, 2),
     nd AS (SELECT count(*)::DOUBLE AS n FROM documents)"""
 _VOCAB = f"""{_COUNTS}, vocab AS MATERIALIZED (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, any_value(n) AS n FROM counts CROSS JOIN nd
-      GROUP BY term HAVING count(*) >= {MIN_DF} * any_value(n) AND count(*) <= {MAX_DF} * any_value(n) ORDER BY cf DESC, term LIMIT {FEATURES}),
+      GROUP BY term),
     vc AS (SELECT doc_id, counts.term, tf, df, n FROM counts JOIN vocab USING (term))"""
 
 
@@ -33,11 +31,11 @@ def _counts(spark, d):
 
 def _vocab(spark, d):
     r = docs(spark, d)
-    return X.vocabulary(X.term_counts(r), X.document_count(r), MIN_DF, MAX_DF, FEATURES)
+    return X.vocabulary(X.term_counts(r), X.document_count(r))
 
 
 def _weights(spark, d, tf="raw", idf="smooth"):
-    return X.tfidf(docs(spark, d), min_df=MIN_DF, max_df=MAX_DF, max_features=FEATURES, tf_scheme=tf, idf_scheme=idf)
+    return X.tfidf(docs(spark, d), tf_scheme=tf, idf_scheme=idf)
 
 
 def _stored_weights(spark, d):
@@ -72,11 +70,11 @@ def _(spark, d):
     WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({sql_list(ENGLISH_STOP_WORDS)}, x)) AS w FROM documents),
     b AS (SELECT doc_id, unnest(list_zip(w[:-2], w[2:])) AS p FROM w WHERE len(w) > 1),
     t AS (SELECT p[1] || ' ' || p[2] AS term FROM b)
-    SELECT term, count(*) AS cf FROM t GROUP BY 1 HAVING count(*) > 2
+    SELECT term, count(*) AS cf FROM t GROUP BY 1
 """)
 def _(spark, d):
     both = X.term_counts(docs(spark, d), bigrams=True)
-    return both.filter(F.contains("term", F.lit(" "))).groupBy("term").agg(F.sum("tf").alias("cf")).filter("cf > 2")
+    return both.filter(F.contains("term", F.lit(" "))).groupBy("term").agg(F.sum("tf").alias("cf"))
 
 
 _TF = {
@@ -101,7 +99,7 @@ def _(spark, d):
 """)
 def _(spark, d):
     r = docs(spark, d)
-    vocab = X.vocabulary(X.term_counts(r), X.document_count(r), max_features=None)
+    vocab = X.vocabulary(X.term_counts(r), X.document_count(r))
     return vocab.select("term", *[F.round(X.idf_weight(s), 4).alias(s) for s in ("smooth", "standard", "probabilistic")])
 
 
@@ -122,7 +120,7 @@ _BM25 = f"""{_VOCAB}, len AS (SELECT doc_id, sum(tf) AS dl FROM vc GROUP BY 1),
 
 
 def _bm25(spark, d):
-    return X.bm25(docs(spark, d), min_df=MIN_DF, max_df=MAX_DF, max_features=FEATURES)
+    return X.bm25(docs(spark, d))
 
 
 @query("x5_bm25", f"WITH {_BM25} SELECT doc_id, term, round(weight, 4) AS weight FROM bm")
@@ -141,11 +139,11 @@ _PAIRS = f"""{_weights_sql()}, sig AS MATERIALIZED (SELECT doc_id, string_agg(te
     rep AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM sig),
     rw AS MATERIALIZED (SELECT doc_id, term, weight FROM wt WHERE doc_id IN (SELECT rep FROM rep)),
     pairs AS MATERIALIZED (SELECT a.doc_id AS left_id, b.doc_id AS right_id, sum(a.weight * b.weight) AS cosine
-      FROM rw a JOIN rw b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.3)"""
+      FROM rw a JOIN rw b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.8 - 1e-9)"""
 
 
 def _similar(spark, d):
-    return X.similar_documents(docs(spark, d), 0.3, min_df=MIN_DF, max_df=MAX_DF, max_features=FEATURES)
+    return X.similar_documents(docs(spark, d), 0.8)
 
 
 # Documents with equal vectors are one group; j9 lists the groups' members.
@@ -165,12 +163,12 @@ def _(spark, d):
 
 @query("x8_cluster_documents")
 def _(spark, d):
-    return K.cluster_documents(docs(spark, d), min_df=MIN_DF, max_features=1000)[0]
+    return K.cluster_documents(docs(spark, d))[0]
 
 
 @query("x8_cluster_metrics")
 def _(spark, d):
-    return K.cluster_documents(docs(spark, d), min_df=MIN_DF, max_features=1000)[1]
+    return K.cluster_documents(docs(spark, d))[1]
 
 
 _CLUSTER = f"""{_weights_sql()}, lab AS (SELECT doc_id, lang AS cluster FROM documents),
@@ -220,16 +218,11 @@ def _(spark, d):
 
 
 @query("x11_cohesion", f"""
-    WITH {_PAIRS}, lab AS (SELECT doc_id, lang AS cluster FROM documents),
-    g AS (SELECT cluster, rep, count(*) AS c FROM lab JOIN rep USING (doc_id) GROUP BY 1, 2),
-    same AS (SELECT cluster, sum(c * c) AS t FROM g GROUP BY 1),
-    across AS (SELECT a.cluster, sum(2 * cosine * a.c * b.c) AS t FROM pairs JOIN g a ON a.rep = left_id JOIN g b ON b.rep = right_id AND a.cluster = b.cluster GROUP BY 1),
-    size AS (SELECT cluster, count(*) AS size FROM lab GROUP BY 1)
-    SELECT cluster, size, round((coalesce(same.t, 0) + coalesce(across.t, 0)) / (size * size), 4) AS cohesion
-    FROM size LEFT JOIN same USING (cluster) LEFT JOIN across USING (cluster)
+    WITH {_CLUSTER} SELECT size.cluster, size.size, round(coalesce(sum(centroid * centroid), 0), 4) AS cohesion
+    FROM size LEFT JOIN cen ON cen.cluster = size.cluster GROUP BY 1, 2
 """)
 def _(spark, d):
-    return K.cohesion(_labels(spark, d), *_similar(spark, d))
+    return K.cohesion(_stored_weights(spark, d), _labels(spark, d))
 
 
 @query("x12_cluster_quality", f"""
@@ -304,6 +297,11 @@ def _(spark, d):
     return O.fit_topics(docs(spark, d), 5).mean_shares()
 
 
+@query("x15_document_shares")
+def _(spark, d):
+    return _by_doc(O.fit_topics(docs(spark, d), 5).shares)
+
+
 @query("x16_topic_insights")
 def _(spark, d):
     r = docs(spark, d)
@@ -332,7 +330,7 @@ def _(spark, d):
 
 @query("x19_parameter_grid")
 def _(spark, d):
-    grid = {"target": [3, 5], "min_cluster_size": [2, 5], "similarity_threshold": [0.3], "max_features": [500, 1000]}
+    grid = {"target": [3, 5], "min_cluster_size": [2, 5], "buckets": [1 << 12, 1 << 14]}
     return K.optimise_parameters(docs(spark, d), grid)
 
 

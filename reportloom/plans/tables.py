@@ -16,15 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a table that was read in fewer splits than there are cores.
-
-    Large inputs have more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- reports rendered from orders -------------------------------------------
 
 # Rendered category text and the categories expected from it, by market segment.
@@ -54,7 +45,7 @@ def _by_value(column: str, values: dict[str, str]) -> Column:
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with the values its report will state."""
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
@@ -187,7 +178,7 @@ ann AS (
 # --- documents as reports ---------------------------------------------------
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents"))
+    d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("record_id"),
         F.concat(F.lit("Doc "), "doc_id").alias("title"),
@@ -322,7 +313,7 @@ def attachment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A conversation is one document of a few turns, so its list stays small.
     """
-    c = spread(table(spark, sf_dir, "conversations"))
+    c = table(spark, sf_dir, "conversations")
     pdf = F.struct(
         F.col("turn").cast("int").alias("pos"),
         F.concat("role", F.lit("_"), "turn", F.lit(".pdf")).alias("name"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -72,14 +73,15 @@ def framework_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keywords.filter(~short), rejects
 
 
-def pack_attachments(df: DataFrame, count: int = 9) -> DataFrame:
+def pack_attachments(df: DataFrame) -> DataFrame:
     """Fold the numbered ``PDF_i_*`` columns into one array of structs."""
 
     def field(i: int, part: str) -> Column:
         name = f"PDF_{i}_{part}"
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
-    present = [i for i in range(1, count + 1) if f"PDF_{i}_Name" in df.columns]
+    numbers = (re.fullmatch(r"PDF_(\d+)_Name", c) for c in df.columns)
+    present = sorted(int(m[1]) for m in numbers if m)
     structs = [
         F.struct(
             F.lit(i).alias("pos"), field(i, "Name").alias("name"),
@@ -89,7 +91,7 @@ def pack_attachments(df: DataFrame, count: int = 9) -> DataFrame:
         for i in present
     ]
     packed = F.filter(F.array(*structs), lambda p: p["name"].isNotNull()) if structs else F.array()
-    wide = [c for c in df.columns if c.startswith("PDF_")]
+    wide = [c for c in df.columns if re.fullmatch(r"PDF_\d+_(Name|Content|Path|Type)", c)]
     return df.withColumn("pdfs", packed.cast(T.ArrayType(ATTACHMENT))).drop(*wide)
 
 
@@ -118,9 +120,9 @@ def write_reports(df: DataFrame, path: str, mode: str = "error", by: Sequence[st
 def case_folder(
     ref: str = "ref", name: str = "deceased_name", year: str = "year", record_id: str = "record_id"
 ) -> Column:
-    """Folder name of a case: reference, safe name (50 characters), year."""
+    """Folder name of a case: reference, safe name, year."""
     safe = F.regexp_replace(F.col(name), r'[<>:"/\\|?*]', "_")
-    parts = F.concat_ws("_", F.col(ref), strip(F.substring(safe, 1, 50)))
+    parts = F.concat_ws("_", F.col(ref), strip(safe))
     none = F.col(ref).isNull() & F.col(name).isNull()
     folder = F.when(none, F.concat(F.lit("report_"), F.col(record_id))).otherwise(parts)
     return F.concat_ws("_", folder, F.col(year))

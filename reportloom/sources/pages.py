@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportloom.functions.helpers import ColumnOrName, as_col, collapse_spaces, let
 from reportloom.functions.text import clean_text, nfkd
 
-# The entities a page text may hold, "&" last.
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-    ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"),
-    ("&amp;", "&"),
-]
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# All named entities, as one literal that is parsed once.
+_NAMES = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
 
 
 def without_scripts(html: ColumnOrName) -> Column:
@@ -21,10 +21,54 @@ def without_scripts(html: ColumnOrName) -> Column:
     return F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
 
 
+def _entity(name: Column) -> Column:
+    """The text of an entity; unknown names and numbers stay as they are."""
+    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
+    number = digits.try_cast("int")
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    named = F.try_element_at(F.from_json(F.lit(_NAMES), "map<string,string>"), name)
+    known = F.when(F.startswith(name, F.lit("#")), F.when(valid, char)).otherwise(named)
+    # A blank that must not break is a blank here.
+    return F.replace(F.coalesce(known, F.concat(F.lit("&"), name, F.lit(";"))), F.lit("\u00a0"), F.lit(" "))
+
+
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numeric entities as text, each decoded once."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), _entity)
+    parts = F.zip_with(F.split(text, _ENTITY, -1), found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+
+def _plain_path(path: Column) -> Column:
+    """A path from the root without its "." and ".." steps."""
+    none = F.array().cast("array<string>")
+    steps = F.aggregate(F.split(path, "/", -1), none, lambda kept, step: (
+        F.when(step == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+        .when(step == ".", kept).otherwise(F.concat(kept, F.array(step)))
+    ))
+    ending = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return F.concat(F.array_join(steps, "/"), ending)
+
+
+def absolute_url(href: Column, base: Column) -> Column:
+    """The address a link leads to from the page ``base``."""
+    link = F.trim(unescape(href))
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(page, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    path = F.regexp_extract(link, "^([^?#]*)", 1)
+    rest = F.substring(link, F.length(path) + 1, F.length(link))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(site, page, link))
+        .when(link == "", base)
+        .when(F.startswith(link, F.lit("/")), F.concat(site, _plain_path(path), rest))
+        .otherwise(F.concat(site, _plain_path(F.concat(folder, path)), rest))
+    )
 
 
 def inner_text(fragment: Column) -> Column:
@@ -58,14 +102,9 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url", key: str
             inner_text(a).alias("link_text"),
         ),
     )
-    site = F.regexp_extract(F.col(url), r"^(https?://[^/]+)", 1)
-    rows = pages.select(key, site.alias("_site"), F.posexplode(anchors).alias("pos", "a"))
+    rows = pages.select(key, F.col(url).alias("_url"), F.posexplode(anchors).alias("pos", "a"))
     href = F.col("a.href")
-    absolute = (
-        F.when(href.rlike("(?i)^https?://"), href)
-        .when(F.startswith(href, F.lit("/")), F.concat("_site", href))
-        .otherwise(F.concat(F.col("_site"), F.lit("/"), href))
-    )
+    absolute = absolute_url(href, F.col("_url"))
     response = F.lower("a.link_text").rlike("response|reply")
     return rows.select(
         key, "pos", absolute.alias("link_url"), F.col("a.link_text").alias("link_text"),

@@ -36,7 +36,7 @@ def test_cluster_range():
 def test_cohesion_counts_copies(spark):
     docs = spark.createDataFrame([(1, "aa bb"), (2, "aa bb"), (3, "aa bb"), (4, "cc dd")], "record_id long, content string")
     labels = docs.select("record_id", F.lit(0).alias("cluster"))
-    got = K.cohesion(labels, *X.similar_documents(docs, max_df=1.0)).first()
+    got = K.cohesion(X.tfidf(docs), labels).first()
     assert got["cohesion"] == pytest.approx((9 + 1) / 16)
 
 
@@ -60,9 +60,9 @@ def test_topics(spark, topics_corpus):
         assert 0 <= r["density"] <= 1 and r["degree"] >= 1
 
 
-def test_too_many_topics_shrink(spark):
+def test_number_of_topics_is_kept(spark):
     docs = spark.createDataFrame([(i, f"alpha beta gamma delta word{'abcd'[i]}") for i in range(4)], "record_id long, content string")
-    assert O.fit_topics(docs, 9, min_df=1, max_df=1.0, iterations=2).words.select("topic").distinct().count() == 2
+    assert O.fit_topics(docs, 9, iterations=2).words.select("topic").distinct().count() == 9
 
 
 def test_classifier_learns_and_keeps_unlabelled_rows(spark):

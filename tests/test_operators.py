@@ -87,6 +87,8 @@ def test_dashboard_properties(spark):
     wide = D.comparison_pivot(D.multi_area_comparison(a, 1, 3), ["T0", "T1"])
     assert wide.columns == ["coroner_area", "total_cases", "T0", "T1"]
     assert D.score_histogram(a).agg(F.sum("n")).first()[0] == a.count()
+    far = a.sparkSession.createDataFrame([(1.2,), (-0.1,), (0.5,), (None,)], "combined_score double")
+    assert {r["bin"]: r["n"] for r in D.score_histogram(far).filter("n > 0").collect()} == {20: 1, -1: 1, 10: 1}
 
 
 def test_theme_groups_ignore_case(spark):
@@ -193,17 +195,15 @@ def corpus(spark, n, words, length, copies, seed):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "record_id long, content string")
 
 
-@pytest.mark.parametrize("n, words, length, threshold, block", [
-    (60, 30, 12, 0.3, 7), (60, 30, 12, 0.7, 1000), (80, 600, 8, 0.3, 10), (80, 600, 8, 0.6, 5),
+@pytest.mark.parametrize("n, words, length, threshold", [
+    (60, 30, 12, 0.3), (60, 30, 12, 0.7), (80, 600, 8, 0.3), (80, 600, 8, 0.8),
 ])
-def test_similar_pairs_equal_brute_force(spark, n, words, length, threshold, block):
+def test_similar_pairs_equal_brute_force(spark, n, words, length, threshold):
     docs = corpus(spark, n, words, length, 40, seed=n + words)
     counts = X.term_counts(docs)
-    vocab = X.vocabulary(counts, X.document_count(docs))
-    weights = X.tfidf_weights(X.in_vocabulary(counts, vocab))
-    term_ids = X.number_terms(vocab)
-    vectors = X.document_vectors(weights, term_ids)
-    groups = X.copy_groups(vectors)
+    known = X.in_vocabulary(counts, X.vocabulary(counts, X.document_count(docs)))
+    weights = X.tfidf_weights(known)
+    groups = X.copy_groups(X.document_vectors(known, weights))
     table = {}
     for r in weights.collect():
         table.setdefault(r["record_id"], {})[r["term"]] = r["weight"]
@@ -214,23 +214,11 @@ def test_similar_pairs_equal_brute_force(spark, n, words, length, threshold, blo
         cosine = sum(w * table[b].get(t, 0.0) for t, w in table[a].items())
         if cosine >= threshold:
             expected[(a, b)] = cosine
-    got = X.similar_pairs(groups, term_ids, threshold, block).collect()
+    got = X.similar_pairs(groups, threshold).collect()
     assert len(got) == len({(r["left_id"], r["right_id"]) for r in got})
     assert {(r["left_id"], r["right_id"]): pytest.approx(r["cosine"]) for r in got} == expected
 
 
-def test_both_ways_of_meeting_are_covered(spark):
-    for words, length, single in ((30, 12, True), (600, 8, False)):
-        docs = corpus(spark, 80, words, length, 0, seed=3)
-        counts = X.term_counts(docs)
-        vocab = X.vocabulary(counts, X.document_count(docs))
-        term_ids = X.number_terms(vocab)
-        groups = X.copy_groups(X.document_vectors(X.tfidf_weights(X.in_vocabulary(counts, vocab)), term_ids))
-        sized = groups.withColumn("prefix", X._prefix_length(F.col("vector"), 0.6))
-        units = X._meeting_units(sized, term_ids, 10).select("unit").distinct().count()
-        assert (units == 1) is single
-
-
 def test_tf_and_idf_schemes(spark):
     docs = spark.createDataFrame([(1, "aa aa bb"), (2, "aa cc"), (3, "dd the")], "record_id int, content string")
     counts = X.term_counts(docs)
