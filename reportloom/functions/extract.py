@@ -118,13 +118,13 @@ def extract_concerns(
     headings: Sequence[str] = CONCERN_HEADINGS,
     ends: Sequence[str] = CONCERN_ENDS,
     mode: str = "section",
-    window: int = 2000,
+    window: int | None = None,
 ) -> Column:
     """Concern section of a report, '' if it has none.
 
     ``section``: white space collapsed, cut at the earliest end phrase and after
     the last full stop. ``window``: text as it is, up to the end phrase or, if
-    there is none, ``window`` characters.
+    there is none, to its end or ``window`` characters.
     """
     raw = F.coalesce(as_col(content), F.lit(""))
     text = collapse_spaces(raw) if mode == "section" else raw
@@ -144,14 +144,15 @@ def extract_concerns(
                 stop = F.coalesce(stop, F.length(body) + 1)
                 found = strip(F.substr(body, s, stop - s))
                 return F.regexp_replace(found, r"(?s)\.[^.]*\z", ".")
-            return strip(F.substr(body, s, F.coalesce(stop - s, F.lit(window))))
+            rest = F.length(body) + 1 - s if window is None else F.lit(window)
+            return strip(F.substr(body, s, F.coalesce(stop - s, rest)))
 
         return F.coalesce(let(start, lambda s: F.when(s.isNotNull(), cut(s))), F.lit(""))
 
     return let(text, lambda body: let(F.lower(body), lambda lower: section(body, lower)))
 
 
-def extract_concerns_window(content: ColumnOrName, window: int = 2000) -> Column:
+def extract_concerns_window(content: ColumnOrName, window: int | None = None) -> Column:
     return extract_concerns(content, WINDOW_HEADINGS, WINDOW_ENDS, "window", window)
 
 
@@ -331,19 +332,21 @@ LETTER_DEAR = r"(?i)^(?:dear\b|(?:mr|mrs|ms|miss|mx)[: ])"
 LETTER_SENDER = r"(?i)[\d,]|inc|corp|company|llc|ltd|trust|agency|service"
 
 
-def letter_fields(df: DataFrame, text: str = "text") -> DataFrame:
+def letter_fields(
+    df: DataFrame, text: str = "text", label_lines: int | None = None,
+    date_lines: int | None = None, sender_lines: int | None = 10,
+) -> DataFrame:
     """Subject, date, year, sender, addressee, body and status of a letter."""
     lines = F.filter(
         F.transform(F.split(F.col(text), r"\R|[\u001c-\u001e]"), strip), lambda l: l != ""
     )
 
-    def first_at(limit: int, test) -> Column:
+    def head(limit: int | None) -> Column:
+        return F.col("_lines") if limit is None else F.slice(F.col("_lines"), 1, limit)
+
+    def first_at(test) -> Column:
         hits = F.filter(
-            F.transform(
-                F.slice(F.col("_lines"), 1, limit),
-                lambda l, i: F.when(test(l), i),
-            ),
-            lambda i: i.isNotNull(),
+            F.transform(head(label_lines), lambda l, i: F.when(test(l), i)), lambda i: i.isNotNull()
         )
         return F.get(hits, F.lit(0))
 
@@ -353,13 +356,13 @@ def letter_fields(df: DataFrame, text: str = "text") -> DataFrame:
         ], F.lit(""))
 
     raw_date = F.get(
-        F.filter(F.transform(F.slice(F.col("_lines"), 1, 40), line_date), lambda d: d != ""),
+        F.filter(F.transform(head(date_lines), line_date), lambda d: d != ""),
         F.lit(0),
     )
     staged = df.withColumn("_lines", lines).withColumns({
         "_raw": F.regexp_replace(raw_date, r"(\d{1,2})(?:st|nd|rd|th)", "$1"),
-        "_title_at": first_at(30, lambda l: l.rlike(LETTER_SUBJECT)),
-        "_to_at": first_at(30, lambda l: l.rlike(LETTER_TO) | l.rlike(LETTER_DEAR)),
+        "_title_at": first_at(lambda l: l.rlike(LETTER_SUBJECT)),
+        "_to_at": first_at(lambda l: l.rlike(LETTER_TO) | l.rlike(LETTER_DEAR)),
     }).withColumns({
         "_date": F.try_to_date(collapse_spaces("_raw"), "d MMMM yyyy"),
         "_to_line": F.get(F.col("_lines"), F.col("_to_at")),
@@ -367,7 +370,7 @@ def letter_fields(df: DataFrame, text: str = "text") -> DataFrame:
     salutation = F.when(
         F.col("_to_line").rlike(LETTER_TO), F.regexp_replace("_to_line", r"(?i)^to\s+", "")
     ).otherwise(F.regexp_replace("_to_line", r"(?i)^dear\s+", ""))
-    sender = F.filter(F.slice(F.col("_lines"), 1, 10), lambda l: l.rlike(LETTER_SENDER))
+    sender = F.filter(head(sender_lines), lambda l: l.rlike(LETTER_SENDER))
     body_at = F.coalesce(F.col("_to_at"), F.col("_title_at"), F.lit(-1)) + 2
     return staged.withColumns({
         "subject": F.coalesce(F.get(F.col("_lines"), F.col("_title_at")), F.lit("")),
@@ -433,16 +436,21 @@ def extract_sections(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumns({**sections, **labels})
 
 
-def document_summary(df: DataFrame, content: str = "content") -> DataFrame:
-    """Two short summaries made of the found sections, with a confidence."""
+def document_summary(
+    df: DataFrame, content: str = "content", section_chars: int | None = None, brief_chars: int | None = None
+) -> DataFrame:
+    """Two summaries made of the found sections, with a confidence.
+
+    Sections are given whole unless a number of characters is asked for.
+    """
     names = ["circumstances", "concerns", "actions"]
     found = extract_sections(df, content)
 
-    def part(name: str, label: str, chars: int) -> Column:
+    def part(name: str, label: str, chars: int | None) -> Column:
         text = F.col(f"{name}.content")
-        return F.when(F.col(name).isNotNull(), F.concat(
-            F.lit(label), F.substring(text, 1, chars), F.lit("...")
-        ))
+        if chars is not None:
+            text = F.concat(F.substring(text, 1, chars), F.lit("..."))
+        return F.when(F.col(name).isNotNull(), F.concat(F.lit(label), text))
 
     facts = sum((F.when(F.col(n).isNotNull(), 1).otherwise(0) for n in names), F.lit(0))
     opening = F.when(
@@ -457,9 +465,9 @@ def document_summary(df: DataFrame, content: str = "content") -> DataFrame:
         F.concat(F.lit("regarding the death of "), "label_deceased"),
     )
     return found.withColumns({
-        "extractive": F.concat_ws("\n\n", *[part(n, f"{n.upper()}:\n", 300) for n in names]),
+        "extractive": F.concat_ws("\n\n", *[part(n, f"{n.upper()}:\n", section_chars) for n in names]),
         "abstractive": F.concat_ws(
-            " ", opening, person, *[part(n, f"\n{n.title()}: ", 200) for n in names]
+            " ", opening, person, *[part(n, f"\n{n.title()}: ", brief_chars) for n in names]
         ),
         "confidence": F.round(facts / 3, 4),
     })

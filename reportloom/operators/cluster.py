@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import clean_text_for_modeling, split_sentences, tokens
 from reportloom.operators.small import top_n_per_group
+from reportloom.operators.vectors import idf_weight
 from reportloom.session import materialize
 
 
@@ -255,8 +256,9 @@ def _centroid_products(center: DataFrame) -> Column:
     return dots.agg(F.collect_list(F.struct("a", "b", "dot"))).scalar()
 
 
-def cluster_summary(terms: DataFrame, sizes: DataFrame, max_length: int = 200) -> DataFrame:
+def cluster_summary(terms: DataFrame, sizes: DataFrame, max_length: int | None = None) -> DataFrame:
     """A sentence per cluster from its leading terms and its size."""
+    cut = (lambda c: c) if max_length is None else (lambda c: F.substring(c, 1, max_length))
     listed = terms.groupBy("cluster").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("t")
     )
@@ -288,7 +290,7 @@ def cluster_summary(terms: DataFrame, sizes: DataFrame, max_length: int = 200) -
     )
     return joined.select(
         "cluster", "size",
-        F.when(F.size("t") >= 3, F.substring(F.concat(lead, band, related), 1, max_length))
+        F.when(F.size("t") >= 3, cut(F.concat(lead, band, related)))
         .otherwise(small).alias("summary"),
         F.when(F.size("t") == 0, "No significant terms found for this cluster.")
         .otherwise(F.concat(focus, band)).alias("overview"),

@@ -23,15 +23,6 @@ def as_array(dim: DataFrame, *columns: str, max_rows: int = MAX_DIMENSION_ROWS)
     ).scalar()
 
 
-def bounded(dim: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """A dimension for a join: broadcast if it is small, else left to the planner.
-
-    The size is counted first (at most ``max_rows + 1`` rows are looked at). A
-    larger table joins by shuffle, where adaptive execution splits hot keys.
-    """
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
-
-
 def with_each(df: DataFrame, dim: DataFrame, *columns: str, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
     """Every row of ``df`` with every row of a small dimension (zero-filled grids)."""
     staged = df.withColumn("_dim", as_array(dim, *columns, max_rows=max_rows))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from reportloom.functions.text import split_sentences
 from reportloom.operators import annotate as N, classify as C, dashboard as D, evaluate as V, spans as S
@@ -61,15 +61,22 @@ def _(spark, d):
     return pairs.select("record_id", "framework", "theme", F.round("similarity", 4).alias("similarity"))
 
 
-@query("n1_expand_keywords", f"""
-    WITH {FRAMEWORKS_SQL}, k AS (
+@query("n1_expand_keywords", """
+    WITH fw AS (SELECT p_brand AS framework, p_type AS theme, lower(p_name) AS keyword,
+      row_number() OVER (PARTITION BY p_brand, p_type ORDER BY lower(p_name)) - 1 AS kw_idx FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part)), k AS (
       SELECT framework, theme, 0 AS derived, kw_idx, keyword FROM fw UNION ALL
       SELECT framework, theme, 1, kw_idx, regexp_replace(regexp_replace(keyword, '(ing|ed)$', ''), 's$', '') FROM fw),
     f AS (SELECT framework, theme, keyword, min((derived, kw_idx)) AS f FROM k GROUP BY ALL)
     SELECT framework, theme, keyword, (row_number() OVER (PARTITION BY framework, theme ORDER BY f) - 1)::INT AS kw_idx FROM f
 """)
 def _(spark, d):
-    return N.expand_keywords(frameworks(spark)).drop("theme_idx")
+    # A brand is a framework, a type of part a theme, its part names the keywords.
+    parts = spark.read.parquet(f"{d}/part.parquet").select(
+        F.col("p_brand").alias("framework"), F.col("p_type").alias("theme"), F.lower("p_name").alias("keyword")
+    ).distinct()
+    order = Window.partitionBy("framework", "theme").orderBy("keyword")
+    fw = parts.withColumns({"theme_idx": F.lit(0), "kw_idx": F.row_number().over(order) - 1})
+    return N.expand_keywords(fw).drop("theme_idx")
 
 
 @query("n2_keyword_spans", f'{_HITS} SELECT record_id, theme_key, "start", "end", keywords, sentence FROM spans')

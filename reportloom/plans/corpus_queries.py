@@ -61,12 +61,28 @@ def _(spark, d):
 """)
 def _(spark, d):
     r = reports(spark, d)
-    return files.stack_files({
+    parts = {
         "first.csv": r.select("record_id", "title"),
         "second.csv": r.filter("o_orderstatus = 'F'").select(
             "record_id", "title", F.col("o_orderpriority").alias("priority")
         ),
-    })
+    }
+    read = {}
+    for name, part in parts.items():
+        path = scratch_path(spark, "reports_csv")
+        part.write.options(header=True, escape='"', quote='"').csv(path)
+        # Each part is a folder of files with names of its own; their columns differ.
+        read[name] = files.read_report_folder(spark, path, part.schema).drop("source_file")
+    return files.stack_files(read)
+
+
+def _framework_files(spark, raw):
+    """One JSON file per brand, of which there are a few dozen, by the brand's name."""
+    path = scratch_path(spark, "frameworks")
+    place = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")
+    raw.select("value", place.alias("place")).repartition("place").write.partitionBy("place").text(path)
+    names = raw.select("p_brand", place.alias("place")).collect()
+    return {r.p_brand: f"{path}/place={r.place}" for r in names}
 
 
 @query("s3_read_frameworks", """
@@ -79,22 +95,40 @@ def _(spark, d):
         F.sort_array(F.collect_set("p_name")).alias("keywords")
     )
     # A framework is a list of themes as one JSON text; parts have a few brands.
-    raw = themes.groupBy(F.col("p_brand").alias("framework")).agg(
+    raw = themes.groupBy("p_brand").agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct("name", "keywords")))).alias("value")
+    )
+    return files.read_frameworks(spark, _framework_files(spark, raw))[0].drop("kw_idx")
+
+
+@query("s3_framework_rejects", """
+    SELECT DISTINCT p_brand AS framework, p_type AS theme, substr(p_name, 1, 2) AS keyword,
+      'keyword under three characters' AS reason FROM part
+""")
+def _(spark, d):
+    # Keywords cut to two characters must all come back as rejects.
+    themes = table(spark, d, "part").groupBy("p_brand", F.col("p_type").alias("name")).agg(
+        F.sort_array(F.collect_set(F.substring("p_name", 1, 2))).alias("keywords")
+    )
+    raw = themes.groupBy("p_brand").agg(
         F.to_json(F.sort_array(F.collect_list(F.struct("name", "keywords")))).alias("value")
-    ).select("framework", F.from_json("value", files.FRAMEWORK_FILE).alias("themes"))
-    return files.framework_tables(raw)[0].drop("kw_idx")
+    )
+    rejects = files.read_frameworks(spark, _framework_files(spark, raw))[1]
+    return rejects.select("framework", "theme", "keyword", "reason")
 
 
 @query("s4_pack_attachments", f"""
     WITH {ATTACH_SQL}
     SELECT record_id, count(*) AS n, string_agg(pos + 1 || ':' || name || ':' || type, ',' ORDER BY pos) AS packed
-    FROM att WHERE pos < 3 GROUP BY record_id
+    FROM att GROUP BY record_id
 """)
 def _(spark, d):
-    one = [F.get("pdfs", F.lit(i)) for i in range(3)]
+    reports_in = attachment_reports(spark, d)
+    most = reports_in.agg(F.max(F.size("pdfs"))).first()[0] or 0  # columns of the widest report
+    one = [F.get("pdfs", F.lit(i)) for i in range(most)]
     parts = {"Name": "name", "Content": "content", "Path": "path", "Type": "type"}
-    wide = attachment_reports(spark, d).select("record_id", *[
-        one[i][field].alias(f"PDF_{i + 1}_{part}") for i in range(3) for part, field in parts.items()
+    wide = reports_in.select("record_id", *[
+        one[i][field].alias(f"PDF_{i + 1}_{part}") for i in range(most) for part, field in parts.items()
     ])
     item = F.transform("pdfs", lambda p: F.concat_ws(":", p["pos"].cast("string"), p["name"], p["type"]))
     return files.pack_attachments(wide).select(

@@ -249,7 +249,7 @@ _BAND = "CASE WHEN size > 10 THEN ' This is a major theme appearing in ' || size
 
 @query("x13_cluster_summary", f"""
     WITH {_TERMS}, t AS (SELECT cluster, list(term ORDER BY rank) AS t FROM terms GROUP BY 1)
-    SELECT cluster, size, ('This cluster focuses on ' || t[1] || ', ' || t[2] || ' and ' || t[3] || '.' || {_BAND} || ' Related concepts include ' || array_to_string(t[4:6], ', ') || '.')[1:200] AS summary,
+    SELECT cluster, size, ('This cluster focuses on ' || t[1] || ', ' || t[2] || ' and ' || t[3] || '.' || {_BAND} || ' Related concepts include ' || array_to_string(t[4:6], ', ') || '.') AS summary,
       'This cluster focuses on ' || array_to_string(t[1:4], ', ') || ' and ' || t[5] || '.' || {_BAND} AS overview
     FROM size JOIN t USING (cluster)
 """)
