@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.helpers import blank, strip
-from reportloom.operators.small import with_each
 
 
 def labelled(df: DataFrame) -> DataFrame:
@@ -21,17 +20,16 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def confusion(df: DataFrame) -> DataFrame:
-    """Count per predicted (row) and human (column) label, zeros kept."""
+    """Count per predicted (row) and human (column) label.
+
+    Every label has its diagonal cell, 0 included; other cells that are 0 are
+    left out, so the result grows with the labels and not with their square.
+    """
     rows = labelled(df)
     cells = rows.groupBy("predicted", "human").agg(F.count("*").alias("n"))
     labels = cells.select(F.explode(F.array("predicted", "human")).alias("label")).distinct()
-    grid = with_each(
-        labels.select(F.col("label").alias("predicted")),
-        labels.select(F.col("label").alias("human")), "human", max_rows=10_000,
-    )
-    return grid.join(cells, ["predicted", "human"], "left").select(
-        "predicted", "human", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    diagonal = labels.select(F.col("label").alias("predicted"), F.col("label").alias("human"), F.lit(0).cast("long").alias("n"))
+    return cells.unionByName(diagonal).groupBy("predicted", "human").agg(F.sum("n").alias("n"))
 
 
 def confusion_normalised(df: DataFrame) -> DataFrame:

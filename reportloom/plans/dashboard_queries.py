@@ -216,12 +216,13 @@ def _(spark, d):
 
 
 @query("j6_theme_pairs", f"""
-    {A}, p AS (SELECT DISTINCT record_id, theme FROM ann)
+    {A}, t AS (SELECT theme FROM ann GROUP BY 1 ORDER BY count(*) DESC, theme LIMIT 10),
+    p AS (SELECT DISTINCT record_id, theme FROM ann WHERE theme IN (SELECT theme FROM t))
     SELECT a.theme AS theme_a, b.theme AS theme_b, count(*) AS n FROM p a JOIN p b ON a.record_id = b.record_id GROUP BY 1, 2
 """)
 def _(spark, d):
     a = line_annotations(spark, d)
-    return D.theme_pairs(D.theme_set_counts(a, a.select("theme").distinct())).withColumn("n", F.col("n").cast("long"))
+    return D.theme_pairs(D.theme_set_counts(a, D.top_themes(a, 10).select("theme"))).withColumn("n", F.col("n").cast("long"))
 
 
 @query("j7_zero_filled_grid", f"{_GRID} SELECT coroner_area, theme, n FROM grid")
@@ -317,8 +318,7 @@ def _(spark, d):
 E = f"WITH {EVAL_SQL}"
 _CONF = f"""{E}, c AS (SELECT predicted, human, count(*) AS n FROM ev GROUP BY 1, 2),
     l AS (SELECT DISTINCT unnest([predicted, human]) AS label FROM c),
-    m AS (SELECT a.label AS predicted, b.label AS human, coalesce(n, 0) AS n FROM l a CROSS JOIN l b
-      LEFT JOIN c ON c.predicted = a.label AND c.human = b.label)"""
+    m AS (SELECT predicted, human, sum(n)::BIGINT AS n FROM (SELECT * FROM c UNION ALL SELECT label, label, 0 FROM l) GROUP BY 1, 2)"""
 
 
 @query("v1_confusion", f"{_CONF} SELECT * FROM m")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportloom.operators import annotate as N, dashboard as D, dedup, evaluate as V, profile as A, spans as S, vectors as X
-from reportloom.operators.small import as_array, bounded, with_each
+from reportloom.operators.small import as_array, with_each
 
 
 def test_keep_first_null_keys_and_ties(spark):
@@ -28,11 +28,6 @@ def test_dimension_bound_is_enforced(spark):
     dim = spark.range(20)
     with pytest.raises(Exception, match="dimension exceeds"):
         spark.range(1).select(as_array(dim, "id", max_rows=10)).collect()
-    for limit, broadcast in ((10, False), (20, True)):
-        joined = spark.range(5).join(bounded(dim, limit), "id")
-        hints = joined._jdf.queryExecution().analyzed().toString()
-        assert ("strategy=broadcast" in hints) is broadcast
-        assert joined.count() == 5
     assert with_each(spark.range(3).toDF("a"), dim, "id").count() == 60
 
 
@@ -111,7 +106,7 @@ def test_evaluation(spark):
     assert (m["never"]["precision"], m["never"]["recall"]) == (0.0, 0.0)
     confusion = V.confusion(df)
     assert confusion.agg(F.sum("n")).first()[0] == 4
-    assert confusion.count() == len({"A", "a", "B", "never"}) ** 2
+    assert confusion.filter("predicted = human").count() == len({"A", "a", "B", "never"})
     assert {r["title"]: r["correct_themes"] for r in V.report_precision(df).collect()} == {"r": "B", "s": ""}
 
 
