@@ -190,34 +190,72 @@ def _candidate_sets(documents: DataFrame, sketched: DataFrame, pairs: DataFrame)
 def near_links(documents: DataFrame, sketched: DataFrame, percent: int = 85) -> DataFrame:
     """(node, label) of all nodes that are linked with others.
 
-    First every member of a band's bucket is compared with the least member of that bucket. Then,
+    First every member of a band's bucket is compared with the head of that bucket, the member
+    that shares most buckets with others. Then,
     in buckets that still hold several components, members of different
-    components are compared if their sizes allow the similarity; members of one
-    component need no comparison. So a large group of near copies costs one
-    comparison per member and bucket, and no link between components is missed.
+    components are compared if their sizes, without the shingles that only one
+    node holds, allow the similarity; members of one component need no
+    comparison. So a large group of near copies costs one comparison per
+    member and bucket, and no link between components is missed.
     """
     nodes = sketched.filter("node is not null").groupBy("node").agg(
         F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail")
-    members = materialize(rows.join(heads.select("bucket", "head"), "bucket"), "buckets")
-    pairs = materialize(members.filter("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "head-pairs")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = materialize(rows.join(shared, "bucket"), "buckets")
+    # The text that others were copied from shares more buckets than they do among each other.
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    heads = members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+    pairs = members.join(heads, "bucket").filter("head <> node")
+    pairs = materialize(pairs.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "head-pairs")
     sets = materialize(_candidate_sets(documents, sketched, pairs), "sets")
     links = materialize(verified(pairs, sets, percent), "links")
     labels = materialize(components(links), "labels")
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("head")
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("size")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     open_rows = materialize(named.join(mixed.select("bucket"), "bucket"), "open-buckets")
-    a = open_rows.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = open_rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))
-    rest = a.join(b, "bucket").filter(fits).select("a", "b").distinct()
+    able = _able_nodes(open_rows.select("node", "n").distinct(), sets, percent)
+    sides = open_rows.join(able, "node").join(nodes.select("node", "bands"), "node")
+    a, b = (sides.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "own", "label", "bands"))) for side in "ab")
+    # Of several buckets that two nodes share only the first brings them together.
+    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    fits = (
+        (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b"))
+        & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+        & (F.array_intersect("bands_a", "bands_b")[0] == F.col("bucket"))
+    )
+    rest = a.join(b, "bucket").filter(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
     more = materialize(verified(rest, sets, percent), "links")
     if more.isEmpty():
         return labels
-    return materialize(components(links.unionByName(more)), "labels")
+    # Only the components that further links join are labelled anew.
+    over = more
+    for side in "ab":
+        over = over.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), side, "left")
+        over = over.withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+    merged = materialize(components(over).select(F.col("node").alias("label"), F.col("label").alias("final")), "labels")
+    alone = merged.join(labels, merged["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), "final")
+    final = labels.join(merged, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    return final.unionByName(alone.select("node", F.col("final").alias("label")))
+
+
+def _able_nodes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, own): the nodes that may have a link at all, and how many shingles only they hold.
+
+    What a node alone holds is in no intersection, so a node of which more than
+    the allowed difference is its own has no link. Without such nodes the others' own
+    shingles are counted once more.
+    """
+    able = nodes
+    for _ in range(2):
+        listed = able.select("node").join(sets, "node").select("node", F.explode("shingles").alias("shingle"))
+        single = listed.groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node")).filter("held = 1")
+        own = single.groupBy("node").agg(F.count("*").alias("own"))
+        counted = able.select("node", "n").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        able = materialize(counted.filter(100 * F.col("own") <= (100 - percent) * F.col("n")), "able-nodes")
+    return able.select("node", "own")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
