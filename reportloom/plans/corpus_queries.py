@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
+from pyspark.sql.types import ArrayType
 
 from reportloom.functions import extract as X, predicates as P, text as T
 from reportloom.operators import dedup, profile as A
+from reportloom.operators.merge import merge_reports
 from reportloom.plans.registry import query
 from reportloom.plans.tables import (
     ATTACH_SQL, DOCS_SQL, EVAL_SQL, REPORTS_SQL, attachment_reports, docs, eval_rows,
     reports, table,
 )
 from reportloom.plans.text_queries import SENTENCES_SQL, SQL_LEMMA, sql_list
-from reportloom.schema import reduced_view
+from reportloom.schema import ATTACHMENT, reduced_view
 from reportloom.session import scratch_path
 from reportloom.sources import files, pages
 
@@ -390,6 +392,34 @@ def _(spark, d):
     return dedup.keep_first(duplicated(spark, d), ["ref"], keep_null_keys=True).select("record_id", "ref", "source_file")
 
 
+# --- merge step ---------------------------------------------------------------
+
+@query("merge_reports", f"""
+    WITH {REPORTS_SQL} SELECT record_id, title, 'a.csv' AS source_file, date_of_report, ref, deceased_name,
+      deceased_name AS coroner_name, lower(coroner_area) AS coroner_area, categories, extracted_concerns,
+      CASE WHEN o_orderstatus = 'O' THEN 'attachment_1' END AS content_source FROM facts
+""")
+def _(spark, d):
+    # Open orders state their text in an attachment; urgent ones come again in a later file.
+    r = reports(spark, d)
+    blank_row = F.col("o_orderstatus") == "O"
+    pdf = F.struct(
+        F.lit(1).alias("pos"), F.lit("letter.pdf").alias("name"), F.col("content").alias("content"),
+        F.lit("/files/letter.pdf").alias("path"), F.lit("report").alias("type"),
+    ).cast(ATTACHMENT)
+    first = r.select(
+        "record_id", "ingest_seq", "title", "o_orderpriority",
+        F.when(blank_row, " ").otherwise(F.col("content")).alias("content"),
+        F.when(blank_row, F.array(pdf)).otherwise(F.array().cast(ArrayType(ATTACHMENT))).alias("pdfs"),
+    )
+    again = first.filter("o_orderpriority = '1-URGENT'").withColumn("ingest_seq", F.col("ingest_seq") + 1_000_000_000)
+    merged = merge_reports({"a.csv": first.drop("o_orderpriority"), "b.csv": again.drop("o_orderpriority")})
+    return merged.select(
+        "record_id", "title", "source_file", "date_of_report", "ref", "deceased_name", "coroner_name", "coroner_area",
+        F.array_join("categories", "|").alias("categories"), "extracted_concerns", "content_source",
+    )
+
+
 # --- corpus profile ---------------------------------------------------------
 
 _TRUTH = f"WITH {REPORTS_SQL}, r AS (SELECT * FROM facts)"
