@@ -5,27 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-LONG = " ".join(f"wort{i % 997}x{i}" for i in range(30_000))
-SECRET = "client_id: myapp77 and zzqJalrXUtnFEMIK7MDENGbPxRfiCYEX1 at https://x.example.com/a end of it all"
-# doc_id, text, lang, source: absent values, empty and long texts, repeated rows and ids, ties.
-EDGE = [
-    (1, "one two three four five six seven eight nine ten eleven twelve", "en", "a"),
-    (2, "one two three four five six seven eight nine ten eleven twelve", "en", "a"),
-    (2, "one two three four five six seven eight nine ten eleven twelve", "en", "a"),
-    (3, None, "en", None),
-    (4, "", None, "a"),
-    (5, " \n\t ", None, None),
-    (None, "token=abcdefghijklmnop and some more words to fill a line of text here", "en", "a"),
-    (None, None, None, None),
-    (6, "ONE two three four five six seven eight nine ten eleven twelve", "de", "b"),
-    (7, LONG, "de", "b"),
-    (8, LONG + " und ein Ende", "de", "b"),
-    (9, "é" * 5000 + " <|endoftext|> \x1c x y \U0001f600 İstanbul.", "fr", "b"),
-    (10, "same line\nsame line\n\nsame line\n" * 40, "fr", "b"),
-    (11, SECRET, "en", "a"),
-    (11, "another text under the same id, long enough to pass the rules for words", "en", "a"),
-]
-COLUMNS = "doc_id long, text string, lang string, source string"
+from brute import COLUMNS, EDGE  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import brute
-from conftest import EDGE
+from brute import EDGE
 from reportloom.llm import bpe, packing, token_counts, tokens
 from reportloom.llm.queries import QUERIES
 
