@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reportloom.functions.extract import process_reports
 from reportloom.plans.registry import query
-from reportloom.plans.tables import table
+from reportloom.plans.tables import REPORTS_SQL, reports, table
 from reportloom.session import scratch_path
 from reportloom.streaming import jobs
 
@@ -16,18 +16,31 @@ def _stream(spark, d, name, files_per_batch=5):
     return jobs.report_stream(spark, d, schema, files_per_batch, pattern=f"{name}.parquet")
 
 
-@query("r1_incremental_ingest", "SELECT doc_id AS record_id, length(text)::INT AS n_chars, '' AS extracted_concerns FROM documents")
+@query("r1_incremental_ingest", f"""
+    WITH {REPORTS_SQL}
+    SELECT record_id, title, date_of_report, ref, deceased_name, coroner_name, coroner_area, categories, extracted_concerns FROM facts
+""")
 def _(spark, d):
-    stream = _stream(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("content"))
-    target = scratch_path(spark, "ingest")
+    # The reports arrive as a dozen files, a few of them per batch.
+    source, target = scratch_path(spark, "incoming"), scratch_path(spark, "ingest")
+    arriving = reports(spark, d).select("record_id", "title", "content")
+    arriving.repartition(12, "record_id").write.parquet(source)
+    stream = jobs.report_stream(spark, source, arriving.schema, files_per_batch=5)
     jobs.ingest(stream, target, scratch_path(spark, "ingest_state"), process_reports).awaitTermination()
-    return spark.read.parquet(target).select("record_id", F.length("content").alias("n_chars"), "extracted_concerns")
+    found = spark.read.parquet(target).withColumn("categories", F.array_join("categories", "|"))
+    return found.select(
+        "record_id", "title", "date_of_report", "ref", "deceased_name", "coroner_name", "coroner_area",
+        "categories", "extracted_concerns",
+    )
 
 
 @query("r2_deduplicate_stream", "SELECT DISTINCT event_type AS title, user_id AS url FROM events")
 def _(spark, d):
-    stream = _stream(spark, d, "events").select(F.col("event_type").alias("title"), F.col("user_id").alias("url"), "ts")
-    kept = jobs.deduplicate_stream(stream).select("title", "url")
+    stream = _stream(spark, d, "events").select(
+        F.col("event_type").alias("title"), F.col("user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    # Keys are forgotten a year after they were last seen; the table covers less.
+    kept = jobs.deduplicate_stream(stream, delay="365 days").select("title", "url")
     return jobs.run_to_table(kept, scratch_path(spark, "dedup"), scratch_path(spark, "dedup_state"))
 
 
