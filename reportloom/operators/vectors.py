@@ -175,17 +175,16 @@ def _prefix_length(vector: Column, threshold: float) -> Column:
 def similar_pairs(groups: DataFrame, threshold: float = 0.8) -> DataFrame:
     """All pairs of distinct vectors with cosine >= threshold (exact).
 
-    Vectors meet on the rare terms they cannot do without; a pair is named once,
-    by the first such term that both have. Their cosine is then summed over
-    shared terms. At a high threshold few pairs meet, however many documents there are.
+    Vectors meet on the rare terms they cannot do without. The cosine of those that
+    meet is then summed over shared terms. At a high threshold few pairs
+    meet, however many documents there are.
     """
     sized = groups.select("rep", "vector", _prefix_length(F.col("vector"), threshold).alias("prefix"))
-    leading = F.transform(F.slice("vector", F.lit(1), F.col("prefix")), lambda t: t["term"])
-    entries = sized.select("rep", leading.alias("leading")).select("rep", "leading", F.explode("leading").alias("term"))
-    left = entries.select("term", F.col("rep").alias("left_id"), F.col("leading").alias("_left"))
-    right = entries.select("term", F.col("rep").alias("right_id"), F.col("leading").alias("_right"))
-    first = F.array_intersect("_left", "_right")[0] == F.col("term")
-    met = left.join(right, "term").filter((F.col("left_id") < F.col("right_id")) & first).select("left_id", "right_id")
+    # A term of one document brings nobody together.
+    leading = F.filter(F.slice("vector", F.lit(1), F.col("prefix")), lambda t: t["df"] > 1)
+    entries = sized.select("rep", F.explode(F.transform(leading, lambda t: t["term"])).alias("term"))
+    left, right = (entries.select("term", F.col("rep").alias(f"{side}_id")) for side in ("left", "right"))
+    met = left.join(right, "term").filter("left_id < right_id").select("left_id", "right_id").distinct()
     terms = groups.select("rep", F.inline("vector")).select("rep", "term", "weight")
     mine = terms.select(F.col("rep").alias("left_id"), "term", F.col("weight").alias("_a"))
     theirs = terms.select(F.col("rep").alias("right_id"), "term", F.col("weight").alias("_b"))
