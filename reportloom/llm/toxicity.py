@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from reportloom.llm.common import held_out, labelled_sample, text_slices, words_of
 from reportloom.llm.near_dedup import EMPTY, shingle_sets, sketches
 
-PER_CLASS, MAX_CHARS = 2500, 8_000_000
+PER_CLASS, MAX_CHARS = 2500, 6_000_000
 BUCKETS = 1 << 18
 PREFIXES = (5, 6, 7, 8)
 ENDS = (".", "!", "?")
@@ -40,6 +40,12 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(f) % BUCKETS for f in ("w" + w, "s" + w[-4:], *(w[:k] for k in PREFIXES))]
 
 
+def feature_table(vocabulary: list[str]) -> np.ndarray:
+    """Features of every word, a row each."""
+    width = 2 + len(PREFIXES)
+    return np.fromiter((f for w in vocabulary for f in features(w)), np.int32, width * len(vocabulary)).reshape(-1, width)
+
+
 @dataclass
 class Chain:
     """Weights of the field; label 0 and the step from 0 to 0 score nothing."""
@@ -97,10 +103,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def without_near_copies(texts: list[str], t: int = 32) -> list[int]:
     """Places of the texts that share less than a quarter of a small sketch with an earlier one."""
-    doc, value = shingle_sets(pa.array(texts, pa.string()))
+    whole = pa.array(texts, pa.string())
+    rows = (
+        row for start, stop in text_slices(whole, 1 << 20)
+        for row in sketches(*shingle_sets(whole.slice(start, stop - start)), stop - start, t)
+    )
     owners: dict[tuple[int, int], int] = {}
     kept = []
-    for i, row in enumerate(sketches(doc, value, len(texts), t)):
+    for i, row in enumerate(rows):
         if row[0] == EMPTY:
             kept.append(i)
             continue
@@ -125,10 +135,19 @@ def telling_stems(sets: list[set], labels: np.ndarray, least_z: float = 3.0, pur
     toxic. After each find only documents that none explains count for
     the next one, so chance companions are not taken for others.
     """
-    toxic = [{t for w in s for t in stems(w)} for s, y in zip(sets, labels) if y == 1]
-    whole = Counter(t for s in toxic for t in s)
-    least = max(5, math.ceil(0.02 * len(toxic)))
-    usual = {t for t, a in whole.items() if a >= least}
+    toxic_sets = [s for s, y in zip(sets, labels) if y == 1]
+    least = max(5, math.ceil(0.02 * len(toxic_sets)))
+    # Only what is in enough toxic documents is looked at again; a longer beginning can't be in
+    # more documents than a shorter one, so each length is counted for what is left of the last.
+    whole: Counter = Counter()
+    for level, k in enumerate((*PREFIXES, None)):
+        counts: Counter = Counter()
+        for s in toxic_sets:
+            left = (w for w in s if level == 0 or len(w) <= PREFIXES[level - 1] or w[:PREFIXES[level - 1]] + "-" in whole)
+            counts.update(s & set(left) if k is None else {w[:k] + "-" for w in left if len(w) > k})
+        whole.update({t: a for t, a in counts.items() if a >= least})
+    usual = {t: t for t in whole}  # one string for each, however many documents hold it
+    toxic = [{usual[t] for w in s for t in stems(w) if t in usual} for s in toxic_sets]
     clean: Counter = Counter()
     for s, y in zip(sets, labels):
         if y == 0:
@@ -153,6 +172,18 @@ def telling_stems(sets: list[set], labels: np.ndarray, least_z: float = 3.0, pur
     return found | {t for t in pure if found and whole[t] >= max(least, floor)}
 
 
+def _expected_steps(chain: Chain, e: np.ndarray, forward: np.ndarray, backward: np.ndarray, ahead: np.ndarray, part: int = 100_000) -> np.ndarray:
+    """Expected number of steps 0-0, 0-1, 1-0 and 1-1 into the tokens ``ahead``."""
+    total = np.zeros(4)
+    for i in range(0, len(ahead), part):
+        at = ahead[i:i + part]
+        r, later = forward[at - 1], e[at] + backward[at]
+        scores = np.stack([np.zeros(len(at)), chain.to_one + later, r + chain.to_zero, r + chain.stay_one + later])
+        scores = np.exp(scores - scores.max(axis=0))
+        total += (scores / scores.sum(axis=0)).sum(axis=1)
+    return total
+
+
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int = 25, l2: float = 1e-6) -> Chain:
     """Fits the field by gradient steps on the likelihood of the token labels, then the document score."""
     chain = Chain(np.zeros(BUCKETS))
@@ -168,8 +199,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
     telling = telling_stems(sets, labels)
     marked = np.array([not telling.isdisjoint(stems(c)) for c in cores], bool)
     y = (marked[codes] & (labels[owner] == 1)).astype(np.float64)
-    found = np.array([features(w) for w in listed])
+    found = feature_table(listed)
     ends = np.array([w.endswith(ENDS) for w in listed], bool)[codes]
+    del sets, cores, texts
     starts, sizes = sentences(owner, ends)
     inner = np.ones(len(codes), bool)
     inner[starts] = False
@@ -187,10 +219,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
         gradient += l2 * len(codes) * chain.weights / 100
         square += gradient ** 2
         chain.weights = chain.weights - 0.7 * gradient / np.sqrt(square)
-        r, later = forward[ahead - 1], e[ahead] + backward[ahead]
-        scores = np.stack([np.zeros(len(ahead)), chain.to_one + later, r + chain.to_zero, r + chain.stay_one + later])
-        scores = np.exp(scores - scores.max(axis=0))
-        expected = (scores / scores.sum(axis=0)).sum(axis=1)
+        expected = _expected_steps(chain, e, forward, backward, ahead)
         before, now = y[ahead - 1], y[ahead]
         first = float((p[starts] - y[starts]).sum())
         slopes = np.array([
@@ -205,7 +234,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
         chain.stay_one -= change[3]
     e = chain.emissions(found)[codes]
     odds = sum(forward_backward(chain, e, starts, sizes))
-    chain.calibration = _calibrate(*evidence(odds, owner, len(texts)), labels, weights)
+    chain.calibration = _calibrate(*evidence(odds, owner, len(labels)), labels, weights)
     return chain
 
 
@@ -250,7 +279,7 @@ def tag(chain: Chain, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
     n = len(texts)
     owner, vocabulary, codes = words_of(texts)
     listed = vocabulary.to_pylist()
-    found = np.array([features(w) for w in listed]).reshape(-1, 2 + len(PREFIXES))
+    found = feature_table(listed)
     ends = np.array([w.endswith(ENDS) for w in listed], bool)[codes] if len(codes) else np.zeros(0, bool)
     e = chain.emissions(found)[codes] if len(codes) else np.zeros(0)
     odds = sum(forward_backward(chain, e, *sentences(owner, ends)))
