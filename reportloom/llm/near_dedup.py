@@ -10,6 +10,7 @@ are confirmed on their full sets and joined to components.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,25 @@ from reportloom.llm.common import hash_words, mix, private, text_slices, words_o
 from reportloom.session import materialize
 
 WORDS = 5
-# 48 bands of 8 coordinates: of pairs at a similarity of .85 two in ten million share no
-# band, at .9 fewer than one in 10**11; of unrelated ones almost none share one.
-BANDS, ROWS = 48, 8
-T = BANDS * ROWS
+T = 384  # coordinates of a sketch at most
+MISSED = 3e-7  # of pairs at the very threshold so many may share no band
 EMPTY = np.uint64((1 << 64) - 1)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss at most ``MISSED`` of the pairs at ``percent``.
+
+    48 bands of 8 coordinates at 85, 50 of 6 at 80; of pairs above the threshold fewer are
+    missed. A low threshold that ``T`` coordinates do not serve takes bands of one and more coordinates.
+    """
+    def bands(rows: int) -> int:
+        shared = (percent / 100) ** rows
+        return 1 if shared >= 1 else math.ceil(math.log(MISSED) / math.log1p(-max(shared, 1e-12)))
+
+    rows = max((r for r in range(1, T + 1) if bands(r) * r <= T), default=1)
+    return bands(rows), rows
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct shingles, sorted by both.
 
@@ -83,37 +96,40 @@ def sketches(doc: np.ndarray, value: np.ndarray, n_docs: int, t: int = T) -> np.
     return out.reshape(n_docs, t)
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
+def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One hash for every band of every row; the number of the band is part of it."""
-    keys = np.empty((len(sketch), BANDS), np.uint64)
-    for band in range(BANDS):
+    keys = np.empty((len(sketch), bands), np.uint64)
+    for band in range(bands):
         key = np.full(len(sketch), band + 1, np.uint64)
-        for k in range(ROWS):
-            key = mix(key ^ sketch[:, band * ROWS + k], 7)
+        for k in range(rows):
+            key = mix(key ^ sketch[:, band * rows + k], 7)
         keys[:, band] = key
     return keys
 
 
-def _sketch_batches(batches):
-    for batch in batches:
-        texts = batch.column("text")
-        for start, stop in text_slices(texts):
-            n = stop - start
-            doc, value = shingle_sets(texts.slice(start, n))
-            size = np.bincount(doc, minlength=n)
-            edges = np.concatenate(([0], np.cumsum(size)))
-            raw = value.tobytes()
-            names = [
-                hashlib.blake2b(raw[8 * edges[i]:8 * edges[i + 1]], digest_size=16).digest() if size[i] else None
-                for i in range(n)
-            ]
-            keys = band_keys(sketches(doc, value, n)).view(np.int64)
-            offsets = np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(start, n), batch.column("text_hash").slice(start, n), pa.array(size, pa.int64()),
-                 pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))],
-                names=["doc_id", "text_hash", "n_shingles", "node", "bands"],
-            )
+def _sketch_batches(bands: int, rows: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            for start, stop in text_slices(texts):
+                n = stop - start
+                doc, value = shingle_sets(texts.slice(start, n))
+                size = np.bincount(doc, minlength=n)
+                edges = np.concatenate(([0], np.cumsum(size)))
+                raw = value.tobytes()
+                names = [
+                    hashlib.blake2b(raw[8 * edges[i]:8 * edges[i + 1]], digest_size=16).digest() if size[i] else None
+                    for i in range(n)
+                ]
+                keys = band_keys(sketches(doc, value, n, bands * rows), bands, rows).view(np.int64)
+                offsets = np.arange(0, (n + 1) * bands, bands, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(start, n), batch.column("text_hash").slice(start, n), pa.array(size, pa.int64()),
+                     pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "bands"],
+                )
+
+    return run
 
 
 def _set_batches(batches):
@@ -129,10 +145,11 @@ def _set_batches(batches):
             )
 
 
-def sketch_documents(documents: DataFrame) -> DataFrame:
+def sketch_documents(documents: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (names the set; null if empty) and bands of every document."""
+    bands, length = banding(percent)
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(_sketch_batches, "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>")
+    return rows.mapInArrow(_sketch_batches(bands, length), "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +283,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     without doc_id take part like others but name no component. Repeated rows
     are equal sets; an empty table gives an empty result.
     """
-    sketched = materialize(sketch_documents(documents), "sketches")
+    sketched = materialize(sketch_documents(documents, percent), "sketches")
     labels = near_links(documents, sketched, percent)
     slim = sketched.select("doc_id", "text_hash", "n_shingles", "node")
     classes = slim.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
