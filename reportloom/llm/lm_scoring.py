@@ -15,14 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reportloom.llm.common import hash_words, mix, text_slices, words_of
-from reportloom.session import materialize
 
 SIDE = 2
 GROUPS, MEMBERS, CELLS = 64, 64, 64  # a word is one of 64 ** 3 cells
 WORDS = GROUPS * MEMBERS
 EDGE = WORDS  # stands for the place before the first and behind the last word
 WIDTH = 24
-KEEP_ONE_IN = 48  # windows to learn from, of all windows of the corpus
 TOKENS_AT_ONCE = 1 << 15
 
 
@@ -95,26 +93,33 @@ class Network:
         off[np.arange(n), group] -= 1
         slopes = {"group": c.T @ off, "group0": off.sum(axis=0)}
         dc = off @ p["group"].T
-        slopes["member"], slopes["member0"] = np.zeros_like(p["member"]), np.zeros_like(p["member0"])
         order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            at = order[edges[g]:edges[g + 1]]
-            if len(at):
-                off = _soft(c[at] @ p["member"][g] + p["member0"][g])
-                off[np.arange(len(at)), member[at]] -= 1
-                slopes["member"][g], slopes["member0"][g] = c[at].T @ off, off.sum(axis=0)
-                dc[at] += off @ p["member"][g].T
+        groups, first = np.unique(group[order], return_index=True)
+        parts = [slice(i, j) for i, j in zip(first, [*first[1:], n])]
+        own, cs, back = p["member"][groups], c[order], np.empty_like(c)
+        off = np.empty((n, MEMBERS), np.float32)
+        for w, at in zip(own, parts):
+            np.matmul(cs[at], w, out=off[at])
+        off = _soft(off + p["member0"][group[order]])
+        off[np.arange(n), member[order]] -= 1
+        slopes["member"], slopes["member0"] = np.empty_like(own), np.empty((len(groups), MEMBERS), np.float32)
+        for k, (w, at) in enumerate(zip(own, parts)):
+            np.matmul(cs[at].T, off[at], out=slopes["member"][k])
+            slopes["member0"][k] = off[at].sum(axis=0)
+            np.matmul(off[at], w.T, out=back[at])
+        dc[order] += back
         dt = dc * (1 - c * c)
-        slopes["embed"], slopes["place"] = np.zeros_like(p["embed"]), np.zeros_like(p["place"])
-        for k in range(2 * SIDE):
-            near = p["embed"][around[:, k]]
-            slopes["place"][k] = (near * dt).sum(axis=0)
-            np.add.at(slopes["embed"], around[:, k], dt * p["place"][k])
+        # Only the rows of words and groups in the batch have a slope; the others stay as they are.
+        seen, place = np.unique(around.T.ravel(), return_inverse=True)
+        moved = p["place"][:, None] * dt
+        cell = (place.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        slopes["embed"] = np.bincount(cell, moved.ravel(), len(seen) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+        slopes["place"] = (p["embed"][around.T] * dt).sum(axis=1)
         for name, slope in slopes.items():
+            rows = {"embed": seen, "member": groups, "member0": groups}.get(name, slice(None))
             slope /= n
-            squares[name] += slope ** 2
-            p[name] = (p[name] - rate * slope / np.sqrt(squares[name])).astype(np.float32)
+            squares[name][rows] += slope ** 2
+            p[name][rows] -= rate * slope / np.sqrt(squares[name][rows])
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -158,20 +163,21 @@ def corpus_counts(documents: DataFrame) -> np.ndarray:
     return counts
 
 
-def training_windows(documents: DataFrame, one_in: int = KEEP_ONE_IN) -> DataFrame:
-    """One row per slice of documents with a fixed share of its windows, chosen by hash, as 16-bit words."""
+def training_windows(documents: DataFrame, one_in: int = 1) -> DataFrame:
+    """One row per slice of documents with its windows as 16-bit words: all, or for trials one in ``one_in`` by hash."""
     def run(batches):
         for batch in batches:
             for start, stop in text_slices(batch.column("text")):
                 owner, cells = cells_of(batch.column("text").slice(start, stop - start))
                 words = cells // CELLS
                 around = windows_of(owner, words)
-                key = cells.astype(np.uint64)
-                for k in range(2 * SIDE):
-                    key = mix(key ^ around[:, k].astype(np.uint64), 11 + k)
-                key = mix(key + np.arange(len(key), dtype=np.uint64), 5)
-                chosen = key % np.uint64(one_in) == 0
-                rows = np.concatenate([words[chosen, None], around[chosen]], axis=1).astype("<u2")
+                rows = np.concatenate([words[:, None], around], axis=1).astype("<u2")
+                if one_in > 1:
+                    key = cells.astype(np.uint64)
+                    for k in range(2 * SIDE):
+                        key = mix(key ^ around[:, k].astype(np.uint64), 11 + k)
+                    key = mix(key + np.arange(len(key), dtype=np.uint64), 5)
+                    rows = rows[key % np.uint64(one_in) == 0]
                 yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], names=["windows"])
 
     return _texts(documents).mapInArrow(run, "windows binary")
@@ -183,6 +189,7 @@ def train(windows: DataFrame, counts: np.ndarray, rounds: int = 2, batch: int =
     Averages are summed up in a tree of tasks, so the driver meets a few networks, however many
     partitions there are. A network is of fixed size.
     """
+    add = lambda a, b: (a[0] + b[0], a[1] + b[1])
     network = Network.fresh(counts)
     context = windows.sparkSession.sparkContext
     for turn in range(rounds):
@@ -195,9 +202,9 @@ def train(windows: DataFrame, counts: np.ndarray, rounds: int = 2, batch: int =
             seen = 0
             for record in batches:
                 for raw in record.column("windows").to_pylist():
-                    rows = np.frombuffer(raw, "<u2").reshape(-1, 1 + 2 * SIDE).astype(np.int64)
+                    rows = np.frombuffer(raw, "<u2").reshape(-1, 1 + 2 * SIDE)
                     for i in range(0, len(rows), batch):
-                        part = rows[i:i + batch]
+                        part = rows[i:i + batch].astype(np.int64)
                         own.learn(part[:, 1:], part[:, 0], squares, step)
                     seen += len(rows)
             if seen:
@@ -205,23 +212,24 @@ def train(windows: DataFrame, counts: np.ndarray, rounds: int = 2, batch: int =
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
 
         results = windows.mapInArrow(run, "n long, total binary").rdd.map(lambda r: (r.n, np.frombuffer(r.total, np.float64)))
-        if results.isEmpty():
+        # Sums and not a look for a first row, which would train a partition twice.
+        n, total = results.treeAggregate((0, 0.0), add, add, 3)
+        if not n:
             return network
-        n, total = results.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), 3)
         network = network.filled(total / n)
     return network
 
 
-def score_documents(documents: DataFrame, rounds: int = 2, one_in: int = KEEP_ONE_IN) -> DataFrame:
+def score_documents(documents: DataFrame, rounds: int = 2, one_in: int = 1) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and its mean per token of every whole document.
 
-    Counts are taken from all documents and windows to learn from in a fixed
-    share, so both grow with the corpus. A text without words, or none, has no
+    Counts are taken from all words and the network learns from all windows, which
+    are made again in each round and never stored. A text without words, or none, has no
     tokens, likelihood 0 and no mean. Repeated rows get the same score; an
     empty table gives an empty result.
     """
     counts = corpus_counts(documents)
-    network = train(materialize(training_windows(documents, one_in), "lm-windows"), counts, rounds)
+    network = train(training_windows(documents, one_in), counts, rounds)
     table = counts.reshape(WORDS, CELLS) + 1.0
     inside = np.log(table / table.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
     shared = documents.sparkSession.sparkContext.broadcast((network, inside))  # of fixed size

@@ -168,6 +168,27 @@ def test_lm_scores_equal_plain_sums(spark, edge):
     assert {r.n_tokens for r in got if r.doc_id == 2} == {12} and texts["2"]
 
 
+def test_lm_learns_from_every_window(spark, edge):
+    raw = lm.training_windows(edge).collect()
+    rows = np.concatenate([np.frombuffer(r.windows, "<u2").reshape(-1, 1 + 2 * lm.SIDE) for r in raw])
+    owner, cells = lm.cells_of(pa.array([r.text for r in edge.collect()]))
+    words = cells // lm.CELLS
+    expected = np.concatenate([words[:, None], lm.windows_of(owner, words)], axis=1)
+    assert sorted(map(tuple, rows.tolist())) == sorted(map(tuple, expected.tolist()))
+
+
+def test_lm_trains_on_a_small_table(spark):
+    df = spark.createDataFrame([(1, "left right " * 5)], "doc_id long, text string").coalesce(1)
+    counts = lm.corpus_counts(df)
+    network, fresh = lm.train(lm.training_windows(df), counts, rounds=1), lm.Network.fresh(counts)
+    assert not np.array_equal(network.flat(), fresh.flat())
+    score = lm.score_documents(df, rounds=1).first().log_likelihood
+    owner, cells = lm.cells_of(pa.array(["left right " * 5]))
+    plain = fresh.log_probabilities(lm.windows_of(owner, cells // lm.CELLS), cells // lm.CELLS).sum()
+    table = counts.reshape(lm.WORDS, lm.CELLS) + 1.0
+    assert score > plain + np.log(table / table.sum(axis=1, keepdims=True)).ravel()[cells].sum()
+
+
 def test_lm_query_returns_every_document(spark, sf_dir, documents):
     got = QUERIES["op1_lm_scoring"](spark, sf_dir)
     assert got.count() == documents.count()
