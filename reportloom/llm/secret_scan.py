@@ -21,7 +21,7 @@ BASE = (
 # Weak parts: an identifier, a secret or an endpoint alone may be harmless.
 WEAK = (
     ("id", r"(?i)\b(?:(?:client|access|account|user|key)[_-]?(?:id|name)|login|user)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"),
-    ("key", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,19}[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("key", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"),
     ("host", r"(?i)(?:\b[a-z][a-z0-9+]{1,15}://[^\s\"'<>]+|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:_-]{3,})"),
 )
 # A cheap condition that every match of the pattern fulfils; spares most texts the pattern.

@@ -126,6 +126,14 @@ BASE = [
 ]
 
 
+# Weak parts in patterns of their own, for texts of any make.
+WEAK = [
+    ("id", r"(?i)(?a:\b)(?:user|login|(?:client|access|account|user|key)[_-]?(?:name|id))[\"']?[ ]*[:=][ ]*[\"']?[A-Za-z0-9@._-]{3,}"),
+    ("key", r"(?<![0-9A-Za-z_+/=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![0-9A-Za-z_+/=-])"),
+    ("host", r"(?i)(?a:\b)(?:[a-z][a-z0-9+]{1,15}://[^ \t-\r\"'<>]+|(?:server|endpoint|host)[\"']?[ ]*[:=][ ]*[\"']?[A-Za-z0-9.:_-]{3,})"),
+]
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, str, int]]:
     found = []
     for order, (kind, pattern, group, least) in enumerate(BASE):

@@ -178,6 +178,23 @@ def test_secret_scan(spark, edge, documents):
     _check_secrets(documents)
 
 
+def test_keys_whose_first_digit_comes_late(spark):
+    rng = np.random.default_rng(12)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"))
+    rows = []
+    for digit_at in (0, 5, 19, 20, 21, 30, 39):
+        key = rng.choice(letters, 40)
+        key[digit_at] = "7"
+        rows.append((digit_at, f"login=ann, then {''.join(key)} and more"))
+    rows += [(100, "login=ann, then " + "Ab" * 20), (101, "login=ann, then " + "12" * 20), (102, "login=ann, then " + "Ab" * 20 + "9==")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(df).collect()}
+    assert got == {i: brute.all_spans(text, brute.WEAK) for i, text in rows}
+    assert {i for i, spans in got.items() if any(s[2] == "key" for s in spans)} == {0, 5, 19, 20, 21, 30, 39, 102}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert masked[30] == "[secret], then [secret] and more"
+
+
 def test_redaction_removes_every_span(spark, edge):
     df = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     for table in (df, edge):
