@@ -4,7 +4,7 @@ import numpy as np
 
 import brute
 import corpus_pipeline
-from reportloom.llm import quality_rules as rules, secret_scan
+from reportloom.llm import quality_rules as rules
 from test_tokens import check_packing
 
 LEAST = [least for _, _, least in rules.FEATURES]
@@ -21,13 +21,13 @@ def plain_stages(rows):
         last[r.text] = max(r.doc_id, last.get(r.text, r.doc_id))
     kept = {i: t for t, i in last.items()}
     yield kept
-    component = brute.near_components(list(kept.items()))
+    component = brute.near_components(list(kept.items()), 80)
     kept = {i: t for i, t in kept.items() if component[i] == i}
     yield kept
     masked = {}
     for i, text in kept.items():
         out, at = "", 0
-        for start, _, _, stop in brute.all_spans(text, secret_scan.WEAK):
+        for start, _, _, stop in brute.all_spans(text, brute.WEAK):
             if start >= at:
                 out += text[at:start] + "[secret]"
             at = max(at, stop)
@@ -70,5 +70,5 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= {n.split("_")[0] for n in names}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} <= {n.split("_")[0] for n in names}
     assert set(entry.oracle_sql()) <= set(names)

@@ -160,7 +160,7 @@ def _check_secrets(df):
     for r in df.collect():
         base = brute.base_spans(r.text)
         count = [sum(s[2] == k for s in base) for k in ("assign", "access", "hex")]
-        expected.append((str(r.doc_id), *count, brute.sha256(brute.joined(base)), brute.joined(brute.all_spans(r.text, secret_scan.WEAK))))
+        expected.append((str(r.doc_id), *count, brute.sha256(brute.joined(base)), brute.joined(brute.all_spans(r.text, brute.WEAK))))
     assert got == sorted(expected)
 
 
@@ -202,7 +202,7 @@ def test_redaction_removes_every_span(spark, edge):
         assert out.columns == table.columns
         expected = []
         for r in table.collect():
-            text, at, spans = "", 0, brute.all_spans(r.text, secret_scan.WEAK)
+            text, at, spans = "", 0, brute.all_spans(r.text, brute.WEAK)
             for start, _, _, stop in spans:
                 if start >= at:
                     text += r.text[at:start] + "[secret]"
