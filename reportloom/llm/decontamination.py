@@ -22,6 +22,7 @@ from reportloom.session import materialize
 WINDOW = 10
 REACH = 20  # words on either side of the rarest term that count as near
 BLOCK_WORDS = 200_000  # benchmark words that travel to the tasks at once
+SLICE = 4 << 20  # bytes of text in a segment; a longer text is one by itself
 SEGMENT = "segment long, doc_id array<long>, n_words array<long>, terms array<string>, counts binary, positions binary"
 BLOCK = "block long, items array<string>, n_words array<int>, terms array<string>, codes binary"
 MATCH = "segment long, doc_no int, item string, kind string, start long, stop long"
@@ -67,7 +68,7 @@ def build_index(documents: DataFrame) -> DataFrame:
     def run(batches):
         at = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start, stop in text_slices(batch.column("text")):
+            for start, stop in text_slices(batch.column("text"), SLICE):
                 own = batch.slice(start, stop - start)
                 owner, terms, codes = words_of(folded(own.column("text")))
                 keys = np.sort((codes << 32) | np.arange(len(codes)))

@@ -26,6 +26,7 @@ MASKS = 1 << len(FILTERS)
 SYMBOLS = b"#$%&*|"
 # Shards of a task share a codebook until it has this many words; it then starts another.
 CODEBOOK_WORDS = 400_000
+SLICE = 4 << 20  # bytes of text at once
 
 SHARD = (
     "grp long, shard long, doc_id array<long>, part array<string>, digest array<binary>, chars array<int>, capitals array<int>, "
@@ -118,7 +119,7 @@ def build_shards(documents: DataFrame) -> DataFrame:
         table = np.zeros(256, bool)
         table[list(SYMBOLS)] = True
         for batch in batches:
-            for start, stop in text_slices(batch.column("text")):
+            for start, stop in text_slices(batch.column("text"), SLICE):
                 own = batch.slice(start, stop - start)
                 text = own.column("text")
                 raw, edges = _bytes_of(text)

@@ -2,13 +2,16 @@
 
 Base patterns find secrets that stand for themselves. Weak parts (access
 identifiers, bare secrets, endpoints) are reported only when complementary
-parts lie near each other, found by an interval join within a document.
+parts lie near each other in a paragraph, found by an interval join within these scopes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from reportloom.functions.helpers import let
 from reportloom.llm.common import private
 from reportloom.session import materialize
 
@@ -33,48 +36,86 @@ HINTS = {
     "key": lambda t: t.rlike(r"[A-Za-z0-9+/_-]{20}"),
     "host": lambda t: t.rlike(WEAK[2][1]),
 }
-KINDS = [kind for kind, *_ in BASE] + [kind for kind, _ in WEAK]
-BLOCK = 256  # code points; parts this near to each other belong together
+# Blank lines end a paragraph, the scope in which parts are linked.
+BREAK = ("break", r"\n[\x20\t\r]*\n")
+HINTS[BREAK[0]] = lambda t: t.rlike(BREAK[1])
+KINDS = [kind for kind, *_ in BASE] + [kind for kind, _ in WEAK] + [BREAK[0]]
+REACH = 256  # code points; parts of a paragraph this near to each other belong together
 SPAN = "struct<start:int,`order`:int,kind:string,stop:int>"
 
 
+def running(values: Column, merge: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """Inclusive running ``merge`` (sum or maximum) of an array of whole numbers.
+
+    Arrays grow by copying, so blocks are run through on their own and then raised by what stands
+    before them: the work for m values is about 128 m and not m squared.
+    """
+    none = F.array().cast("array<int>")
+
+    def through(items: Column, value: Callable[[Column], Column]) -> Column:
+        last = lambda acc: F.get(acc, F.size(acc) - 1)
+        return F.aggregate(items, none, lambda acc, x: F.concat(acc, F.array(
+            F.when(F.size(acc) > 0, merge(last(acc), value(x))).otherwise(value(x)).cast("int")
+        )))
+
+    def raised(blocks: Column) -> Column:
+        ends = through(blocks, lambda b: F.get(b, F.size(b) - 1))
+        before = F.concat(F.array(F.lit(None).cast("int")), ends)
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, past: F.transform(
+            b, lambda x: F.when(past.isNull(), x).otherwise(merge(past, x)).cast("int")
+        )))
+
+    def cut(items: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))
+        return F.when(F.size(items) == 0, none).otherwise(
+            let(F.transform(starts, lambda i: through(F.slice(items, i * block + 1, F.lit(block)), lambda x: x)), raised)
+        )
+
+    return let(values, cut)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans (start, order, kind, stop) of the matches, in code points, the end exclusive.
 
-    The text between matches comes from splitting by the same pattern, so its
-    length gives the places. ``least`` bounds the length of ``group``.
+    The text between matches comes from splitting by the same pattern, so running sums of
+    lengths give the places. ``least`` bounds the length of ``group``.
     """
     if kind == "hex":  # a maximal run: shorter ones need not be listed first
         pattern = f"[0-9a-f]{{{least},}}"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
-    steps = F.zip_with(
+    sizes = F.zip_with(
         F.slice(between, F.lit(1), F.size(found)), F.arrays_zip(found.alias("all"), counted.alias("part")),
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["all"]).alias("size"), F.length(m["part"]).alias("part")),
+        lambda gap, m: F.struct((F.length(gap) + F.length(m["all"])).alias("step"), F.length(m["all"]).alias("size"), F.length(m["part"]).alias("part")),
     )
-    at = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
     order = F.lit(KINDS.index(kind)).cast("int")
 
-    def step(state: Column, m: Column) -> Column:
-        start = (state["at"] + m["gap"]).cast("int")
-        stop = (start + m["size"]).cast("int")
-        span = F.struct(start.alias("start"), order.alias("order"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        more = F.when(m["part"] >= least, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
-        return F.struct(stop.alias("at"), F.concat(state["spans"], more.cast(f"array<{SPAN}>")).alias("spans"))
+    def placed(sizes: Column) -> Column:
+        both = F.zip_with(running(F.transform(sizes, lambda m: m["step"]), _sum), sizes, lambda stop, m: F.struct(
+            (stop - m["size"]).cast("int").alias("start"), stop.cast("int").alias("stop"), m["part"].alias("part")
+        ))
+        return F.transform(F.filter(both, lambda s: s["part"] >= least), lambda s: F.struct(
+            s["start"].alias("start"), order.alias("order"), F.lit(kind).alias("kind"), s["stop"].alias("stop")
+        )).cast(f"array<{SPAN}>")
 
-    listed = F.aggregate(steps, at, step, lambda state: state["spans"])
-    return F.when(HINTS[kind](text), listed).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(HINTS[kind](text), let(sizes, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def with_parts(df: DataFrame, text: Column) -> DataFrame:
-    """Adds the spans of every base kind, ``base`` with all of them in order, and ``weak`` parts."""
+    """Adds the spans of every base kind, ``base`` with all of them in order, ``weak`` parts, and ``breaks`` between paragraphs."""
     df = df.withColumns({f"s_{kind}": _spans(text, kind, pattern, group, least) for kind, pattern, group, least in BASE})
     df = df.withColumns({f"w_{kind}": _spans(text, kind, pattern, 0, 1) for kind, pattern in WEAK})
-    return df.withColumns({
+    df = df.withColumns({
         "base": F.array_sort(F.concat(*(f"s_{kind}" for kind, *_ in BASE))),
         "weak": F.concat(*(f"w_{kind}" for kind, _ in WEAK)),
     }).drop(*(f"w_{kind}" for kind, _ in WEAK))
+    breaks = F.when(linkable(), _spans(text, *BREAK, 0, 1)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return df.withColumn("breaks", breaks)
 
 
 def linkable() -> Column:
@@ -82,31 +123,47 @@ def linkable() -> Column:
     return (F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)
 
 
-def linked_spans(parts: DataFrame, reach: int = BLOCK) -> DataFrame:
-    """(row_key, linked): the weak parts with a complementary part within ``reach`` code points.
+def scoped_parts(parts: DataFrame) -> DataFrame:
+    """One row per part that can be linked: its place, its role, and ``scope``, the number of its paragraph.
 
-    ``parts`` has row_key, base and weak. An identifier, a secret and an
+    A weak part that overlaps a base match is no candidate. Both come from running figures over the parts of a
+    document in order, so the work grows with their number only.
+    """
+    kind, start, stop = F.col("part.kind"), F.col("part.start"), F.col("part.stop")
+    role = F.when(kind.isin("id", "access"), "id").when(kind == "host", "host").otherwise("key")
+    rows = parts.dropDuplicates(["row_key"]).select("row_key", F.explode(F.concat("base", "weak", "breaks")).alias("part"))
+    onward = Window.partitionBy("row_key").orderBy(start, F.col("part.order"), stop).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("row_key").orderBy(start.desc(), F.col("part.order").desc(), stop.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    base, weak = F.col("part.order") < len(BASE), (F.col("part.order") >= len(BASE)) & (kind != BREAK[0])
+    seen = rows.withColumns({
+        "reach": F.max(F.when(base, stop)).over(onward), "scope": F.count(F.when(kind == BREAK[0], 1)).over(onward),
+        "next": F.min(F.when(base, start)).over(back),
+    })
+    apart = (F.coalesce("reach", F.lit(0)) <= start) & (F.col("next").isNull() | (F.col("next") >= stop))
+    return seen.filter(base | (weak & apart)).select("row_key", "scope", "part", weak.alias("weak"), role.alias("role"), start.alias("start"), stop.alias("stop"))
+
+
+def linked_spans(parts: DataFrame, reach: int = REACH) -> DataFrame:
+    """(row_key, linked): the weak parts with a complementary part in their paragraph, within ``reach`` code points.
+
+    ``parts`` has row_key, base, weak and breaks. An identifier, a secret and an
     endpoint complement each other; access keys count as identifiers, other
-    base matches as secrets. A weak part that overlaps a base match is no
-    candidate, and parts that overlap are no pair. The parts of a document
+    base matches as secrets. Parts that overlap are no pair. The parts of a scope
     meet in blocks of ``reach`` code points, so a part is compared only with
     the few in its own neighbourhood, however long the document is.
     """
-    kind = F.col("part.kind")
-    role = F.when(kind.isin("id", "access"), "id").when(kind == "host", "host").otherwise("key")
-    rows = parts.dropDuplicates(["row_key"]).select("row_key", "base", F.explode(F.concat("base", "weak")).alias("part"))
-    apart = lambda b: (b["stop"] <= F.col("part.start")) | (F.col("part.stop") <= b["start"])
-    rows = rows.withColumn("weak", F.col("part.order") >= len(BASE))
-    rows = rows.filter(~F.col("weak") | F.forall("base", apart)).select(
-        "row_key", "part", "weak", role.alias("role"), F.col("part.start").alias("start"), F.col("part.stop").alias("stop")
-    )
+    rows = scoped_parts(parts)
     # A weak part looks for others in every block that it could reach, another is listed in every block it touches.
     blocks = lambda low, high: F.explode(F.sequence(F.floor(low / reach), F.floor(high / reach))).alias("block")
-    left = rows.filter("weak").select("row_key", "part", "role", blocks(F.col("start") - reach, F.col("stop") + reach))
-    right = rows.select("row_key", F.col("role").alias("other"), "start", "stop", blocks(F.col("start"), F.col("stop") - 1))
-    right = right.groupBy("row_key", "block", "other").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("there"))
-    near = lambda r: apart(r) & (r["start"] < F.col("part.stop") + reach) & (F.col("part.start") < r["stop"] + reach)
-    hits = left.join(right, ["row_key", "block"]).filter((F.col("role") != F.col("other")) & F.exists("there", near))
+    left = rows.filter("weak").select("row_key", "scope", "part", "role", blocks(F.col("start") - reach, F.col("stop") + reach))
+    right = rows.select("row_key", "scope", F.col("role").alias("other"), "start", "stop", blocks(F.col("start"), F.col("stop") - 1))
+    right = right.groupBy("row_key", "scope", "block", "other").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("there"))
+
+    def near(r: Column) -> Column:
+        apart = (r["stop"] <= F.col("part.start")) | (F.col("part.stop") <= r["start"])
+        return apart & (r["start"] < F.col("part.stop") + reach) & (F.col("part.start") < r["stop"] + reach)
+
+    hits = left.join(right, ["row_key", "scope", "block"]).filter((F.col("role") != F.col("other")) & F.exists("there", near))
     return hits.groupBy("row_key").agg(F.array_sort(F.collect_set("part")).alias("linked"))
 
 
@@ -119,7 +176,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), F.sha2(text, 256))
 
 
-def scan(documents: DataFrame, reach: int = BLOCK) -> DataFrame:
+def scan(documents: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, counts of the base kinds, base spans and all spans of every document.
 
     Spans are (start, order, kind, stop) in code points, by start and kind.
@@ -130,7 +187,7 @@ def scan(documents: DataFrame, reach: int = BLOCK) -> DataFrame:
     rows = with_parts(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("text"))
     counts = [F.size(f"s_{kind}").cast("long").alias(f"n_{kind}") for kind, *_ in BASE]
     key = F.when(linkable(), row_key(F.col("doc_id"), F.col("text")))
-    rows = materialize(rows.select("doc_id", *counts, "base", "weak", key.alias("row_key")), "secret-parts")
+    rows = materialize(rows.select("doc_id", *counts, "base", "weak", "breaks", key.alias("row_key")), "secret-parts")
     open_rows = rows.filter("row_key is not null")
     joined = open_rows.join(linked_spans(open_rows, reach), "row_key", "left")
     spans = F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked")))
@@ -147,19 +204,33 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def _redacted(text: Column, spans: Column, mask: str) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def _redacted(text: Column, spans: Column, mask: str, block: int = 128) -> Column:
+    """``text`` with the mask for every span; a span that overlaps the ones before it only extends them.
+
+    Pieces are cut out of the stretch of text of some spans, not out of the whole text each, and joined once.
+    """
+    def pieces(spans: Column) -> Column:
+        return let(running(F.transform(spans, lambda s: s["stop"]), F.greatest), lambda ends: built(spans, ends))
+
+    def built(spans: Column, ends: Column) -> Column:
+        n = F.size(spans)
+        before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), n)
+        free = F.filter(F.zip_with(before, spans, lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"))), lambda s: s["start"] >= s["at"])
+        rest = F.substring(text, F.get(ends, n - 1) + 1, F.length(text))
+        return F.concat(let(free, lambda free: F.array_join(F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(free) - 1) / block).cast("int")), lambda i: stretch(F.slice(free, i * block + 1, F.lit(block)))
+        ), "")), rest)
 
-    def step(state: Column, s: Column) -> Column:
-        free = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        more = F.when(s["start"] >= state["at"], F.array(free, F.lit(mask))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], more).alias("out"))
+    def stretch(group: Column) -> Column:
+        first, last = F.get(group, F.lit(0))["at"], F.get(group, F.size(group) - 1)["start"]
+        return let(F.substring(text, first + 1, last - first), lambda part: F.array_join(F.transform(
+            group, lambda s: F.concat(F.substring(part, s["at"] - first + 1, s["start"] - s["at"]), F.lit(mask))
+        ), ""))
 
-    rest = lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, pieces)).otherwise(text)
 
 
-def redact(documents: DataFrame, mask: str = "[secret]", reach: int = BLOCK) -> DataFrame:
+def redact(documents: DataFrame, mask: str = "[secret]", reach: int = REACH) -> DataFrame:
     """The documents with every span replaced by ``mask``; ``n_chars``, if there, follows the text.
 
     Texts are scanned once, their spans written beside them; only documents with
@@ -171,11 +242,11 @@ def redact(documents: DataFrame, mask: str = "[secret]", reach: int = BLOCK) ->
     )
     rows = with_parts(packed, F.col("text"))
     key = F.when(linkable(), row_key(F.col("doc_id"), F.col("text")))
-    rows = materialize(rows.select(whole, "text", "base", "weak", key.alias("row_key")), "secret-parts")
+    rows = materialize(rows.select(whole, "text", "base", "weak", "breaks", key.alias("row_key")), "secret-parts")
     open_rows = rows.filter("row_key is not null")
     plain = rows.filter("row_key is null").select(whole, "text", F.col("base").alias("spans"))
     spans = F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked")))
-    joined = open_rows.join(linked_spans(open_rows.select("row_key", "base", "weak"), reach), "row_key", "left")
+    joined = open_rows.join(linked_spans(open_rows.select("row_key", "base", "weak", "breaks"), reach), "row_key", "left")
     joined = joined.select(whole, "text", spans.alias("spans"))
     out = plain.unionByName(joined).withColumn("text", _redacted(F.col("text"), F.col("spans"), mask))
     changed = F.when(F.size("spans") > 0, F.col("text")).otherwise(F.col(whole)["text"])

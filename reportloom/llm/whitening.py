@@ -53,15 +53,24 @@ def _unpacked(batch: pa.RecordBatch, d: int):
         yield np.frombuffer(raw, "<f8" if width == 8 else f"<i{width}").reshape(n, d).astype(np.float64)
 
 
-def usual_size(embeddings: DataFrame) -> int:
-    """The number of entries most vectors have; 0 if there is none."""
+def usual_size(embeddings: DataFrame) -> tuple[int, int]:
+    """(number of entries most vectors have, number of these vectors); zeros if there are none."""
     sizes = embeddings.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count()
     first = sizes.orderBy(F.desc("count"), F.desc("d")).first()
-    return first.d if first else 0
+    return (first["d"], first["count"]) if first else (0, 0)
 
 
-def vector_blocks(embeddings: DataFrame, d: int) -> DataFrame:
-    """All whole vectors as blocks of whole numbers floor(64 c), written to the shared folder."""
+def pass_tasks(n: int, d: int) -> int:
+    """Tasks of a pass: about a megabyte of packed entries each, and of 64 MB once there are many."""
+    size = 2 * n * d
+    return max(1, min(-(-size // (1 << 20)), max(64, -(-size // (64 << 20)))))
+
+
+def vector_blocks(embeddings: DataFrame, n: int, d: int) -> DataFrame:
+    """All whole vectors as blocks of whole numbers floor(64 c), written to the shared folder.
+
+    Every pass reads them again, so small input files are read by few tasks, without a shuffle.
+    """
     def run(batches):
         many = max(1, BLOCK_BYTES // (8 * d))
         for batch in batches:
@@ -71,7 +80,7 @@ def vector_blocks(embeddings: DataFrame, d: int) -> DataFrame:
                     raw, width = _packed(x)
                     yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int32()), pa.array([raw], pa.binary()), pa.array([width], pa.int32())], names=["n", "x", "width"])
 
-    return materialize(embeddings.select("embedding").mapInArrow(run, BLOCK), "vector-blocks")
+    return materialize(embeddings.select("embedding").coalesce(pass_tasks(n, d)).mapInArrow(run, BLOCK), "vector-blocks")
 
 
 @dataclass
@@ -251,10 +260,10 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS) -> DataFrame:
     neither does an empty table. Repeated rows count each; other columns are ignored.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    spark, d = embeddings.sparkSession, usual_size(rows)
+    spark, (d, many) = embeddings.sparkSession, usual_size(rows)
     if not d:
         return spark.createDataFrame([], ROW)
-    vectors = Vectors(vector_blocks(rows, d), d)
+    vectors = Vectors(vector_blocks(rows, many, d), d)
     vectors.measure()
     if not vectors.n:
         return spark.createDataFrame([], ROW)

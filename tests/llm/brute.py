@@ -142,14 +142,16 @@ def base_spans(text: str | None) -> list[tuple[int, int, str, int]]:
 
 
 def all_spans(text: str | None, weak: list[tuple[str, str]], reach: int = 256) -> list[tuple[int, int, str, int]]:
-    """Base spans and the weak parts with a complement near them, every pair looked at."""
+    """Base spans and the weak parts with a complement near them in their paragraph, every pair looked at."""
     text = text or ""
     base = base_spans(text)
     parts = [(m.start(), 3 + k, kind, m.end()) for k, (kind, pattern) in enumerate(weak) for m in re.finditer(pattern, text)]
     parts = [p for p in parts if all(b[3] <= p[0] or p[3] <= b[0] for b in base)]
     role = lambda s: "id" if s[2] in ("id", "access") else "host" if s[2] == "host" else "key"
+    breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    scope = lambda s: sum(b < s[0] for b in breaks)
     linked = [p for p in parts if any(
-        role(p) != role(r) and (r[3] <= p[0] or p[3] <= r[0]) and r[0] < p[3] + reach and p[0] < r[3] + reach for r in base + parts
+        role(p) != role(r) and scope(p) == scope(r) and (r[3] <= p[0] or p[3] <= r[0]) and r[0] < p[3] + reach and p[0] < r[3] + reach for r in base + parts
     )]
     return sorted(base + linked)
 

@@ -1,5 +1,7 @@
 """Quality rules, exact dedup, near dedup and secret scans against plain versions."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -211,6 +213,31 @@ def test_redaction_removes_every_span(spark, edge):
         assert sorted(((str(r.doc_id), r.text) for r in out.collect()), key=str) == sorted(expected, key=str)
 
 
+def test_parts_link_inside_a_paragraph_only(spark):
+    key = "Zz0" * 9
+    rows = [(1, f"login=ann\nthen {key}"), (2, f"login=ann\n\nthen {key}"), (3, f"login=ann \n \t\n\n{key} https://a.example/x"), (4, f"\n\nlogin=ann\n\n{key}\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan(df).collect()}
+    assert got == {1: ["id", "key"], 2: [], 3: ["key", "host"], 4: []}
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(df).collect()} == {i: brute.all_spans(t, brute.WEAK) for i, t in rows}
+
+
+def test_long_texts_with_many_matches(spark):
+    """Work and memory grow with the matches, not with their square."""
+    many = 25_000
+    hexes = " ".join(f"{i:016x}" for i in range(2 * many))
+    pairs = "\n".join(f"login=ann{i} é Zz{i:05d}z9xqz9xqz9xqz9xq" for i in range(many))
+    df = spark.createDataFrame([(1, hexes), (2, pairs)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].n_hex == 2 * many and [tuple(s) for s in got[1].spans[:2]] == [(0, 2, "hex", 16), (17, 2, "hex", 33)]
+    assert masked[1] == " ".join(["[secret]"] * (2 * many))
+    assert len(got[2].spans) == 2 * many and got[2].n_hex == 0
+    assert masked[2] == "\n".join(["[secret] é [secret]"] * many)
+
+
 @pytest.mark.parametrize("run", [
     rules.quality_rules, rules.keep_good, exact_dedup.exact_groups, exact_dedup.keep_one,
     near_dedup.near_duplicates, near_dedup.keep_first, secret_scan.scan, secret_scan.redact,
