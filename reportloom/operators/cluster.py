@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import clean_text_for_modeling, split_sentences, tokens
-from reportloom.operators.small import top_n_per_group
+from reportloom.operators.small import top_n_per_group, with_each
 from reportloom.operators.vectors import idf_weight
 from reportloom.session import materialize
 
@@ -194,66 +194,91 @@ def cohesion(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> D
     )
 
 
+def _distances(weights: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Squared length of every document, and per cluster: size, squared length of the mean, mean squared length."""
+    own = labels.join(weights.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("_own")), key, "left")
+    own = own.select(key, "cluster", F.coalesce("_own", F.lit(0.0)).alias("own"))
+    norms = centroids(weights, labels, key).groupBy("cluster").agg(F.sum(F.col("centroid") * F.col("centroid")).alias("norm"))
+    stats = own.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("own").alias("mean_own"))
+    return own, stats.join(norms, "cluster", "left").na.fill(0.0, ["norm"])
+
+
+def silhouette(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+    """Silhouette of every document of a given labelling, in squared distances, without pairs of documents.
+
+    The mean squared distance to a cluster follows from its mean and mean squared length. Documents meet clusters on
+    shared terms only. A cluster without a shared term is at least as far as the nearest of all
+    clusters would be without one, so the two smallest mean lengths stand for all of them. A cluster of
+    one document has silhouette 0.
+    """
+    own, stats = _distances(weights, labels, key)
+    center = centroids(weights, labels, key).select(F.col("cluster").alias("other"), "term", "centroid")
+    dots = weights.join(center, "term").groupBy(key, "other").agg(F.sum(F.col("weight") * F.col("centroid")).alias("dot"))
+    sizes = stats.select(F.col("cluster").alias("other"), "size", "mean_own")
+    known = own.join(dots, key, "left").join(sizes, "other", "left")
+    apart = F.greatest(F.col("own") - 2 * F.col("dot") + F.col("mean_own"), F.lit(0.0))
+    here = F.col("cluster") == F.col("other")
+    per = known.groupBy(key, "cluster", "own").agg(
+        F.max(F.when(here, F.col("dot"))).alias("_dot"), F.min(F.when(~here, apart)).alias("_near")
+    )
+    # Two clusters with the smallest mean squared length: one of them is not the document's own.
+    least = stats.orderBy("mean_own", "cluster").limit(2).agg(
+        F.sort_array(F.collect_list(F.struct("mean_own", "cluster"))).alias("two")
+    ).select("two").scalar()
+    other = F.get(F.filter("_two", lambda c: c["cluster"] != F.col("cluster")), F.lit(0))["mean_own"]
+    n = F.col("size")
+    inside = F.greatest(F.col("own") - 2 * F.coalesce("_dot", F.lit(0.0)) + F.col("mean_own"), F.lit(0.0)) * n / (n - 1)
+    scored = per.join(stats.select("cluster", "size", "mean_own"), "cluster").withColumn("_two", least).withColumns({
+        "_a": F.when(n > 1, inside), "_b": F.least("_near", F.col("own") + other),
+    })
+    value = F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
+    return scored.select(key, "cluster", value.alias("silhouette"))
+
+
 def cluster_quality(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin index from per-cluster sums."""
+    """Calinski-Harabasz and Davies-Bouldin index and mean silhouette from per-cluster sums."""
     center = centroids(weights, labels, key).select("cluster", "term", "centroid", "size")
-    square = F.col("centroid") * F.col("centroid")
-    own = weights.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("own"))
+    own, stats = _distances(weights, labels, key)
     dots = weights.join(labels, key).join(center, ["cluster", "term"]).groupBy(key).agg(
         F.sum(F.col("weight") * F.col("centroid")).alias("dot")
     )
-    norms = center.groupBy("cluster").agg(F.sum(square).alias("norm"))
-    distance = F.greatest(
-        F.coalesce("own", F.lit(0.0)) - 2 * F.coalesce("dot", F.lit(0.0))
-        + F.coalesce("norm", F.lit(0.0)), F.lit(0.0),
-    )
-    per_cluster = (
-        labels.join(own, key, "left").join(dots, key, "left").join(norms, "cluster", "left")
-        .groupBy("cluster").agg(
-            F.count("*").alias("size"), F.sum(distance).alias("within"),
-            F.avg(F.sqrt(distance)).alias("spread"),
-            F.max(F.coalesce("norm", F.lit(0.0))).alias("norm"),
-        )
+    distance = F.greatest(F.col("own") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("norm"), F.lit(0.0))
+    per_cluster = own.join(dots, key, "left").join(stats, "cluster").groupBy("cluster").agg(
+        F.count("*").alias("size"), F.sum(distance).alias("within"),
+        F.avg(F.sqrt(distance)).alias("spread"), F.max("norm").alias("norm"),
     )
+    per_cluster = materialize(per_cluster, "per-cluster")  # a row per cluster
     overall = center.groupBy("term").agg(
         F.sum(F.col("centroid") * F.col("size")).alias("total")
     ).agg(F.sum(F.col("total") * F.col("total"))).scalar()
-    # One row per cluster from here on; each pair is formed from one short list.
-    listed = per_cluster.agg(
-        F.sort_array(F.collect_list(F.struct("cluster", "spread", "norm", "size", "within"))).alias("c")
+    totals = per_cluster.agg(
+        F.sum("size").alias("n"), F.count("*").cast("int").alias("k"),
+        F.sum(F.col("norm") * F.col("size")).alias("between"), F.sum("within").alias("within"),
     )
-    n, k = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["size"]), F.size("c")
-    between = F.aggregate("c", F.lit(0.0), lambda s, x: s + x["norm"] * x["size"]) - overall / n
-    within = F.aggregate("c", F.lit(0.0), lambda s, x: s + x["within"])
-    calinski = F.try_divide(between * (n - k), within * (k - 1))
-    cross = _centroid_products(center)
-    staged = listed.withColumn("dots", cross)
-
-    def ratio(a: Column, b: Column) -> Column:
-        dot = F.coalesce(F.get(F.filter(
-            "dots", lambda d: (d["a"] == a["cluster"]) & (d["b"] == b["cluster"])
-        ), F.lit(0))["dot"], F.lit(0.0))
-        gap = F.sqrt(F.greatest(a["norm"] + b["norm"] - 2 * dot, F.lit(0.0)))
-        return F.coalesce(F.try_divide(a["spread"] + b["spread"], gap), F.lit(0.0))
-
-    worst = F.transform("c", lambda a: F.array_max(F.transform(
-        F.filter("c", lambda b: b["cluster"] != a["cluster"]), lambda b: ratio(a, b)
-    )))
-    davies = F.aggregate(worst, F.lit(0.0), lambda s, x: s + x) / k
-    return staged.select(
-        n.alias("documents"), k.alias("clusters"),
+    between = F.col("between") - overall / F.col("n")
+    calinski = F.try_divide(between * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1))
+    return totals.select(
+        F.col("n").alias("documents"), F.col("k").alias("clusters"),
         F.round(calinski, 4).alias("calinski_harabasz"),
-        F.round(davies, 4).alias("davies_bouldin"),
+        F.round(_davies_bouldin(per_cluster, center), 4).alias("davies_bouldin"),
+        F.round(silhouette(weights, labels, key).select(F.avg("silhouette")).scalar(), 4).alias("silhouette"),
     )
 
 
-def _centroid_products(center: DataFrame) -> Column:
-    """Dot products between centroids as one short list (clusters²)."""
-    per_term = center.groupBy("term").agg(F.collect_list(F.struct("cluster", "centroid")).alias("c"))
-    left = per_term.select("c", F.inline("c").alias("a", "x"))
-    both = left.select("a", "x", F.inline("c").alias("b", "y"))
-    dots = both.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    return dots.agg(F.collect_list(F.struct("a", "b", "dot"))).scalar()
+def _davies_bouldin(per_cluster: DataFrame, center: DataFrame) -> Column:
+    """Mean over clusters of the worst ratio of spread to gap; a cluster per row, met with the others by key."""
+    shared = center.select("cluster", "term", "centroid")
+    dots = shared.join(
+        shared.select(F.col("cluster").alias("other"), "term", F.col("centroid").alias("_c")), "term"
+    ).groupBy("cluster", "other").agg(F.sum(F.col("centroid") * F.col("_c")).alias("dot"))
+    pairs = with_each(
+        per_cluster.select("cluster", F.col("spread").alias("_s"), F.col("norm").alias("_n")),
+        per_cluster.withColumnRenamed("cluster", "other"), "other", "spread", "norm",
+    ).filter(F.col("cluster") != F.col("other"))
+    joined = pairs.join(dots, ["cluster", "other"], "left")
+    gap = F.sqrt(F.greatest(F.col("_n") + F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0)))
+    worst = joined.groupBy("cluster").agg(F.max(F.coalesce(F.try_divide(F.col("_s") + F.col("spread"), gap), F.lit(0.0))).alias("worst"))
+    return worst.select(F.avg("worst")).scalar()
 
 
 def cluster_summary(terms: DataFrame, sizes: DataFrame, max_length: int | None = None) -> DataFrame:

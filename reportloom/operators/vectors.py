@@ -86,16 +86,24 @@ def idf_weight(scheme: str) -> Column:
     raise ValueError(f"unknown idf scheme: {scheme}")
 
 
-def tfidf_weights(
+def weighted_terms(
     vocab_counts: DataFrame, key: str = "record_id", tf_scheme: str = "raw",
     idf_scheme: str = "smooth", norm: bool = True,
 ) -> DataFrame:
-    """``(key, term, weight)``, each document scaled to length one."""
+    """The counted terms with their ``weight``, each document scaled to length one."""
     raw = vocab_counts.withColumn("weight", tf_weight(tf_scheme, key) * idf_weight(idf_scheme))
     if norm:
         length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
         raw = raw.withColumn("weight", F.try_divide(F.col("weight"), length))
-    return raw.select(key, "term", "weight")
+    return raw
+
+
+def tfidf_weights(
+    vocab_counts: DataFrame, key: str = "record_id", tf_scheme: str = "raw",
+    idf_scheme: str = "smooth", norm: bool = True,
+) -> DataFrame:
+    """``(key, term, weight)``, each document scaled to length one."""
+    return weighted_terms(vocab_counts, key, tf_scheme, idf_scheme, norm).select(key, "term", "weight")
 
 
 def tfidf(
@@ -136,73 +144,110 @@ def rank_documents(weights: DataFrame, query: Sequence[str], k: int = 10, key: s
     return top_n(scored, k, "score", key)
 
 
+# Rounding of sums of products; bounds and thresholds give way by so much.
+SLACK = 1e-9
+
+
 # --- pairs of nearly equal documents -----------------------------------------
 
-def document_vectors(known: DataFrame, weights: DataFrame, key: str = "record_id") -> DataFrame:
-    """One row per document: its (df, term, weight), rarest first, and a vector signature."""
-    listed = weights.join(known.select(key, "term", "df", "tf"), [key, "term"])
-    vectors = listed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "term", "weight", "tf"))).alias("vector"))
+def document_vectors(weighted: DataFrame, key: str = "record_id") -> DataFrame:
+    """One row per document: its terms, rarest first, and a vector signature.
+
+    Of every term the vector has df, term, weight, tf and ``after``: the length of what follows it.
+    """
+    upto = F.sum(F.col("weight") * F.col("weight")).over(
+        Window.partitionBy(key).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    listed = weighted.withColumn("after", F.sqrt(F.greatest(F.lit(1.0) - upto, F.lit(0.0))))
+    vectors = listed.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("df", "term", "weight", "tf", "after"))).alias("vector")
+    )
     counted = F.transform("vector", lambda t: F.concat_ws(":", t["term"], t["tf"].cast("string")))
     return vectors.withColumn("signature", F.sha2(F.array_join(counted, ","), 256))
 
 
 def copy_groups(vectors: DataFrame, key: str = "record_id") -> DataFrame:
-    """Documents with equal vectors collapse to their lowest id and a count."""
-    return vectors.groupBy("signature").agg(
-        F.min(F.struct(F.col(key).alias("rep"), "vector")).alias("first"), F.count("*").alias("copies")
-    ).select("signature", F.col("first.rep").alias("rep"), F.col("first.vector").alias("vector"), "copies")
+    """Documents with equal vectors collapse to their lowest id and a count.
+
+    Only ids are grouped; the vector of the lowest id is fetched by id.
+    """
+    groups = vectors.groupBy("signature").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
+    first = vectors.select(F.col(key).alias("rep"), "vector")
+    return groups.join(first, "rep").select("signature", "rep", "vector", "copies")
 
 
-def _prefix_length(vector: Column, threshold: float) -> Column:
-    """Number of leading terms a partner above the threshold must share one of.
+def leading_terms(groups: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The inverted index: (term, rep, weight, after, rest) of the terms a similar partner must share one of.
 
-    The dropped tail of frequent terms has a norm below the threshold, so it
-    alone cannot reach it with any unit vector.
+    The tail of frequent terms left out has a length below the threshold, so it alone cannot reach it with
+    any unit vector; ``rest`` is that length. A term of one document brings nobody together.
     """
-    bound = threshold * threshold - 1e-9
-    tail = F.aggregate(
-        F.reverse(vector),
-        F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n")),
-        lambda acc, t: F.struct(
-            (acc["mass"] + t["weight"] * t["weight"]).alias("mass"),
-            F.when(acc["mass"] + t["weight"] * t["weight"] < bound, acc["n"] + 1)
-            .otherwise(acc["n"]).alias("n"),
-        ),
-    )["n"]
-    return F.size(vector) - tail
+    bound = threshold * threshold - SLACK
+    lead = F.filter("vector", lambda t: t["after"] * t["after"] + t["weight"] * t["weight"] >= bound)
+    cut = groups.select("rep", lead.alias("_lead")).filter(F.size("_lead") > 0)
+    entries = cut.select("rep", F.element_at("_lead", -1)["after"].alias("rest"), F.inline("_lead")).filter("df > 1")
+    return entries.select("term", "rep", "weight", "after", "rest")
+
+
+def candidate_pairs(groups: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs that may reach the threshold, by norm bounds; no similar pair is missing.
+
+    Vectors meet on their leading terms and the products of shared ones are summed. What is shared beyond
+    lies behind the last shared leading term of one vector and in the tail of the other,
+    so the product of these lengths bounds it. Sums are built on the map side, and
+    a pair that cannot reach the threshold is dropped before any vector is looked at.
+    """
+    entries = leading_terms(groups, threshold)
+    left, right = (
+        entries.select("term", *[F.col(c).alias(f"{side}_{c}") for c in ("rep", "weight", "after", "rest")]) for side in ("left", "right")
+    )
+    met = left.join(right, "term").filter("left_rep < right_rep").groupBy("left_rep", "right_rep").agg(
+        F.sum(F.col("left_weight") * F.col("right_weight")).alias("shared"),
+        F.min("left_after").alias("left_after"), F.min("right_after").alias("right_after"),
+        F.max("left_rest").alias("left_rest"), F.max("right_rest").alias("right_rest"),
+    )
+    beyond = F.greatest(F.col("left_rest") * F.col("right_after"), F.col("right_rest") * F.col("left_after"))
+    return met.filter(F.col("shared") + beyond >= threshold - SLACK).select(
+        F.col("left_rep").alias("left_id"), F.col("right_rep").alias("right_id")
+    )
 
 
 def similar_pairs(groups: DataFrame, threshold: float = 0.8) -> DataFrame:
     """All pairs of distinct vectors with cosine >= threshold (exact).
 
-    Vectors meet on the rare terms they cannot do without. The cosine of those that
-    meet is then summed over shared terms. At a high threshold few pairs
-    meet, however many documents there are.
+    Only candidates fetch their vectors; their terms are put on top of each other and the cosine is
+    summed over those both have, so this work grows with the pairs found.
     """
-    sized = groups.select("rep", "vector", _prefix_length(F.col("vector"), threshold).alias("prefix"))
-    # A term of one document brings nobody together.
-    leading = F.filter(F.slice("vector", F.lit(1), F.col("prefix")), lambda t: t["df"] > 1)
-    entries = sized.select("rep", F.explode(F.transform(leading, lambda t: t["term"])).alias("term"))
-    left, right = (entries.select("term", F.col("rep").alias(f"{side}_id")) for side in ("left", "right"))
-    met = left.join(right, "term").filter("left_id < right_id").select("left_id", "right_id").distinct()
-    terms = groups.select("rep", F.inline("vector")).select("rep", "term", "weight")
-    mine = terms.select(F.col("rep").alias("left_id"), "term", F.col("weight").alias("_a"))
-    theirs = terms.select(F.col("rep").alias("right_id"), "term", F.col("weight").alias("_b"))
-    scored = met.join(mine, "left_id").join(theirs, ["right_id", "term"]).groupBy("left_id", "right_id").agg(
-        F.sum(F.col("_a") * F.col("_b")).alias("cosine")
+    pairs = materialize(candidate_pairs(groups, threshold), "candidate-pairs")
+    vectors = groups.select("rep", F.transform("vector", lambda t: F.struct(t["term"].alias("term"), t["weight"].alias("weight"))).alias("v"))
+    stacked = [
+        pairs.join(vectors, pairs[f"{side}_id"] == vectors["rep"]).select("left_id", "right_id", F.inline("v")).select(
+            "left_id", "right_id", "term", *[(F.col("weight") if s == side else F.lit(None).cast("double")).alias(f"_{s}") for s in ("left", "right")]
+        ) for side in ("left", "right")
+    ]
+    both = stacked[0].unionByName(stacked[1]).groupBy("left_id", "right_id", "term").agg(
+        F.max("_left").alias("_left"), F.max("_right").alias("_right")
     )
-    return scored.filter(F.col("cosine") >= threshold - 1e-9)
+    scored = both.groupBy("left_id", "right_id").agg(F.sum(F.col("_left") * F.col("_right")).alias("cosine"))
+    return scored.filter(F.col("cosine") >= threshold - SLACK)
 
 
-def similar_documents(
-    docs: DataFrame, threshold: float = 0.8, text: str = "content", key: str = "record_id",
+def grouped_vectors(
+    docs: DataFrame, text: str = "content", key: str = "record_id",
     min_df: int | float = 1, max_df: int | float = 1.0, max_features: int | None = None,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vector signature per document, copy groups, similar pairs of groups."""
+) -> tuple[DataFrame, DataFrame]:
+    """Vector signature per document, and the groups of equal vectors."""
     counts = term_counts(docs, text, key, stop_words)
     known = in_vocabulary(counts, vocabulary(counts, document_count(docs), min_df, max_df, max_features))
     # Read several times: by the copy groups and by the pairs.
-    vectors = materialize(document_vectors(known, tfidf_weights(known, key), key), "vectors")
-    groups = copy_groups(vectors, key)
-    return vectors.select(key, "signature"), groups, similar_pairs(groups, threshold)
+    vectors = materialize(document_vectors(weighted_terms(known, key), key), "vectors")
+    return vectors.select(key, "signature"), copy_groups(vectors, key)
+
+
+def similar_documents(
+    docs: DataFrame, threshold: float = 0.8, text: str = "content", key: str = "record_id", **options,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vector signature per document, copy groups, similar pairs of groups."""
+    signatures, groups = grouped_vectors(docs, text, key, **options)
+    return signatures, groups, similar_pairs(groups, threshold)

@@ -142,21 +142,17 @@ _PAIRS = f"""{_weights_sql()}, sig AS MATERIALIZED (SELECT doc_id, string_agg(te
       FROM rw a JOIN rw b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 0.8 - 1e-9)"""
 
 
-def _similar(spark, d):
-    return X.similar_documents(docs(spark, d), 0.8)
-
-
 # Documents with equal vectors are one group; j9 lists the groups' members.
 @query("x7_similar_pairs", f"WITH {_PAIRS} SELECT left_id, right_id, round(cosine, 4) AS cosine FROM pairs")
 def _(spark, d):
-    return _rounded(_similar(spark, d)[2], "cosine")
+    return _rounded(X.similar_documents(docs(spark, d), 0.8)[2], "cosine")
 
 
 @query("j9_copy_groups", f"""
     WITH {_PAIRS} SELECT doc_id, rep, count(*) OVER (PARTITION BY rep) AS copies FROM rep
 """)
 def _(spark, d):
-    signatures, groups, _pairs = _similar(spark, d)
+    signatures, groups = X.grouped_vectors(docs(spark, d))
     return signatures.join(groups.select("signature", "rep", "copies"), "signature").select(
         F.col("record_id").alias("doc_id"), "rep", "copies")
 
@@ -233,17 +229,37 @@ def _(spark, d):
       FROM lab LEFT JOIN own USING (doc_id) LEFT JOIN dots USING (doc_id) LEFT JOIN norms USING (cluster)),
     per AS (SELECT cluster, count(*) AS size, sum(d2) AS within, avg(sqrt(d2)) AS spread, coalesce(any_value(norm), 0) AS norm FROM dist LEFT JOIN norms USING (cluster) GROUP BY 1),
     tot AS (SELECT sum(t * t) AS t2 FROM (SELECT sum(centroid * size) AS t FROM cen GROUP BY term)),
+    lm AS (SELECT lab.doc_id, lab.cluster, coalesce(own, 0) AS own, other.cluster AS other, other.size AS size, msq FROM lab LEFT JOIN own USING (doc_id)
+      CROSS JOIN (SELECT cluster, count(*) AS size, avg(coalesce(own, 0)) AS msq FROM lab LEFT JOIN own USING (doc_id) GROUP BY 1) other),
+    dc AS (SELECT doc_id, cen.cluster AS other, sum(weight * centroid) AS dot FROM wt JOIN cen USING (term) GROUP BY 1, 2),
+    ds AS (SELECT doc_id, lm.cluster, lm.other, size, greatest(own - 2 * coalesce(dot, 0) + msq, 0) AS d FROM lm LEFT JOIN dc USING (doc_id, other)),
+    sil AS (SELECT doc_id, max(CASE WHEN cluster = other AND size > 1 THEN d * size / (size - 1) END) AS a, min(CASE WHEN cluster <> other THEN d END) AS b FROM ds GROUP BY 1),
     cd AS (SELECT a.cluster AS a, b.cluster AS b, sum(a.centroid * b.centroid) AS dot FROM cen a JOIN cen b USING (term) GROUP BY 1, 2),
     r AS (SELECT p.cluster, max((p.spread + q.spread) / sqrt(p.norm + q.norm - 2 * coalesce(dot, 0))) AS worst
       FROM per p JOIN per q ON p.cluster <> q.cluster LEFT JOIN cd ON cd.a = p.cluster AND cd.b = q.cluster GROUP BY 1),
     s AS (SELECT sum(size) AS n, count(*) AS k, sum(norm * size) AS ns, sum(within) AS w FROM per)
     SELECT n::BIGINT AS documents, k::INT AS clusters, round((ns - t2 / n) * (n - k) / (w * (k - 1)), 4) AS calinski_harabasz,
-      (SELECT round(avg(worst), 4) FROM r) AS davies_bouldin FROM s CROSS JOIN tot
+      (SELECT round(avg(worst), 4) FROM r) AS davies_bouldin,
+      (SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 4) FROM sil) AS silhouette FROM s CROSS JOIN tot
 """)
 def _(spark, d):
     return K.cluster_quality(_stored_weights(spark, d), _labels(spark, d))
 
 
+@query("x12_document_silhouette", f"""
+    WITH {_CLUSTER}, own AS (SELECT doc_id, sum(weight * weight) AS own FROM wt GROUP BY 1),
+    o AS (SELECT lab.doc_id, cluster, coalesce(own, 0) AS own FROM lab LEFT JOIN own USING (doc_id)),
+    st AS (SELECT cluster AS other, count(*) AS size, avg(own) AS msq FROM o GROUP BY 1),
+    dc AS (SELECT doc_id, cen.cluster AS other, sum(weight * centroid) AS dot FROM wt JOIN cen USING (term) GROUP BY 1, 2),
+    ds AS (SELECT o.doc_id, cluster, st.other, size, greatest(own - 2 * coalesce(dot, 0) + msq, 0) AS d
+      FROM o CROSS JOIN st LEFT JOIN dc ON dc.doc_id = o.doc_id AND dc.other = st.other),
+    sil AS (SELECT doc_id, cluster, max(CASE WHEN cluster = other AND size > 1 THEN d * size / (size - 1) END) AS a, min(CASE WHEN cluster <> other THEN d END) AS b FROM ds GROUP BY 1, 2)
+    SELECT doc_id, cluster, round(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END, 4)::DOUBLE AS silhouette FROM sil
+""")
+def _(spark, d):
+    return _by_doc(_rounded(K.silhouette(_stored_weights(spark, d), _labels(spark, d)), "silhouette"))
+
+
 _BAND = "CASE WHEN size > 10 THEN ' This is a major theme appearing in ' || size || ' documents.' WHEN size > 5 THEN ' This theme appears in ' || size || ' documents.' ELSE ' This is a smaller theme with ' || size || ' documents.' END"
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reportloom.operators import annotate as N, dashboard as D, dedup, evaluate as V, profile as A, spans as S, vectors as X
+from reportloom.operators import annotate as N, cluster as K, dashboard as D, dedup, evaluate as V, profile as A, spans as S, vectors as X
 from reportloom.operators.small import as_array, with_each
 
 
@@ -198,7 +198,7 @@ def test_similar_pairs_equal_brute_force(spark, n, words, length, threshold):
     counts = X.term_counts(docs)
     known = X.in_vocabulary(counts, X.vocabulary(counts, X.document_count(docs)))
     weights = X.tfidf_weights(known)
-    groups = X.copy_groups(X.document_vectors(known, weights))
+    groups = X.copy_groups(X.document_vectors(X.weighted_terms(known)))
     table = {}
     for r in weights.collect():
         table.setdefault(r["record_id"], {})[r["term"]] = r["weight"]
@@ -214,6 +214,34 @@ def test_similar_pairs_equal_brute_force(spark, n, words, length, threshold):
     assert {(r["left_id"], r["right_id"]): pytest.approx(r["cosine"]) for r in got} == expected
 
 
+def test_candidates_are_few_and_complete(spark):
+    """Bounds leave little more than the similar pairs, and none of them out."""
+    docs = corpus(spark, 150, 400, 25, 30, seed=5)
+    near = docs.select((docs.record_id + 1000).alias("record_id"), F.concat("content", F.lit(" w399")).alias("content")).limit(40)
+    signatures, groups, pairs = X.similar_documents(docs.unionByName(near), 0.8)
+    found = {(r.left_id, r.right_id) for r in pairs.collect()}
+    candidates = {(r.left_id, r.right_id) for r in X.candidate_pairs(groups, 0.8).collect()}
+    assert found and found <= candidates and len(candidates) <= 20 * len(found)
+
+
+def test_silhouette_equals_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, f"t{t}", rng.random()) for i in range(12) for t in range(i % 3 * 3, i % 3 * 3 + 4) if rng.random() < 0.8]
+    labels = [(i, "abc"[i % 3] if i != 11 else "alone") for i in range(13)]  # 12 has no terms
+    got = {r.record_id: r.silhouette for r in K.silhouette(
+        spark.createDataFrame(rows, "record_id long, term string, weight double"), spark.createDataFrame(labels, "record_id long, cluster string")).collect()}
+    vectors = {i: {t: w for j, t, w in rows if j == i} for i, _ in labels}
+    square = lambda a, b: sum((a.get(t, 0) - b.get(t, 0)) ** 2 for t in a.keys() | b.keys())
+    for i, own in labels:
+        mean = {}
+        for c in {c for _, c in labels}:
+            members = [j for j, other in labels if other == c and j != i]
+            if members:
+                mean[c] = sum(square(vectors[i], vectors[j]) for j in members) / len(members)
+        a, b = mean.get(own), min(v for c, v in mean.items() if c != own)
+        assert got[i] == pytest.approx(0.0 if a is None else (b - a) / max(a, b)), i
+
+
 def test_tf_and_idf_schemes(spark):
     docs = spark.createDataFrame([(1, "aa aa bb"), (2, "aa cc"), (3, "dd the")], "record_id int, content string")
     counts = X.term_counts(docs)
