@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reportloom.functions.helpers import WORD, word_count
 from reportloom.functions.text import confidence_label, lemma, split_sentences
 from reportloom.operators.dashboard import NO_THEME
-from reportloom.operators.small import as_array, top_n_per_group, with_each
+from reportloom.operators.search import occurrences
+from reportloom.operators.small import top_n_per_group, with_each
 from reportloom.session import materialize
 
 THEME = ["framework", "theme_idx", "theme"]
@@ -261,7 +262,7 @@ def annotation_table(themes: DataFrame, spans: DataFrame, reports: DataFrame) ->
 def with_placeholders(annotations: DataFrame, reports: DataFrame, frameworks: DataFrame) -> DataFrame:
     """Add a "No Themes Detected" row where a framework found nothing."""
     names = frameworks.select("framework").distinct()
-    expected = with_each(reports.select("record_id"), names, "framework", max_rows=10_000)
+    expected = with_each(reports.select("record_id"), names, "framework")
     found = annotations.select("record_id", "framework")
     empty = expected.join(found, ["record_id", "framework"], "left_anti").select(
         "record_id", "framework", F.lit(NO_THEME).alias("theme"),
@@ -271,11 +272,7 @@ def with_placeholders(annotations: DataFrame, reports: DataFrame, frameworks: Da
 
 
 def substring_matches(reports: DataFrame, frameworks: DataFrame, text: str = "content") -> DataFrame:
-    """Keywords contained anywhere in a report, without word boundary."""
+    """Keywords contained anywhere in a report, without word boundary; empty keywords are left out."""
     dim = frameworks.select(*THEME, "kw_idx", F.lower("keyword").alias("keyword"))
-    staged = reports.select(
-        "record_id", F.lower(text).alias("_lower"),
-        as_array(dim, *THEME, "kw_idx", "keyword").alias("_dim"),
-    )
-    present = F.filter("_dim", lambda k: F.contains(F.col("_lower"), k["keyword"]))
-    return staged.select("record_id", F.inline(present))
+    found = occurrences(reports, dim, text, once=True).select("record_id", "keyword")
+    return found.join(dim, "keyword").select("record_id", *THEME, "kw_idx", "keyword")

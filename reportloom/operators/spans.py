@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reportloom.functions.helpers import let
-from reportloom.operators.small import as_array
+from reportloom.operators.search import occurrences
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -49,60 +48,19 @@ def highlight(reports: DataFrame, merged: DataFrame, text: str = "content", mark
             F.lit('">'), inner, F.lit("</span>"),
         )
 
-    built = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("last"), F.lit("").alias("text")),
-        lambda acc, s: F.struct(
-            s["end"].alias("last"),
-            F.concat(
-                acc["text"], F.substr(body, acc["last"] + 1, s["start"] - acc["last"]), wrap(s)
-            ).alias("text"),
-        ),
-        lambda acc: F.concat(acc["text"], F.substr(body, acc["last"] + 1, F.length(body))),
-    )
+    # Merged spans are in order and apart, so each piece begins where the span before it ends.
+    last = F.get("spans", F.size("spans") - 1)["end"]
+    before = F.slice(F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"])), F.lit(1), F.size("spans"))
+    pieces = F.zip_with(before, "spans", lambda at, s: F.concat(F.substr(body, at + 1, s["start"] - at), wrap(s)))
+    built = F.concat(F.array_join(pieces, ""), F.substr(body, last + 1, F.length(body)))
     joined = reports.select("record_id", text).join(lists, "record_id", "left")
     return joined.select(
         "record_id", F.when(F.col("spans").isNull(), body).otherwise(built).alias("highlighted")
     )
 
 
-def _starts(text: Column, keyword: Column) -> Column:
-    """0-based starts of every, also overlapping, occurrence of ``keyword``.
-
-    The text is cut in front of each occurrence; the piece lengths add up to
-    the positions, in one pass over the text.
-    """
-    cut = F.concat(F.lit("(?=\\Q"), keyword, F.lit("\\E)"))
-
-    def positions(pieces: Column) -> Column:
-        return F.aggregate(
-            pieces,
-            F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-            lambda acc, p: F.struct(
-                (acc["pos"] + F.length(p)).alias("pos"),
-                F.when(
-                    (acc["pos"] > 0) | F.startswith(p, keyword) | F.startswith(text, keyword),
-                    F.concat(acc["starts"], F.array(acc["pos"])),
-                ).otherwise(acc["starts"]).alias("starts"),
-            ),
-        )["starts"]
-
-    return let(F.split(text, cut), positions)
-
-
 def keyword_occurrences(reports: DataFrame, keywords: DataFrame, text: str = "content") -> DataFrame:
     """All occurrences of each keyword, no word boundary, overlaps allowed."""
-    dim = keywords.select(F.lower("keyword").alias("keyword")).distinct()
-    staged = reports.select(
-        "record_id", F.col(text).alias("_text"), F.lower(text).alias("_lower"),
-        as_array(dim, "keyword").alias("_dim"),
-    )
-    present = F.filter("_dim", lambda k: F.contains(F.col("_lower"), k["keyword"]))
-    rows = staged.select("record_id", "_text", "_lower", F.inline(present))
-    hits = rows.select(
-        "record_id", "_text", "keyword", F.explode(_starts(F.col("_lower"), F.col("keyword"))).alias("start")
-    )
-    return hits.select(
-        "record_id", "start", (F.col("start") + F.length("keyword")).alias("end"),
-        F.substr("_text", F.col("start") + 1, F.length("keyword")).alias("matched"),
+    return occurrences(reports, keywords, text).select(
+        "record_id", "start", (F.col("start") + F.length("keyword")).alias("end"), "matched"
     )

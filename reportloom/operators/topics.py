@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.helpers import words_of
 from reportloom.functions.text import clean_text_for_modeling
-from reportloom.operators.small import as_array, top_n_per_group
+from reportloom.operators.search import occurrences
+from reportloom.operators.small import top_n_per_group
 from reportloom.operators.vectors import term_counts
 from reportloom.session import materialize
 
@@ -125,16 +126,16 @@ def topic_insights(
     )
 
 
-def topic_coherence(docs: DataFrame, topic_words: DataFrame, text: str = "content") -> DataFrame:
+def topic_coherence(docs: DataFrame, topic_words: DataFrame, text: str = "content", key: str = "record_id") -> DataFrame:
     """Mean number of documents that contain both words of a pair, per topic.
 
     Pairs that never occur together are dropped. Documents collapse to the set of
     topic words they contain before pairs are formed.
     """
-    dim = topic_words.groupBy("topic").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    staged = docs.select(F.lower(text).alias("_t"), as_array(dim, "topic", "words", max_rows=10_000).alias("_d"))
-    rows = staged.select("_t", F.inline("_d")).select(
-        "topic", F.filter("words", lambda w: F.contains(F.col("_t"), w)).alias("present")
+    found = occurrences(docs, topic_words.select(F.col("word").alias("keyword")), text, key, once=True).select(key, "keyword")
+    words = topic_words.select("topic", F.col("word")).distinct()
+    rows = found.join(words, F.lower("word") == F.col("keyword")).groupBy(key, "topic").agg(
+        F.sort_array(F.collect_set("word")).alias("present")
     ).filter(F.size("present") > 1)
     sets = rows.groupBy("topic", "present").agg(F.count("*").alias("n"))
     first = sets.select("topic", "present", "n", F.posexplode("present").alias("i", "word_a"))

@@ -176,15 +176,28 @@ def _(spark, d):
     return D.framework_heatmap(_annotations(spark, d)).drop("theme_rank", "theme_total")
 
 
+_PART_WORDS_SQL = "SELECT DISTINCT p_type AS framework, 'part' AS theme, unnest(string_split(lower(p_name), ' ')) AS keyword FROM part"
+
+
+def _part_words(spark, d):
+    """A type of part is a framework whose keywords are the words of its names."""
+    words = spark.read.parquet(f"{d}/part.parquet").select(
+        F.col("p_type").alias("framework"), F.lit("part").alias("theme"), F.explode(F.split(F.lower("p_name"), " ")).alias("keyword")
+    ).distinct()
+    return words.withColumns({"theme_idx": F.lit(0), "kw_idx": F.lit(0)})
+
+
 @query("n9_substring_matches", f"""
-    WITH {FRAMEWORKS_SQL} SELECT doc_id AS record_id, framework, theme, keyword FROM documents JOIN fw ON contains(lower(text), keyword)
+    WITH {FRAMEWORKS_SQL}, k AS (SELECT framework, theme, keyword FROM fw UNION ALL {_PART_WORDS_SQL})
+    SELECT doc_id AS record_id, framework, theme, keyword FROM documents JOIN k ON contains(lower(text), keyword)
 """)
 def _(spark, d):
-    return N.substring_matches(docs(spark, d), frameworks(spark)).select("record_id", "framework", "theme", "keyword")
+    every = frameworks(spark).unionByName(_part_words(spark, d))
+    return N.substring_matches(docs(spark, d), every).select("record_id", "framework", "theme", "keyword")
 
 
 @query("n14_keyword_occurrences", f"""
-    WITH {FRAMEWORKS_SQL}, k AS (SELECT DISTINCT keyword FROM fw WHERE framework = 'Alpha' UNION SELECT 'rere'),
+    WITH {FRAMEWORKS_SQL}, k AS (SELECT keyword FROM fw UNION SELECT keyword FROM ({_PART_WORDS_SQL}) UNION SELECT lower(p_name) FROM part UNION SELECT 'rere'),
     p AS (SELECT doc_id, text, lower(text) AS t, keyword FROM documents JOIN k ON contains(lower(text), keyword)),
     c AS (SELECT doc_id, text, keyword, unnest(s) AS piece, unnest(range(len(s))) AS i FROM (SELECT doc_id, text, keyword, string_split(t, keyword) AS s FROM p)),
     o AS (SELECT doc_id, text, keyword, i, (sum(length(piece) + length(keyword)) OVER (PARTITION BY doc_id, keyword ORDER BY i) - length(keyword))::INT AS pos,
@@ -195,9 +208,10 @@ def _(spark, d):
     WHERE lower(substring(text, i::INT + 1, 4)) = 'rere'
 """)
 def _(spark, d):
-    kw = frameworks(spark).filter("framework = 'Alpha'").select("keyword").unionByName(
-        spark.createDataFrame([("rere",)], "keyword string"))
-    return S.keyword_occurrences(docs(spark, d), kw)
+    # Every keyword of the frameworks, all part names and their words, and one that overlaps itself.
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("keyword"))
+    kw = frameworks(spark).select("keyword").unionByName(_part_words(spark, d).select("keyword")).unionByName(names)
+    return S.keyword_occurrences(docs(spark, d), kw.unionByName(spark.createDataFrame([("rere",)], "keyword string")))
 
 
 @query("w4_merge_spans", f"""
