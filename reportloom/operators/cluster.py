@@ -7,36 +7,35 @@ from itertools import product
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import clean_text_for_modeling, split_sentences, tokens
 from reportloom.operators.small import top_n_per_group, with_each
-from reportloom.operators.vectors import idf_weight
+from reportloom.operators.vectors import bm25, idf_weight, projected, tfidf, unit_length
 from reportloom.session import materialize
 
 
+DIMS = 256
+KS = range(2, 9)  # numbers of clusters to try
+
+
 def model_vectors(
-    docs: DataFrame, text: str = "content", key: str = "record_id", buckets: int = 1 << 16,
-    min_df: int = 1, stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    docs: DataFrame, text: str = "content", key: str = "record_id", dims: int = DIMS,
+    min_df: int = 1, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, weighting: str = "tfidf", tf_scheme: str = "raw", idf_scheme: str = "smooth",
 ) -> DataFrame:
-    """``(key, features)``: unit TF-IDF vectors over hashed terms, built inside the JVM.
+    """``(key, features)``: TF-IDF or BM25 weights of all terms at unit length, projected to ``dims`` numbers.
 
-    All terms take part, each in one of ``buckets`` places, so no vocabulary is gathered.
+    ``weighting`` is ``tfidf``, with the schemes given, or ``bm25``. Terms are not hashed to places; documents without a term are left out.
     """
-    words = tokens(text)
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    staged = docs.select(key, words.alias("_tokens"))
-    counted = HashingTF(numFeatures=buckets, inputCol="_tokens", outputCol="_tf").transform(staged)
-    weighted = IDF(inputCol="_tf", outputCol="_w", minDocFreq=min_df).fit(counted).transform(counted)
-    return Normalizer(p=2.0, inputCol="_w", outputCol="features").transform(weighted).select(key, "features")
-
-
-def cluster_range(n_docs: int) -> range:
-    """Numbers of clusters to try for a corpus size."""
-    return range(max(2, min(3, n_docs // 20)), max(3, min(8, n_docs // 10)) + 1)
+    if weighting == "tfidf":
+        weights = tfidf(docs, text, key, stop_words, min_df, tf_scheme=tf_scheme, idf_scheme=idf_scheme)
+    elif weighting == "bm25":
+        weights = unit_length(bm25(docs, text, key, stop_words, min_df), key)
+    else:
+        raise ValueError(f"unknown weighting: {weighting}")
+    return projected(weights, dims, key).select(key, array_to_vector("vector").alias("features"))
 
 
 def _fit(vectors: DataFrame, k: int, method: str, seed: int) -> DataFrame:
@@ -59,7 +58,9 @@ def choose_clusters(
     n_docs = vectors.count()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     tried, labelled = [], {}
-    for k in ks or cluster_range(n_docs):
+    for k in ks or KS:
+        if k > n_docs:
+            continue
         labels = _fit(vectors, k, method, seed)
         sizes = [r["n"] for r in labels.groupBy("cluster").agg(F.count("*").alias("n")).collect()]
         if len(sizes) < 2:
@@ -70,7 +71,7 @@ def choose_clusters(
         tried.append((k, len(sizes), silhouette, ratio, silhouette * (1 - ratio / 20), ok))
         labelled[k] = labels
     if not tried:
-        k = min(ks or cluster_range(n_docs))
+        k = min(ks or KS)
         labelled[k] = _fit(vectors, k, method, seed)
         best = k
     else:
@@ -87,7 +88,7 @@ def choose_clusters(
 def cluster_documents(docs: DataFrame, text: str = "content", key: str = "record_id", **options) -> tuple[DataFrame, DataFrame]:
     """Clean, vectorise and cluster a corpus; documents without text are left out."""
     vector_options = {
-        n: options.pop(n) for n in ("min_df", "buckets", "stop_words") if n in options
+        n: options.pop(n) for n in ("min_df", "dims", "stop_words", "weighting", "tf_scheme", "idf_scheme") if n in options
     }
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
     return choose_clusters(model_vectors(clean, "clean", key, **vector_options), key=key, **options)
@@ -99,28 +100,28 @@ def optimise_parameters(
 ) -> DataFrame:
     """Score every parameter combination: silhouette − 0.1·|clusters − target|.
 
-    Vectors are built once per number of places and labels once per (places,
+    Vectors are built once per number of directions and labels once per (directions,
     target); combinations that share them reuse the result.
     """
-    grid = grid or {"target": [3, 5, 7, 10], "min_cluster_size": [2, 3, 5], "buckets": [1 << 12, 1 << 14, 1 << 16]}
-    names = ["target", "min_cluster_size", "buckets"]
+    grid = grid or {"target": [3, 5, 7, 10], "min_cluster_size": [2, 3, 5], "dims": [64, 128, 256]}
+    names = ["target", "min_cluster_size", "dims"]
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
     clean = materialize(clean, "clean")
     vectors, fitted, rows = {}, {}, []
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    for target, smallest, buckets in product(*[grid[n] for n in names]):
-        if buckets not in vectors:
-            vectors[buckets] = materialize(model_vectors(clean, "clean", key, buckets), "vectors")
-        if (buckets, target) not in fitted:
-            labels = _fit(vectors[buckets], target, "kmeans", seed)
+    for target, smallest, dims in product(*[grid[n] for n in names]):
+        if dims not in vectors:
+            vectors[dims] = materialize(model_vectors(clean, "clean", key, dims), "vectors")
+        if (dims, target) not in fitted:
+            labels = _fit(vectors[dims], target, "kmeans", seed)
             sizes = [r["n"] for r in labels.groupBy("cluster").agg(F.count("*").alias("n")).collect()]
-            fitted[buckets, target] = (sizes, evaluator.evaluate(labels) if len(sizes) > 1 else 0.0)
-        sizes, silhouette = fitted[buckets, target]
+            fitted[dims, target] = (sizes, evaluator.evaluate(labels) if len(sizes) > 1 else 0.0)
+        sizes, silhouette = fitted[dims, target]
         kept = sum(1 for s in sizes if s >= smallest)
-        rows.append((target, smallest, buckets, kept, silhouette, silhouette - abs(kept - target) * 0.1))
+        rows.append((target, smallest, dims, kept, silhouette, silhouette - abs(kept - target) * 0.1))
     return docs.sparkSession.createDataFrame(
-        rows, "target int, min_cluster_size int, buckets int, clusters int, silhouette double, score double",
-    ).orderBy(F.desc("score"), "target", "min_cluster_size", "buckets")
+        rows, "target int, min_cluster_size int, dims int, clusters int, silhouette double, score double",
+    ).orderBy(F.desc("score"), "target", "min_cluster_size", "dims")
 
 
 # --- description of given clusters: weights (key, term, weight), labels (key, cluster)

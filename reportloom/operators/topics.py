@@ -1,17 +1,16 @@
-"""LDA topics and what is derived from them."""
+"""Topics and what is derived from them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
-from reportloom.functions.helpers import words_of
 from reportloom.functions.text import clean_text_for_modeling
+from reportloom.operators.dictionary import number_terms
 from reportloom.operators.search import occurrences
 from reportloom.operators.small import top_n_per_group
 from reportloom.operators.vectors import term_counts
@@ -21,10 +20,11 @@ from reportloom.session import materialize
 class TopicModel:
     """A fitted model with its tables; all of them are DataFrames."""
 
-    def __init__(self, words: DataFrame, shares: DataFrame, documents: DataFrame):
-        self.words = words          # topic, word, weight (whole vocabulary)
+    def __init__(self, words: DataFrame, shares: DataFrame, documents: DataFrame, fit: DataFrame):
+        self.words = words          # topic, word, weight (whole vocabulary; the weights of a topic sum to 1)
         self.shares = shares        # record_id, topic, share
         self.documents = documents  # record_id, clean, copies
+        self.fit = fit              # step, log_likelihood, objective (with the priors)
 
     def top_words(self, n: int = 10) -> DataFrame:
         return top_n_per_group(self.words, "topic", n, F.desc("weight"), F.asc("word"))
@@ -33,15 +33,100 @@ class TopicModel:
         return self.shares.groupBy("topic").agg(F.avg("share").alias("mean_share"))
 
 
+def start_weights(ids: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Uneven first weights of terms, by a hash of term and topic."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64)[:, None] * np.uint64(k) + np.arange(k, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return 0.5 + ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+
+def expectation(
+    rows: np.ndarray, columns: np.ndarray, tf: np.ndarray, theta: np.ndarray, phi: np.ndarray, alpha: float, inner: int = 3,
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """(new topic shares of documents, expected counts of terms, log-likelihood before) for counts in coordinates.
+
+    The shares of documents are improved a few times for given words, then the counts are shared out; no
+    step lowers the objective.
+    """
+    weights, fit = phi[columns], None
+    for _ in range(inner):
+        joint = theta[rows] * weights
+        total = joint.sum(axis=1)
+        if fit is None:
+            fit = float(tf @ np.log(total))
+        expected = joint * (tf / total)[:, None]
+        theta = np.stack([np.bincount(rows, expected[:, t], len(theta)) for t in range(theta.shape[1])], axis=1) + alpha
+        theta /= theta.sum(axis=1, keepdims=True)
+    joint = theta[rows] * weights
+    expected = joint * (tf / joint.sum(axis=1))[:, None]
+    counts = np.stack([np.bincount(columns, expected[:, t], len(phi)) for t in range(theta.shape[1])], axis=1)
+    return theta, counts, fit
+
+
+SHARD_ROWS = 1_000_000  # counts of a shard, about; a document is never split
+SHARD = "shard long, docs binary, terms binary, rows binary, columns binary, tf binary"
+
+
+def count_shards(counts: DataFrame, dictionary: DataFrame, key: str, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(shards of the sparse count matrix, document numbers): sparse vectors built by joins, without hashed terms."""
+    names = number_terms(counts.select(F.col(key).cast("string").alias("doc")), "doc", "doc_no")
+    n = counts.count()
+    numbered = counts.join(dictionary, "term").withColumn("doc", F.col(key).cast("string")).join(names, "doc")
+    many = max(1, -(-n // shard_rows))
+    keyed = numbered.select(F.pmod(F.xxhash64("doc_no"), F.lit(many)).alias("shard"), "doc_no", "term_id", F.col("tf").cast("double").alias("tf"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        doc, term, tf = (table.column(c).to_numpy() for c in ("doc_no", "term_id", "tf"))
+        order = np.lexsort((term, doc))
+        docs, rows = np.unique(doc[order], return_inverse=True)
+        terms, columns = np.unique(term[order], return_inverse=True)
+        packed = [docs.astype("<i8"), terms.astype("<i8"), rows.astype("<i4"), columns.astype("<i4"), tf[order].astype("<f8")]
+        return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in packed)],
+                        names=[c.split(" ")[0] for c in SHARD.split(", ")])
+
+    return materialize(keyed.groupBy("shard").applyInArrow(pack, SHARD), "count-shards"), names
+
+
+def _em_step(shards: DataFrame, vocabulary: DataFrame, theta: DataFrame, phi: DataFrame, k: int, alpha: float) -> DataFrame:
+    """One step: per shard and term the expected counts, per shard the new shares and the likelihood before."""
+    schema = "shard long, term_id long, " + ", ".join(f"s{t} double" for t in range(k)) + ", theta binary, fit double, prior double"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [c.split(" ")[0] for c in schema.split(", ")]
+        raw = {c: left.column(c)[0].as_py() for c in ("docs", "rows", "columns", "tf", "theta")}
+        n = len(raw["docs"]) // 8
+        rows, columns = np.frombuffer(raw["rows"], "<i4"), np.frombuffer(raw["columns"], "<i4")
+        own = np.full((n, k), 1.0 / k) if raw["theta"] is None else np.frombuffer(raw["theta"], "<f8").reshape(n, k)
+        order = np.argsort(right.column("term_id").to_numpy())
+        weights = np.stack([right.column(f"p{t}").to_numpy() for t in range(k)], axis=1)[order]
+        prior = alpha * float(np.log(own).sum())
+        new, counts, fit = expectation(rows, columns, np.frombuffer(raw["tf"], "<f8"), own, weights, alpha)
+        shard, many = left.column("shard")[0].as_py(), len(order)
+        nothing = [None] * many
+        return pa.table([
+            pa.array([shard] * (many + 1), pa.int64()), pa.concat_arrays([pa.array(right.column("term_id").to_numpy()[order]), pa.array([None], pa.int64())]),
+            *(pa.concat_arrays([pa.array(counts[:, t]), pa.array([None], pa.float64())]) for t in range(k)),
+            pa.array([*nothing, new.astype("<f8").tobytes()], pa.binary()), pa.array([*nothing, fit], pa.float64()), pa.array([*nothing, prior], pa.float64()),
+        ], names=names)
+
+    left = shards.select("shard", "docs", "rows", "columns", "tf").join(theta, "shard", "left")
+    right = vocabulary.join(phi, "term_id")
+    return materialize(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(run, schema), "topic-step")
+
+
 def fit_topics(
-    docs: DataFrame, k: int = 5, text: str = "content", key: str = "record_id", buckets: int = 1 << 16,
-    iterations: int = 20, seed: int = 42,
-    deduplicate: bool = True, stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    docs: DataFrame, k: int = 5, text: str = "content", key: str = "record_id", iterations: int = 20, seed: int = 42,
+    deduplicate: bool = True, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, alpha: float = 0.1, beta: float = 0.01,
+    shard_rows: int = SHARD_ROWS,
 ) -> TopicModel:
-    """LDA on the cleaned corpus; equal cleaned texts count once.
+    """Topics of the cleaned corpus by EM with Dirichlet priors; equal cleaned texts count once.
 
-    All terms take part, each in one of ``buckets`` places; the weight of a place is
-    shared out among its terms by their frequency, so no vocabulary is gathered.
+    Every term has a number and weights of its own. Counts are shards of documents; a step brings the
+    weights of its terms to each shard, and expected counts go back to be summed per term, so
+    weights are a table partitioned by term and neither vocabulary nor documents reach the driver. ``alpha``
+    and ``beta`` are added to the counts of a topic in a document and of a term in a topic.
     """
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
     if deduplicate:
@@ -51,29 +136,68 @@ def fit_topics(
     else:
         clean = clean.withColumn("copies", F.lit(1).cast("long"))
     clean = materialize(clean, "clean")
-    counts = term_counts(clean, "clean", key, stop_words)
-    hashing = HashingTF(numFeatures=buckets, inputCol="_tokens", outputCol="features")
-    kept = F.filter(words_of("clean"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words)) if stop_words else words_of("clean")
-    vectors = materialize(hashing.transform(clean.select(key, kept.alias("_tokens"))).select(key, "features"), "lda_vectors")
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="features").fit(vectors)
-    frequency = counts.groupBy("term").agg(F.sum("tf").alias("cf"))
-    placed = hashing.transform(frequency.withColumn("_tokens", F.array("term")))
-    place = F.regexp_extract(F.col("features").cast("string"), r"\[(\d+)", 1).cast("int")
-    placed = placed.select("term", "cf", place.alias("term_idx"))
-    together = placed.groupBy("term_idx").agg(F.sum("cf").alias("all_cf"))
-    described = model.describeTopics(buckets).select(
-        "topic", F.inline(F.arrays_zip(
-            F.col("termIndices").alias("term_idx"), F.col("termWeights").alias("weight")
+    counts = materialize(term_counts(clean, "clean", key, stop_words), "term-counts")
+    dictionary = number_terms(counts, "term")
+    shards, names = count_shards(counts, dictionary, key, shard_rows)
+    vocabulary = materialize(shards.select("shard", "terms").mapInArrow(_shard_terms, "shard long, term_id long"), "shard-terms")
+
+    def first(batches):
+        for batch in batches:
+            w = start_weights(batch.column("term_id").to_numpy(), k, seed)
+            yield pa.RecordBatch.from_arrays([batch.column("term_id"), *(pa.array(w[:, t]) for t in range(k))], names=["term_id", *(f"p{t}" for t in range(k))])
+
+    weights = ", ".join(f"p{t} double" for t in range(k))
+    raw = materialize(dictionary.select("term_id").mapInArrow(first, f"term_id long, {weights}"), "topic-start")
+    phi = _scaled(raw, [F.col(f"p{t}") for t in range(k)], 0.0)
+    theta = shards.select("shard").limit(0).withColumn("theta", F.lit(None).cast("binary"))
+    steps = []
+    for step in range(iterations):
+        out = _em_step(shards, vocabulary, theta, phi, k, alpha)
+        prior = phi.select(sum((F.sum(F.log(f"p{t}")) for t in range(k)), F.lit(0.0)) * beta)
+        steps.append(out.agg(F.sum("fit").alias("log_likelihood"), F.sum("prior").alias("_a")).select(
+            F.lit(step).alias("step"), "log_likelihood", (F.col("log_likelihood") + F.col("_a") + prior.scalar()).alias("objective")
         ))
+        theta = out.filter("theta is not null").select("shard", "theta")
+        sums = out.filter("term_id is not null").groupBy("term_id").agg(*[F.sum(f"s{t}").alias(f"s{t}") for t in range(k)])
+        phi = materialize(_scaled(sums, [F.col(f"s{t}") for t in range(k)], beta), "topic-weights")
+    fit = steps[0]
+    for more in steps[1:]:
+        fit = fit.unionByName(more)
+    topics = F.explode(F.arrays_zip(F.array(*map(F.lit, range(k))).alias("topic"), F.array(*[f"p{t}" for t in range(k)]).alias("weight")))
+    words = phi.join(dictionary, "term_id").select(F.col("term").alias("word"), topics.alias("_t")).select("_t.topic", "word", "_t.weight")
+    shares = _document_shares(shards, theta, names, clean, key, k)
+    return TopicModel(materialize(words, "topic_words"), materialize(shares, "topic_shares"), clean, fit)
+
+
+def _shard_terms(batches):
+    for batch in batches:
+        for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("terms").to_pylist()):
+            terms = np.frombuffer(raw, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), shard)), pa.array(terms)], names=["shard", "term_id"])
+
+
+def _scaled(table: DataFrame, values: list[Column], beta: float) -> DataFrame:
+    """Values plus ``beta``, divided by their total over all terms."""
+    named = table.select("term_id", *[(v + beta).alias(f"p{t}") for t, v in enumerate(values)])
+    totals = named.agg(F.array(*[F.sum(f"p{t}") for t in range(len(values))])).scalar()
+    return named.withColumn("_totals", totals).select(
+        "term_id", *[(F.col(f"p{t}") / F.get("_totals", F.lit(t))).alias(f"p{t}") for t in range(len(values))]
     )
-    words = described.join(placed.join(together, "term_idx"), "term_idx").select(
-        "topic", F.col("term").alias("word"), (F.col("weight") * F.col("cf") / F.col("all_cf")).alias("weight")
-    )
-    words = materialize(words, "topic_words")
-    shares = model.transform(vectors).select(
-        key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share")
-    )
-    return TopicModel(words, shares, clean)
+
+
+def _document_shares(shards: DataFrame, theta: DataFrame, names: DataFrame, clean: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, topic, share) of every document with at least one term."""
+    def run(batches):
+        for batch in batches:
+            for docs, raw in zip(batch.column("docs").to_pylist(), batch.column("theta").to_pylist()):
+                no = np.frombuffer(docs, "<i8")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(no, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(no))), pa.array(np.frombuffer(raw, "<f8")),
+                ], names=["doc_no", "topic", "share"])
+
+    listed = shards.select("shard", "docs").join(theta, "shard").select("docs", "theta").mapInArrow(run, "doc_no long, topic int, share double")
+    ids = names.join(clean.select(key, F.col(key).cast("string").alias("doc")), "doc").select("doc_no", key)
+    return listed.join(ids, "doc_no").select(key, "topic", "share")
 
 
 def topic_export(model: TopicModel, n: int = 10) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
@@ -136,6 +138,52 @@ def bm25(
     ).select(key, "term", "weight")
 
 
+def unit_length(weights: DataFrame, key: str = "record_id") -> DataFrame:
+    """Weights scaled so that every document has length one."""
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
+    return weights.withColumn("weight", F.try_divide(F.col("weight"), length)).select(key, "term", "weight")
+
+
+def _signs(hashes: np.ndarray, dims: int) -> np.ndarray:
+    """+1 or -1 per term and direction, from the bits of rehashed terms."""
+    out = np.empty((len(hashes), dims), np.float32)
+    with np.errstate(over="ignore"):
+        for k in range(0, dims, 64):
+            x = hashes.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1)
+            out[:, k:k + 64] = bits[:, :dims - k] * 2.0 - 1.0
+    return out
+
+
+def projected(weights: DataFrame, dims: int = 256, key: str = "record_id") -> DataFrame:
+    """``(key, vector)``: signed random projections of all weights of a document, ``dims`` numbers.
+
+    No term is left out or shares a place with another: each has its own signs in all directions. Dot products
+    of unit vectors keep to about 1 / sqrt(dims). Directions are hashes, so nothing is fitted or broadcast.
+    """
+    listed = weights.groupBy(key).agg(F.collect_list(F.xxhash64("term")).alias("_h"), F.collect_list(F.col("weight")).alias("_w"))
+
+    def run(batches):
+        for batch in batches:
+            hashes, own = batch.column("_h"), batch.column("_w")
+            ends = np.asarray(hashes.offsets)
+            flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            weight = own.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            edges = ends - ends[0]
+            out = np.zeros((len(hashes), dims), np.float64)
+            for k in range(len(hashes)):
+                for low in range(edges[k], edges[k + 1], 1 << 14):
+                    at = slice(low, min(low + (1 << 14), edges[k + 1]))
+                    out[k] += weight[at] @ _signs(flat[at], dims)
+            out /= np.sqrt(dims)
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), vector], names=[key, "vector"])
+
+    return listed.mapInArrow(run, f"`{key}` {weights.schema[key].dataType.simpleString()}, vector array<double>")
+
+
 def rank_documents(weights: DataFrame, query: Sequence[str], k: int = 10, key: str = "record_id") -> DataFrame:
     """Documents with the highest summed weight of the query terms."""
     scored = weights.filter(F.col("term").isin(*query)).groupBy(key).agg(

@@ -167,6 +167,11 @@ def _(spark, d):
     return K.cluster_documents(docs(spark, d))[1]
 
 
+@query("x8_cluster_metrics_bm25")
+def _(spark, d):
+    return K.cluster_documents(docs(spark, d), weighting="bm25")[1]
+
+
 _CLUSTER = f"""{_weights_sql()}, lab AS (SELECT doc_id, lang AS cluster FROM documents),
     size AS (SELECT cluster, count(*) AS size FROM lab GROUP BY 1),
     cen AS MATERIALIZED (SELECT cluster, term, sum(weight) / any_value(size) AS centroid, count(*) AS docs, any_value(size) AS size
@@ -346,7 +351,7 @@ def _(spark, d):
 
 @query("x19_parameter_grid")
 def _(spark, d):
-    grid = {"target": [3, 5], "min_cluster_size": [2, 5], "buckets": [1 << 12, 1 << 14]}
+    grid = {"target": [3, 5], "min_cluster_size": [2, 5], "dims": [64, 128]}
     return K.optimise_parameters(docs(spark, d), grid)
 
 

@@ -1,6 +1,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,9 +29,48 @@ def test_clustering_finds_the_groups(spark, topics_corpus):
     assert all(r["n"] == 1 for r in groups)
 
 
-def test_cluster_range():
-    assert list(K.cluster_range(10)) == [2, 3]
-    assert list(K.cluster_range(1000)) == [3, 4, 5, 6, 7, 8]
+@pytest.mark.parametrize("weighting", ["bm25", "tfidf"])
+def test_projections_keep_dot_products(spark, topics_corpus, weighting):
+    """Every term has directions of its own: close dot products, exact for a single term."""
+    weights = X.tfidf(topics_corpus) if weighting == "tfidf" else X.unit_length(X.bm25(topics_corpus))
+    vectors = {r.record_id: np.array(r.vector) for r in X.projected(weights, 1024).collect()}
+    table = {}
+    for r in weights.collect():
+        table.setdefault(r.record_id, {})[r.term] = r.weight
+    assert vectors.keys() == table.keys()
+    for i in vectors:
+        for j in vectors:
+            exact = sum(w * table[j].get(t, 0.0) for t, w in table[i].items())
+            assert vectors[i] @ vectors[j] == pytest.approx(exact, abs=0.2)
+    single = spark.createDataFrame([(1, "aa", 1.0)], "record_id long, term string, weight double")
+    assert np.linalg.norm(X.projected(single, 70).first().vector) == pytest.approx(1.0)
+
+
+def test_topic_steps_equal_numpy(spark, topics_corpus):
+    """The objective rises; weights and shares equal EM on a dense matrix, for one shard and for many."""
+    k, steps, alpha, beta = 3, 3, 0.1, 0.01
+    model = O.fit_topics(topics_corpus, k, iterations=steps, alpha=alpha, beta=beta, shard_rows=40)
+    docs = {r.record_id: r.clean.split() for r in model.documents.collect()}
+    words = sorted({w for ws in docs.values() for w in ws if len(w) > 1})
+    tf = np.array([[ws.count(w) for w in words] for ws in docs.values()], float)
+    phi = O.start_weights(np.arange(len(words)), k, 42)
+    phi /= phi.sum(axis=0)
+    theta = np.full((len(docs), k), 1 / k)
+    for _ in range(steps):
+        for turn in range(4):
+            r = theta[:, None, :] * phi[None]
+            r = tf[:, :, None] * r / r.sum(axis=2, keepdims=True)
+            if turn < 3:
+                theta = r.sum(axis=1) + alpha
+                theta /= theta.sum(axis=1, keepdims=True)
+        phi = r.sum(axis=0) + beta
+        phi /= phi.sum(axis=0)
+    got = {(r.topic, r.word): r.weight for r in model.words.collect()}
+    assert got == {(t, w): pytest.approx(phi[i, t], rel=1e-9) for i, w in enumerate(words) for t in range(k)}
+    shares = {(r.record_id, r.topic): r.share for r in model.shares.collect()}
+    assert shares == {(d, t): pytest.approx(theta[i, t], rel=1e-9) for i, d in enumerate(docs) for t in range(k)}
+    fit = [r.objective for r in model.fit.orderBy("step").collect()]
+    assert len(fit) == steps and all(a < b for a, b in zip(fit, fit[1:]))
 
 
 def test_cohesion_counts_copies(spark):
@@ -47,7 +87,7 @@ def test_summary_stops_at_the_first_overflow(spark):
 
 
 def test_topics(spark, topics_corpus):
-    model = O.fit_topics(topics_corpus, 3, iterations=30)
+    model = O.fit_topics(topics_corpus, 3, iterations=5)
     sums = model.shares.groupBy("record_id").agg(F.sum("share").alias("s")).collect()
     assert all(r["s"] == pytest.approx(1.0, abs=1e-6) for r in sums)
     assert len(sums) == topics_corpus.select("content").distinct().count()
