@@ -17,7 +17,7 @@ from reportloom.operators.vectors import bm25, idf_weight, projected, tfidf, uni
 from reportloom.session import materialize
 
 
-DIMS = 256
+DIMS = 128
 KS = range(2, 9)  # numbers of clusters to try
 
 

@@ -90,7 +90,7 @@ def count_shards(counts: DataFrame, dictionary: DataFrame, key: str, shard_rows:
 
 
 def _em_step(shards: DataFrame, vocabulary: DataFrame, theta: DataFrame, phi: DataFrame, k: int, alpha: float) -> DataFrame:
-    """One step: per shard and term the expected counts, per shard the new shares and the likelihood before."""
+    """One step, one job: per shard and term the expected counts, per shard the new shares and the likelihood before."""
     schema = "shard long, term_id long, " + ", ".join(f"s{t} double" for t in range(k)) + ", theta binary, fit double, prior double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -101,14 +101,15 @@ def _em_step(shards: DataFrame, vocabulary: DataFrame, theta: DataFrame, phi: Da
         own = np.full((n, k), 1.0 / k) if raw["theta"] is None else np.frombuffer(raw["theta"], "<f8").reshape(n, k)
         order = np.argsort(right.column("term_id").to_numpy())
         weights = np.stack([right.column(f"p{t}").to_numpy() for t in range(k)], axis=1)[order]
-        prior = alpha * float(np.log(own).sum())
         new, counts, fit = expectation(rows, columns, np.frombuffer(raw["tf"], "<f8"), own, weights, alpha)
         shard, many = left.column("shard")[0].as_py(), len(order)
-        nothing = [None] * many
+        # The last row has the sums over the shard's terms, its shares and its likelihood.
+        stacked = np.vstack([counts, counts.sum(axis=0)])
+        last = lambda value, kind: pa.concat_arrays([pa.nulls(many, kind), pa.array([value], kind)])
         return pa.table([
-            pa.array([shard] * (many + 1), pa.int64()), pa.concat_arrays([pa.array(right.column("term_id").to_numpy()[order]), pa.array([None], pa.int64())]),
-            *(pa.concat_arrays([pa.array(counts[:, t]), pa.array([None], pa.float64())]) for t in range(k)),
-            pa.array([*nothing, new.astype("<f8").tobytes()], pa.binary()), pa.array([*nothing, fit], pa.float64()), pa.array([*nothing, prior], pa.float64()),
+            pa.array(np.full(many + 1, shard)), pa.concat_arrays([pa.array(right.column("term_id").to_numpy()[order]), pa.nulls(1, pa.int64())]),
+            *(pa.array(stacked[:, t]) for t in range(k)), last(new.astype("<f8").tobytes(), pa.binary()),
+            last(fit, pa.float64()), last(alpha * float(np.log(own).sum()), pa.float64()),
         ], names=names)
 
     left = shards.select("shard", "docs", "rows", "columns", "tf").join(theta, "shard", "left")
@@ -116,8 +117,17 @@ def _em_step(shards: DataFrame, vocabulary: DataFrame, theta: DataFrame, phi: Da
     return materialize(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(run, schema), "topic-step")
 
 
+def _weights_after(out: DataFrame, k: int, beta: float, n_terms: int) -> DataFrame:
+    """(term_id, p0, p1, ...): the weights of terms from the expected counts of a step, every topic summing to 1."""
+    totals = out.filter("term_id is null").agg(F.array(*[F.sum(f"s{t}") + n_terms * beta for t in range(k)])).scalar()
+    sums = out.filter("term_id is not null").groupBy("term_id").agg(*[F.sum(f"s{t}").alias(f"s{t}") for t in range(k)])
+    return sums.withColumn("_totals", totals).select(
+        "term_id", *[((F.col(f"s{t}") + beta) / F.get("_totals", F.lit(t))).alias(f"p{t}") for t in range(k)]
+    )
+
+
 def fit_topics(
-    docs: DataFrame, k: int = 5, text: str = "content", key: str = "record_id", iterations: int = 20, seed: int = 42,
+    docs: DataFrame, k: int = 5, text: str = "content", key: str = "record_id", iterations: int = 12, seed: int = 42,
     deduplicate: bool = True, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, alpha: float = 0.1, beta: float = 0.01,
     shard_rows: int = SHARD_ROWS,
 ) -> TopicModel:
@@ -148,7 +158,8 @@ def fit_topics(
 
     weights = ", ".join(f"p{t} double" for t in range(k))
     raw = materialize(dictionary.select("term_id").mapInArrow(first, f"term_id long, {weights}"), "topic-start")
-    phi = _scaled(raw, [F.col(f"p{t}") for t in range(k)], 0.0)
+    started = raw.agg(F.count("*").alias("n"), *[F.sum(f"p{t}").alias(f"p{t}") for t in range(k)]).first()  # one row of sums
+    phi = raw.select("term_id", *[(F.col(f"p{t}") / (started[f"p{t}"] or 1.0)).alias(f"p{t}") for t in range(k)])
     theta = shards.select("shard").limit(0).withColumn("theta", F.lit(None).cast("binary"))
     steps = []
     for step in range(iterations):
@@ -158,8 +169,7 @@ def fit_topics(
             F.lit(step).alias("step"), "log_likelihood", (F.col("log_likelihood") + F.col("_a") + prior.scalar()).alias("objective")
         ))
         theta = out.filter("theta is not null").select("shard", "theta")
-        sums = out.filter("term_id is not null").groupBy("term_id").agg(*[F.sum(f"s{t}").alias(f"s{t}") for t in range(k)])
-        phi = materialize(_scaled(sums, [F.col(f"s{t}") for t in range(k)], beta), "topic-weights")
+        phi = _weights_after(out, k, beta, started["n"])
     fit = steps[0]
     for more in steps[1:]:
         fit = fit.unionByName(more)
@@ -176,15 +186,6 @@ def _shard_terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), shard)), pa.array(terms)], names=["shard", "term_id"])
 
 
-def _scaled(table: DataFrame, values: list[Column], beta: float) -> DataFrame:
-    """Values plus ``beta``, divided by their total over all terms."""
-    named = table.select("term_id", *[(v + beta).alias(f"p{t}") for t, v in enumerate(values)])
-    totals = named.agg(F.array(*[F.sum(f"p{t}") for t in range(len(values))])).scalar()
-    return named.withColumn("_totals", totals).select(
-        "term_id", *[(F.col(f"p{t}") / F.get("_totals", F.lit(t))).alias(f"p{t}") for t in range(len(values))]
-    )
-
-
 def _document_shares(shards: DataFrame, theta: DataFrame, names: DataFrame, clean: DataFrame, key: str, k: int) -> DataFrame:
     """(key, topic, share) of every document with at least one term."""
     def run(batches):
