@@ -140,11 +140,11 @@ def test_context_helps_and_order_matters(spark):
     pairs = [(f"left{i}", f"right{i}") for i in range(20)]
     def text():
         return " ".join(w for k in rng.integers(0, 20, 60) for w in pairs[k])
-    rows = [(i, text()) for i in range(150)]
+    rows = [(i, text()) for i in range(600)]
     shuffled = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in rows[:50]]
-    train = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    counts = lm.corpus_counts(train)
-    network = lm.train(lm.training_windows(train, one_in=1), counts, rounds=2)
+    tokens = lm.token_table(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    counts = lm.corpus_counts(tokens)
+    network = lm.train(tokens, counts)
     mean = {}
     for name, part in (("ordered", rows[:50]), ("shuffled", shuffled)):
         owner, cells = lm.cells_of(pa.array([t for _, t in part]))
@@ -154,39 +154,56 @@ def test_context_helps_and_order_matters(spark):
     assert mean["ordered"] > plain + 0.3 and mean["ordered"] > mean["shuffled"] + 0.3
 
 
+def plain_scores(text, network, counts):
+    """Log-likelihood of a text, word by word, in double precision."""
+    _, cells = lm.cells_of(pa.array([text or ""]))
+    p = {k: v.astype(float) for k, v in network.p.items()}
+    words, total = cells // lm.CELLS, 0.0
+    padded = [lm.EDGE] * lm.SIDE + words.tolist() + [lm.EDGE] * lm.SIDE
+    table = counts.reshape(lm.WORDS, lm.CELLS) + 1.0
+    for i, (word, cell) in enumerate(zip(words, cells)):
+        around = padded[i:i + lm.SIDE] + padded[i + lm.SIDE + 1:i + 2 * lm.SIDE + 1]
+        c = np.tanh(sum(p["embed"][w] * p["place"][k] for k, w in enumerate(around)))
+        g, m = divmod(int(word), lm.MEMBERS)
+        for logits, own in ((c @ p["group"] + p["group0"], g), (c @ p["member"][g] + p["member0"][g], m)):
+            total += logits[own] - np.log(np.exp(logits).sum())
+        total += np.log(table[word, cell % lm.CELLS] / table[word].sum())
+    return len(words), total
+
+
 def test_lm_scores_equal_plain_sums(spark, edge):
-    got = lm.score_documents(edge, rounds=1, one_in=4).collect()
-    assert len(got) == edge.count()
-    counts = lm.corpus_counts(edge)
-    texts = {str(r.doc_id): r.text for r in edge.collect()}
-    assert counts.sum() == sum(len((r.text or "").encode().split()) for r in edge.collect())
-    for r in got:
-        if r.n_tokens == 0:
-            assert r.log_likelihood == 0 and r.mean_log_likelihood is None
-        else:
-            assert r.log_likelihood < 0 and r.mean_log_likelihood == pytest.approx(r.log_likelihood / r.n_tokens)
-    assert {r.n_tokens for r in got if r.doc_id == 2} == {12} and texts["2"]
-
-
-def test_lm_learns_from_every_window(spark, edge):
-    raw = lm.training_windows(edge).collect()
-    rows = np.concatenate([np.frombuffer(r.windows, "<u2").reshape(-1, 1 + 2 * lm.SIDE) for r in raw])
-    owner, cells = lm.cells_of(pa.array([r.text for r in edge.collect()]))
-    words = cells // lm.CELLS
-    expected = np.concatenate([words[:, None], lm.windows_of(owner, words)], axis=1)
-    assert sorted(map(tuple, rows.tolist())) == sorted(map(tuple, expected.tolist()))
+    texts = edge.filter("doc_id is null or doc_id <> 8")  # one text of 30,000 words is enough for the plain loop
+    tokens = lm.token_table(texts)
+    counts = lm.corpus_counts(tokens)
+    network = lm.train(tokens, counts)
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.log_likelihood, 1), r.mean_log_likelihood is None) for r in lm.score_tokens(tokens, counts, network).collect())
+    expected = []
+    for r in texts.collect():
+        n, total = plain_scores(r.text, network, counts)
+        expected.append((str(r.doc_id), n, total, n == 0))
+    for a, b in zip(got, sorted(expected)):
+        assert a[:2] == b[:2] and a[3] == b[3] and a[2] == pytest.approx(b[2], rel=1e-4, abs=0.1)
+    assert counts.sum() == sum(n for _, n, *_ in got) and len(got) == len(expected)
+
+
+def test_lm_learns_from_every_window(spark, edge, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 2000)
+    tokens = lm.token_table(edge)
+    _, cells = lm.cells_of(pa.array([r.text or "" for r in edge.collect()]))
+    seen = [w for turn in range(lm.TURNS) for r in tokens.filter(F.col("turn") == turn).collect() for w in np.frombuffer(r["words"], "<u2")]
+    assert sorted(seen) == sorted((cells // lm.CELLS).tolist())
+    again = [c for batch in [pa.RecordBatch.from_pylist([r.asDict() for r in tokens.select("words", "cells").collect()])] for _, cs in lm._words_and_cells(batch) for c in cs]
+    assert sorted(again) == sorted(cells.tolist())
 
 
 def test_lm_trains_on_a_small_table(spark):
     df = spark.createDataFrame([(1, "left right " * 5)], "doc_id long, text string").coalesce(1)
-    counts = lm.corpus_counts(df)
-    network, fresh = lm.train(lm.training_windows(df), counts, rounds=1), lm.Network.fresh(counts)
+    tokens = lm.token_table(df)
+    counts = lm.corpus_counts(tokens)
+    network, fresh = lm.train(tokens, counts), lm.Network.fresh(counts)
     assert not np.array_equal(network.flat(), fresh.flat())
-    score = lm.score_documents(df, rounds=1).first().log_likelihood
-    owner, cells = lm.cells_of(pa.array(["left right " * 5]))
-    plain = fresh.log_probabilities(lm.windows_of(owner, cells // lm.CELLS), cells // lm.CELLS).sum()
-    table = counts.reshape(lm.WORDS, lm.CELLS) + 1.0
-    assert score > plain + np.log(table / table.sum(axis=1, keepdims=True)).ravel()[cells].sum()
+    before, after = (lm.score_tokens(tokens, counts, n).first().log_likelihood for n in (fresh, network))
+    assert after > before
 
 
 def test_lm_query_returns_every_document(spark, sf_dir, documents):
