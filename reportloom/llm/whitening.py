@@ -20,6 +20,7 @@ COMPONENTS = 32
 SCALE, SHIFT = 64, 1_000_000
 BLOCK_BYTES = 8 << 20
 CERTIFIED = 1e-13  # residual norm, relative to the largest eigenvalue
+DIRECT_BYTES = 32 << 20  # sums of tasks that are added on the driver without a tree
 BLOCK = "n int, x binary, width int"
 ROW = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
@@ -92,8 +93,11 @@ class Vectors:
     n: int = 0
     sums: list[int] | None = None
 
+    def __post_init__(self):
+        self.tasks = self.blocks.rdd.getNumPartitions()
+
     def total(self, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Sum of ``of(vectors of a block)`` over all blocks, added up in a tree of tasks."""
+        """Sum of ``of(vectors of a block)`` over all blocks: one sum a task, these in a tree of tasks if they are many."""
         d = self.d
 
         def run(batches):
@@ -105,10 +109,12 @@ class Vectors:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total).tobytes()], pa.binary())], names=["total"])
 
-        kind, shape = np.asarray(of(np.zeros((1, d)))).dtype, np.shape(of(np.zeros((1, d))))
-        parts = self.blocks.mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r.total, kind))
-        add = lambda a, b: a + b
-        return np.asarray(parts.treeAggregate(np.zeros(int(np.prod(shape)), kind), add, add, 2)).reshape(shape)
+        none = np.asarray(of(np.zeros((1, d)))) * 0
+        parts, add = self.blocks.mapInArrow(run, "total binary"), lambda a, b: a + b
+        if self.tasks * none.nbytes <= DIRECT_BYTES:  # a sum a task, all together of bounded size
+            return sum((np.frombuffer(r.total, none.dtype).reshape(none.shape) for r in parts.collect()), none)
+        sums = parts.rdd.map(lambda r: np.frombuffer(r.total, none.dtype))
+        return np.asarray(sums.treeAggregate(none.ravel(), add, add, 2)).reshape(none.shape)
 
     def measure(self) -> None:
         """Number and exact sums. Halves of the entries are added apart, so that large ones do not overflow."""
