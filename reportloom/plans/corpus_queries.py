@@ -509,13 +509,13 @@ def _(spark, d):
 
 
 @query("a8_monthly_timeline", """
-    WITH e AS (SELECT o_orderdate::DATE AS d FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 480000),
+    WITH e AS (SELECT o_orderdate::DATE AS d FROM orders),
     c AS (SELECT date_trunc('month', d)::DATE AS month, count(*) AS n FROM e GROUP BY 1)
     SELECT s.month, coalesce(n, 0) AS n FROM (
       SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM c) s LEFT JOIN c ON s.month = c.month
 """)
 def _(spark, d):
-    o = table(spark, d, "orders").filter("o_orderstatus = 'F' AND o_totalprice > 480000")
+    o = table(spark, d, "orders")
     return A.monthly_timeline(o.select(F.to_date("o_orderdate").alias("date_of_report")))
 
 

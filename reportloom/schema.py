@@ -44,6 +44,7 @@ FRAMEWORK_FILE = T.ArrayType(T.StructType([
 ESSENTIAL = [
     "title", "url", "content", "date_of_report", "ref", "deceased_name",
     "coroner_name", "coroner_area", "categories", "year", "extracted_concerns",
+    "report_id", "death_type",
 ]
 
 
