@@ -46,8 +46,15 @@ def extract_date(content: ColumnOrName) -> Column:
     return F.coalesce(*found)
 
 
+# Labels in front of the fields of a report, the stretch of its categories and their separators.
+REFERENCE = r"Ref(?:erence)?:?\s*([-\d]+)"
+DECEASED, CORONER, AREA = "Deceased name", "Coroner(?:'?s)? name", "Coroner(?:'?s)? Area"
+CATEGORIES = r"(?is)Category:?\s*(.+?)(?=This report is being sent to:|\z)"
+BULLETS = "[\u2022\u00b7\u22c5\u2023\u2043\u25aa\u25ab\u2013\u2014-]"
+
+
 def extract_ref(content: ColumnOrName) -> Column:
-    return extract(content, r"Ref(?:erence)?:?\s*([-\d]+)")
+    return extract(content, REFERENCE)
 
 
 def _labelled(content: ColumnOrName, label: str, normalise: bool) -> Column:
@@ -56,25 +63,23 @@ def _labelled(content: ColumnOrName, label: str, normalise: bool) -> Column:
 
 
 def extract_deceased_name(content: ColumnOrName, normalise: bool = True) -> Column:
-    return _labelled(content, "Deceased name", normalise)
+    return _labelled(content, DECEASED, normalise)
 
 
 def extract_coroner_name(content: ColumnOrName, normalise: bool = True) -> Column:
-    return _labelled(content, "Coroner(?:'?s)? name", normalise)
+    return _labelled(content, CORONER, normalise)
 
 
 def extract_coroner_area(content: ColumnOrName, normalise: bool = True) -> Column:
-    return _labelled(content, "Coroner(?:'?s)? Area", normalise)
+    return _labelled(content, AREA, normalise)
 
 
 def category_text(content: ColumnOrName) -> Column:
     """The text after "Category:", with every separator turned into a pipe."""
-    raw = extract(content, r"(?is)Category:?\s*(.+?)(?=This report is being sent to:|\z)")
+    raw = extract(content, CATEGORIES)
     text = strip(raw)
     text = F.regexp_replace(text, rf"{WS}*[,;]{WS}*", "|")
-    text = F.regexp_replace(
-        text, f"[\u2022\u00b7\u22c5\u2023\u2043\u25aa\u25ab\u2013\u2014-]{WS}*", "|"
-    )
+    text = F.regexp_replace(text, f"{BULLETS}{WS}*", "|")
     return F.regexp_replace(text, f"{WS}{{2,}}|\n+", "|")
 
 

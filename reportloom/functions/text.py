@@ -51,20 +51,32 @@ def clean_text(value: ColumnOrName, normalise: bool = True) -> Column:
     return strip(text)
 
 
+# What is taken out of texts for modelling, and the labels around the name of a deceased person.
+MODELING_NOISE = [
+    r"(?U)http\S+|www\S+",
+    r"(?U)\S+@\S+",
+    r"(?U)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
+    rf"(?U)\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{MONTHS})\s+\d{{4}}\b",
+    r"(?U)\b\d{1,2}:\d{2}\b",
+    r"(?U)\b\d{1,2}/\d{1,2}/\d{2,4}\b",
+    r"(?U)\b(?:ref|reference|case)(?:\s+no)?\.?\s*[-:\s]?\s*\w+[-\d]+\b",
+    r"(?U)\b(?:regulation|paragraph|section|subsection|article)\s+\d+\b",
+    r"(?U)\b(?:coroner|inquest|hearing|evidence|witness|statement|report|dated|signed)\b",
+]
+NAME_LABELS = [
+    r"(?i)^deceased name:?\s*",
+    r"(?i)^coroner'?s?\s*(?:name)?:?\s*",
+    r"(?i)^deceased person:?\s*",
+    r"(?i)^name of deceased:?\s*",
+    r"(?id)\s*(?:coroner|ref|reference).*$",
+    r"(?d)\s*\(.*\)$",
+]
+
+
 def clean_text_for_modeling(value: ColumnOrName) -> Column:
     """Lower-case letters only, words over two characters, else ''."""
     text = F.lower(F.coalesce(as_col(value), F.lit("")))
-    text = drop_all(text, [
-        r"(?U)http\S+|www\S+",
-        r"(?U)\S+@\S+",
-        r"(?U)\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
-        rf"(?U)\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{MONTHS})\s+\d{{4}}\b",
-        r"(?U)\b\d{1,2}:\d{2}\b",
-        r"(?U)\b\d{1,2}/\d{1,2}/\d{2,4}\b",
-        r"(?U)\b(?:ref|reference|case)(?:\s+no)?\.?\s*[-:\s]?\s*\w+[-\d]+\b",
-        r"(?U)\b(?:regulation|paragraph|section|subsection|article)\s+\d+\b",
-        r"(?U)\b(?:coroner|inquest|hearing|evidence|witness|statement|report|dated|signed)\b",
-    ])
+    text = drop_all(text, MODELING_NOISE)
     text = F.regexp_replace(text, "[^a-z]+", " ")
     kept = F.filter(F.split(text, " "), lambda w: F.length(w) > 2)
     return let(kept, lambda w: F.when(F.size(w) >= 3, F.array_join(w, " ")).otherwise(""))
@@ -73,14 +85,7 @@ def clean_text_for_modeling(value: ColumnOrName) -> Column:
 def clean_deceased_name(value: ColumnOrName) -> Column:
     """Remove labels, anything from a coroner/reference label on, end brackets."""
     name = strip(value)
-    name = drop_all(name, [
-        r"(?i)^deceased name:?\s*",
-        r"(?i)^coroner'?s?\s*(?:name)?:?\s*",
-        r"(?i)^deceased person:?\s*",
-        r"(?i)^name of deceased:?\s*",
-        r"(?id)\s*(?:coroner|ref|reference).*$",
-        r"(?d)\s*\(.*\)$",
-    ])
+    name = drop_all(name, NAME_LABELS)
     return collapse_spaces(name)
 
 
