@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -14,6 +14,7 @@ from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import clean_text_for_modeling, split_sentences, tokens
 from reportloom.operators.small import top_n_per_group, with_each
 from reportloom.operators.vectors import bm25, idf_weight, projected, tfidf, unit_length
+from reportloom.operators.ward import MICRO, cluster_features, micro_clusters, ward_cuts, ward_merges
 from reportloom.session import materialize
 
 
@@ -44,24 +45,36 @@ def _fit(vectors: DataFrame, k: int, method: str, seed: int) -> DataFrame:
     return model.transform(vectors)
 
 
+def _labeller(vectors: DataFrame, ks: Sequence[int], method: str, seed: int, micro: int) -> Callable[[int], DataFrame]:
+    """Labels for a number of clusters. Ward's tree is built once and cut for every number."""
+    if method != "ward":
+        return lambda k: _fit(vectors, k, method, seed)
+    assigned = materialize(micro_clusters(vectors, micro, seed), "micro")
+    features = materialize(cluster_features(assigned), "features")
+    cuts = ward_cuts(features, ward_merges(features), ks)
+    # A row per micro-cluster, so at most ``micro`` rows travel.
+    return lambda k: assigned.join(F.broadcast(cuts.filter(F.col("k") == k).drop("k")), "micro")
+
+
 def choose_clusters(
     vectors: DataFrame, ks: Sequence[int] | None = None, min_cluster_size: int = 3,
-    method: str = "kmeans", seed: int = 42, key: str = "record_id",
+    method: str = "kmeans", seed: int = 42, key: str = "record_id", micro: int = MICRO,
 ) -> tuple[DataFrame, DataFrame]:
     """Best labelling and the metrics of every number of clusters tried.
 
-    Solutions with a tiny cluster or a size ratio over ten are skipped; the rest
+    ``method`` is ``kmeans``, ``bisecting``, or ``ward`` through ``micro`` micro-clusters. Solutions with a tiny cluster or a size ratio over ten are skipped; the rest
     score silhouette · (1 − ratio/20). If none is left the best silhouette wins.
     """
     vectors = materialize(vectors, "vectors")
     spark = vectors.sparkSession
     n_docs = vectors.count()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+    label = _labeller(vectors, ks or KS, method, seed, micro)
     tried, labelled = [], {}
     for k in ks or KS:
         if k > n_docs:
             continue
-        labels = _fit(vectors, k, method, seed)
+        labels = label(k)
         sizes = [r["n"] for r in labels.groupBy("cluster").agg(F.count("*").alias("n")).collect()]
         if len(sizes) < 2:
             continue
@@ -72,7 +85,7 @@ def choose_clusters(
         labelled[k] = labels
     if not tried:
         k = min(ks or KS)
-        labelled[k] = _fit(vectors, k, method, seed)
+        labelled[k] = label(k)
         best = k
     else:
         valid = [t for t in tried if t[5]]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
-from reportloom.operators import cluster as K, topics as O, vectors as X
+from reportloom.operators import cluster as K, topics as O, vectors as X, ward as W
 from reportloom.plans.registry import query
-from reportloom.plans.tables import DOCS_SQL, docs
+from reportloom.plans.tables import DOCS_SQL, docs, table
 from reportloom.plans.text_queries import SENTENCES_SQL, sql_list
 from reportloom.session import materialize
 
@@ -172,6 +173,57 @@ def _(spark, d):
     return K.cluster_documents(docs(spark, d), weighting="bm25")[1]
 
 
+@query("x8_ward_documents")
+def _(spark, d):
+    return K.cluster_documents(docs(spark, d), method="ward")[0]
+
+
+@query("x8_ward_metrics")
+def _(spark, d):
+    return K.cluster_documents(docs(spark, d), method="ward")[1]
+
+
+def _embedded(spark, d):
+    """Vectors of the embeddings table without missing entries."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = table(spark, d, "embeddings").filter(whole)
+    return rows.select(F.col("vec_id").alias("record_id"), array_to_vector("embedding").alias("features"), "label")
+
+
+@query("x8_ward_merges")
+def _(spark, d):
+    return W.ward_merges(W.cluster_features(W.micro_clusters(materialize(_embedded(spark, d), "embedded"))))
+
+
+_FEATURES = """feats AS (SELECT label AS micro, count(DISTINCT vec_id) AS size, sum(x * x) AS squares FROM (
+      SELECT vec_id, label, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL) GROUP BY 1),
+    sums AS (SELECT label AS micro, pos, sum(x) AS t FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
+      FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2)"""
+
+
+@query("x8_cluster_features", f"""
+    WITH {_FEATURES} SELECT micro, size, round(any_value(squares), 4) AS squares, round(sum(t * t), 3) AS total_square
+    FROM feats JOIN sums USING (micro) GROUP BY 1, 2
+""")
+def _(spark, d):
+    # The given labels serve as micro-clusters.
+    found = W.cluster_features(_embedded(spark, d).filter("label is not null"), "label")
+    total = F.aggregate("total", F.lit(0.0), lambda a, x: a + x * x)
+    return found.select("micro", "size", F.round("squares", 4).alias("squares"), F.round(total, 3).alias("total_square"))
+
+
+# The cheapest merge of all is the first of the tree.
+@query("x8_ward_first_merge", f"""
+    WITH {_FEATURES}, pairs AS (SELECT a.micro AS "left", b.micro AS "right", any_value(f.size + g.size) AS size,
+        sqrt(2 * any_value(f.size * g.size / (f.size + g.size)::DOUBLE) * sum((a.t / f.size - b.t / g.size) ** 2)) AS height
+      FROM sums a JOIN feats f ON f.micro = a.micro JOIN sums b ON b.pos = a.pos AND b.micro > a.micro JOIN feats g ON g.micro = b.micro GROUP BY 1, 2)
+    SELECT "left", "right", size, round(height, 4) AS height FROM pairs ORDER BY pairs.height, 1, 2 LIMIT 1
+""")
+def _(spark, d):
+    merges = W.ward_merges(W.cluster_features(_embedded(spark, d).filter("label is not null"), "label"))
+    return merges.filter("step = 0").select("left", "right", "size", F.round("height", 4).alias("height"))
+
+
 _CLUSTER = f"""{_weights_sql()}, lab AS (SELECT doc_id, lang AS cluster FROM documents),
     size AS (SELECT cluster, count(*) AS size FROM lab GROUP BY 1),
     cen AS MATERIALIZED (SELECT cluster, term, sum(weight) / any_value(size) AS centroid, count(*) AS docs, any_value(size) AS size
