@@ -44,14 +44,60 @@ def _(spark, d):
     return jobs.run_to_table(kept, scratch_path(spark, "dedup"), scratch_path(spark, "dedup_state"))
 
 
-@query("r3_windowed_counts", """
-    SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS window_start,
-      time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') + INTERVAL '7 days' AS window_end, event_type, count(*) AS n
-    FROM events GROUP BY ALL
+_WEEK = "time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01')"
+
+
+@query("r3_windowed_counts", f"""
+    SELECT * FROM (SELECT {_WEEK} AS window_start, {_WEEK} + INTERVAL '7 days' AS window_end, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3)
+    WHERE window_end <= (SELECT max(ts) - INTERVAL '1 day' FROM events)
 """)
 def _(spark, d):
-    # The table stores times without a zone; watermarks need the zoned type (UTC).
+    # The table stores times without a zone; watermarks need the zoned type (UTC). A window is written once it is closed.
     events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = jobs.windowed_counts(events, "ts", "7 days", "1 day", ["event_type"])
-    found = jobs.run_to_table(counts, scratch_path(spark, "counts"), scratch_path(spark, "counts_state"), "complete")
+    found = jobs.run_to_table(counts, scratch_path(spark, "counts"), scratch_path(spark, "counts_state"))
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+# Events arrive in three parts, errors after all others; each part is a run of its own from the same checkpoint.
+_ARRIVED = f"""arrived AS (SELECT *, {_WEEK} AS window_start, CASE WHEN event_type = 'error' THEN 2
+      ELSE event_id * 2 // (SELECT max(event_id) + 1 FROM events) END AS part FROM events),
+    marks AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL '1 day' AS closed
+      FROM arrived GROUP BY part),
+    judged AS (SELECT arrived.*, coalesce(window_start + INTERVAL '7 days' <= closed, false) AS late FROM arrived JOIN marks USING (part))"""
+
+
+def _arrivals(spark, d):
+    """Runs the parts one after the other; the folder of counts, late rows and ledger."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    after = events.agg(F.max("event_id") + 1).scalar()
+    part = F.when(F.col("event_type") == "error", 2).otherwise(F.floor(F.col("event_id") * 2 / after))
+    parts = events.withColumn("part", part)
+    source, target, state = (scratch_path(spark, name) for name in ("arriving", "windows", "windows_state"))
+    for number in range(3):
+        parts.filter(F.col("part") == number).drop("part").write.mode("append").parquet(source)
+        stream = jobs.report_stream(spark, source, events.schema, files_per_batch=1_000_000)
+        jobs.count_windows(stream, target, state, keys=["event_type"]).awaitTermination()
+    return target
+
+
+@query("r3_closed_windows", f"""
+    WITH {_ARRIVED} SELECT window_start, event_type, count(*) AS n,
+      window_start + INTERVAL '7 days' <= (SELECT max(ts) - INTERVAL '1 day' FROM events) AS closed
+    FROM judged WHERE NOT late GROUP BY 1, 2
+""")
+def _(spark, d):
+    found = jobs.window_counts(spark, _arrivals(spark, d), keys=["event_type"])
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "closed")
+
+
+@query("r3_late_rows", f"WITH {_ARRIVED} SELECT event_id, user_id, event_type FROM judged WHERE late")
+def _(spark, d):
+    return jobs.late_rows(spark, _arrivals(spark, d)).select("event_id", "user_id", "event_type")
+
+
+@query("r1_batch_ledger", f"""
+    WITH {_ARRIVED} SELECT part::INT AS batch, count(*) AS rows, sum(late::INT)::BIGINT AS late FROM judged GROUP BY 1
+""")
+def _(spark, d):
+    return jobs.read_ledger(spark, _arrivals(spark, d)).select("batch", "rows", "late")
