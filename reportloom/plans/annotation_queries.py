@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import split_sentences
-from reportloom.operators import annotate as N, classify as C, dashboard as D, evaluate as V, spans as S
-from reportloom.operators.vectors import tfidf
+from reportloom.operators import annotate as N, classify as C, contexts as T, dashboard as D, evaluate as V, spans as S
+from reportloom.operators.vectors import document_count, projected, term_counts, tfidf, tfidf_weights, vocabulary
 from reportloom.plans.registry import query
 from reportloom.plans.tables import (
     DOCS_SQL, EVAL_SQL, FRAMEWORKS_SQL, VECTORS_SQL, doc_vectors, docs, eval_rows, frameworks,
     theme_vectors,
 )
-from reportloom.plans.text_queries import SENTENCES_SQL
+from reportloom.plans.text_queries import SENTENCES_SQL, sql_list
 from reportloom.session import materialize
 
 _HITS = f"""WITH {SENTENCES_SQL}, {FRAMEWORKS_SQL},
@@ -116,6 +117,60 @@ def _(spark, d):
     return N.tfidf_similarity(pairs, weights, theme_weights)
 
 
+def _terms_sql(rows: str, text: str, *keys: str) -> str:
+    """Weights at unit length of the terms of ``text``, by document frequencies ``df`` of the corpus."""
+    names = ", ".join(keys)
+    return f"""SELECT {names}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {names})) AS weight FROM (
+      SELECT {names}, term, tf * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM (
+        SELECT {names}, term, count(*) AS tf FROM (SELECT {names}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM {rows})
+        WHERE NOT list_contains({sql_list(ENGLISH_STOP_WORDS)}, term) GROUP BY ALL) LEFT JOIN df USING (term) CROSS JOIN nd)"""
+
+
+def _contexts(spark, d):
+    """Themes of the reports, contexts of their keywords, and the weights of contexts, themes and documents."""
+    r, fw = docs(spark, d), frameworks(spark)
+    spans = materialize(_spans(spark, d), "spans")
+    counts = materialize(term_counts(r), "counts")
+    n_docs = document_count(r)
+    vocab = materialize(vocabulary(counts, n_docs), "vocabulary")
+    contexts = materialize(T.keyword_contexts(spans, r), "contexts")
+    described = fw.groupBy("framework", "theme").agg(F.concat_ws(
+        " ", F.first("theme"), F.array_join(F.sort_array(F.collect_list("keyword")), " ")).alias("content"))
+    described = described.withColumn("name", F.to_json(F.struct("framework", "theme")))
+    themes = T.corpus_weights(described, vocab, n_docs, "content", "name")
+    weights = T.corpus_weights(contexts, vocab, n_docs, "context", "context_id")
+    return N.theme_keywords(spans), contexts, weights, described, themes, tfidf_weights(counts.join(vocab, "term"))
+
+
+@query("n4_context_similarity", f"""
+    {_HITS}, nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
+    df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents) GROUP BY 1),
+    keys AS MATERIALIZED (SELECT DISTINCT record_id, framework, theme, keyword FROM hits),
+    found AS (SELECT record_id, keyword, text, instr(lower(text), keyword) AS pos FROM (SELECT DISTINCT record_id, keyword FROM keys) JOIN documents ON doc_id = record_id),
+    ctx AS (SELECT record_id, keyword, CASE WHEN pos > 0 THEN substring(text, greatest(pos - {T.SIZE}, 1), pos - greatest(pos - {T.SIZE}, 1) + length(keyword) + {T.SIZE}) ELSE keyword END AS context FROM found),
+    described AS (SELECT framework, theme, theme || ' ' || string_agg(keyword, ' ') AS content FROM fw GROUP BY framework, theme),
+    cw AS MATERIALIZED ({_terms_sql("ctx", "context", "record_id", "keyword")}),
+    tw AS MATERIALIZED ({_terms_sql("described", "content", "framework", "theme")}),
+    dots AS (SELECT record_id, framework, theme, keyword, sum(cw.weight * tw.weight) AS dot FROM keys JOIN cw USING (record_id, keyword) JOIN tw USING (framework, theme, term) GROUP BY ALL)
+    SELECT record_id, framework, theme, round(coalesce(max(dot), 0), 4) AS similarity FROM keys LEFT JOIN dots USING (record_id, framework, theme, keyword) GROUP BY 1, 2, 3
+""")
+def _(spark, d):
+    pairs, contexts, weights, described, themes, _ = _contexts(spark, d)
+    named = themes.join(described.select("name", "framework", "theme"), "name")
+    placed = contexts.select("context_id", "record_id", "keyword").join(weights, "context_id")
+    found = T.context_similarity(pairs, placed, named)
+    return found.select("record_id", "framework", "theme", F.round("context_similarity", 4).alias("similarity"))
+
+
+# The larger of document and context similarity, on projections; a test holds it against exact weights.
+@query("n4_projected_similarity")
+def _(spark, d):
+    pairs, contexts, weights, described, themes, own = _contexts(spark, d)
+    theme = described.join(projected(themes, key="name"), "name").select("framework", "theme", F.col("vector").alias("theme_vector"))
+    scored = N.semantic_similarity(pairs, projected(own), theme, T.context_vectors(contexts, weights))
+    return scored.select("record_id", "framework", "theme", F.round("semantic_similarity", 4).alias("similarity"))
+
+
 @query("n5_combined_score", f"{_SCORES} SELECT record_id, framework, theme, keyword_count, round(score, 4) AS score FROM scored")
 def _(spark, d):
     r = docs(spark, d)
