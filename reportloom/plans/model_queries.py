@@ -184,8 +184,8 @@ def _(spark, d):
 
 
 def _embedded(spark, d):
-    """Vectors of the embeddings table without missing entries."""
-    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    """Vectors of the embeddings table whose entries are all finite."""
+    whole = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     rows = table(spark, d, "embeddings").filter(whole)
     return rows.select(F.col("vec_id").alias("record_id"), array_to_vector("embedding").alias("features"), "label")
 
