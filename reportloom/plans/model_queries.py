@@ -10,7 +10,8 @@ from reportloom.operators import cluster as K, topics as O, vectors as X, ward a
 from reportloom.plans.registry import query
 from reportloom.plans.tables import DOCS_SQL, docs, table
 from reportloom.plans.text_queries import SENTENCES_SQL, sql_list
-from reportloom.session import materialize
+from reportloom.session import materialize, scratch_path
+from reportloom.sources.files import read_json_lines, write_json_lines
 
 _COUNTS = f"""counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (
       SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents)
@@ -421,9 +422,37 @@ def _(spark, d):
     return O.topic_export(O.fit_topics(docs(spark, d), 5))
 
 
-@query("s10_cluster_export")
-def _(spark, d):
+def _cluster_export(spark, d):
     r, labels, weights = docs(spark, d), _labels(spark, d), _stored_weights(spark, d)
     terms = K.cluster_terms(weights, labels)
     return K.cluster_export(
         K.cluster_summary(terms, K.cluster_sizes(labels)), terms, K.representative_documents(weights, labels), r)
+
+
+def _exported(spark, d, field, kind):
+    """A list of the export, written as JSON lines and read again."""
+    path = scratch_path(spark, "export")
+    write_json_lines(_cluster_export(spark, d), path)
+    found = read_json_lines(spark, path, f"cluster string, size long, {field} array<struct<{kind}>>")
+    return found.select("cluster", "size", F.inline(field))
+
+
+@query("s10_cluster_export")
+def _(spark, d):
+    return _cluster_export(spark, d)
+
+
+@query("s10_exported_terms", f"WITH {_TERMS} SELECT cluster, size.size, rank, term, score FROM terms JOIN size USING (cluster)")
+def _(spark, d):
+    return _exported(spark, d, "terms", "rank: int, term: string, score: double")
+
+
+@query("s10_exported_documents", f"""
+    WITH {DOCS_SQL}, {_CLUSTER}, cl AS (SELECT cluster, sqrt(sum(centroid * centroid)) AS length FROM cen GROUP BY 1),
+    dots AS (SELECT doc_id, cluster, sum(weight * centroid) AS dot, sqrt(sum(weight * weight)) AS own FROM wt JOIN lab USING (doc_id) JOIN cen USING (cluster, term) GROUP BY 1, 2),
+    best AS (SELECT lab.doc_id AS record_id, lab.cluster, coalesce(round(dot / (own * length), 4), 0) AS similarity FROM lab LEFT JOIN dots USING (doc_id, cluster) LEFT JOIN cl USING (cluster)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY similarity DESC, record_id)::INT AS rank FROM best QUALIFY rank <= 10)
+    SELECT cluster, size.size, rank, record_id, title, similarity FROM ranked JOIN docs USING (record_id) JOIN size USING (cluster)
+""")
+def _(spark, d):
+    return _exported(spark, d, "documents", "rank: int, record_id: long, title: string, similarity: double")

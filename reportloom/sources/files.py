@@ -117,6 +117,16 @@ def write_reports(df: DataFrame, path: str, mode: str = "error", by: Sequence[st
     df.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def write_json_lines(exported: DataFrame, path: str, mode: str = "error") -> None:
+    """The ``json`` texts of an export as files of one object a line; rows without one are not written."""
+    exported.filter("json is not null").select(F.col("json").alias("value")).write.mode(mode).text(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Objects of such files; a field that an object lacks is null."""
+    return spark.read.schema(schema).json(path)
+
+
 def case_folder(
     ref: str = "ref", name: str = "deceased_name", year: str = "year", record_id: str = "record_id"
 ) -> Column:

@@ -51,3 +51,14 @@ def test_long_names_stay_apart(spark):
     rows = [("r", "n" * 60 + end, 2020, 1) for end in "ab"]
     df = spark.createDataFrame(rows, "ref string, deceased_name string, year int, record_id int")
     assert df.select(files.case_folder()).distinct().count() == 2
+
+
+def test_json_lines_round_trip(spark, tmp_path):
+    """Line breaks and quotes inside a text stay one line; rows without JSON are left out, missing fields null."""
+    from reportloom.sources import files
+
+    path, text = str(tmp_path / "j"), 'a "b"\nc\u2028d\\e'
+    rows = spark.createDataFrame([(1, text), (2, None)], "id int, t string").selectExpr("to_json(struct(*)) AS json")
+    files.write_json_lines(rows.unionByName(spark.sql("SELECT CAST(NULL AS string) AS json")), path)
+    got = files.read_json_lines(spark, path, "id int, t string, other double").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, text, None), (2, None, None)]
