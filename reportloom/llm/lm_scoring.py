@@ -40,13 +40,13 @@ def cells_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def windows_of(owner: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Per word the words before and behind it; EDGE where the document ends."""
     n = len(words)
-    out = np.full((n, 2 * SIDE), EDGE, np.int64)
+    out = np.full((2 * SIDE, n), EDGE, np.int64)  # a place after the other, as they are read
     for k, shift in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
         here = slice(max(0, -shift), n - max(0, shift))
         there = slice(max(0, shift), n - max(0, -shift))
         if n > abs(shift):
-            out[here, k] = np.where(owner[here] == owner[there], words[there], EDGE)
-    return out
+            out[k, here] = np.where(owner[here] == owner[there], words[there], EDGE)
+    return out.T
 
 
 @dataclass
@@ -67,16 +67,16 @@ class Network:
             "member": np.zeros((GROUPS, WIDTH, MEMBERS), np.float32), "member0": np.log(words).astype(np.float32),
         })
 
-    def context(self, around: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(around), WIDTH), np.float32)
-        for k in range(2 * SIDE):
-            total += self.p["embed"][around[:, k]] * self.p["place"][k]
-        return np.tanh(total)
+    def context(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state of every window and, by place, the embedded words it is made of."""
+        words = np.take(self.p["embed"], np.ascontiguousarray(around.T), axis=0)
+        total = np.einsum("kij,kj->ij", words, self.p["place"])
+        return np.tanh(total, out=total), words
 
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Log-probability of every word given those around it."""
         p, group, member = self.p, words // MEMBERS, words % MEMBERS
-        c = self.context(around)
+        c, _ = self.context(around)
         logits = c @ p["group"]
         logits += p["group0"]
         out = logits[np.arange(len(words)), group] - _log_sum(logits)
@@ -97,9 +97,9 @@ class Network:
         p, n = self.p, len(words)
         # Windows of a group stand together from the start, so nothing is put back in order.
         order = np.argsort((words // MEMBERS).astype(np.uint8), kind="stable")
-        around, words = around[order], words[order]
+        around, words = around.T[:, order].T, words[order]
         group, member, here = words // MEMBERS, words % MEMBERS, np.arange(n)
-        c = self.context(around)
+        c, embedded = self.context(around)
         off = c @ p["group"]
         off += p["group0"]
         _soften(off)
@@ -129,7 +129,7 @@ class Network:
         seen = flat[begins].astype(np.int64)
         moved = (p["place"][:, None] * dt).reshape(-1, WIDTH)
         slopes["embed"] = np.add.reduceat(moved[sorted_at], begins, axis=0)
-        slopes["place"] = np.stack([np.einsum("ij,ij->j", p["embed"][around[:, k]], dt) for k in range(2 * SIDE)])
+        slopes["place"] = np.stack([np.einsum("ij,ij->j", e, dt) for e in embedded])
         for name, slope in slopes.items():
             rows = {"embed": seen, "member": groups, "member0": groups}.get(name, slice(None))
             slope /= n
@@ -149,19 +149,27 @@ class Network:
         return Network(out)
 
 
+def _lower(x: np.ndarray) -> np.ndarray | np.float32:
+    """Takes off, in place, what keeps exponentials finite: one number for all rows, or each row's own where rows lie far apart."""
+    most = x.max(initial=-np.inf)
+    if most - x.min(initial=np.inf) > 60:
+        most = x.max(axis=1, keepdims=True)
+    x -= most
+    return most
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Logarithm of the summed exponentials of every row; ``x`` is used up."""
-    most = x.max(axis=1)
-    x -= most[:, None]
+    most = _lower(x)
     np.exp(x, out=x)
-    return most + np.log(x.sum(axis=1))
+    return np.ravel(most) + np.log(x @ np.ones(x.shape[1], np.float32))
 
 
 def _soften(x: np.ndarray) -> None:
     """Every row becomes its softmax, in place."""
-    x -= x.max(axis=1, keepdims=True)
+    _lower(x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
 
 
 def _texts(documents: DataFrame) -> DataFrame:
