@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.helpers import WORD, word_count
@@ -15,16 +17,18 @@ THEME = ["framework", "theme_idx", "theme"]
 METADATA = ["title", "coroner_name", "coroner_area", "year", "date_of_report"]
 
 
-def expand_keywords(frameworks: DataFrame) -> DataFrame:
-    """Add the singular form of each keyword; distinct per theme."""
-    stem = F.regexp_replace(
-        lemma(F.regexp_extract("keyword", rf"({WORD}+)$", 1)), "(?:ing|ed)$", ""
-    )
-    head = F.regexp_replace("keyword", rf"{WORD}+$", "")
+def singular(keyword: Column) -> Column:
+    """The keyword with its last word in the singular, without "ing" or "ed"."""
+    last = F.regexp_replace(lemma(F.regexp_extract(keyword, rf"({WORD}+)$", 1)), "(?:ing|ed)$", "")
+    return F.concat(F.regexp_replace(keyword, rf"{WORD}+$", ""), last)
+
+
+def expand_keywords(frameworks: DataFrame, form: Callable[[Column], Column] = singular) -> DataFrame:
+    """Add one derived form of each keyword, such as ``functions.stem.stem``; distinct per theme."""
     both = frameworks.select(
         *THEME, "kw_idx", F.inline(F.array(
             F.struct(F.lit(0).alias("derived"), F.col("keyword").alias("keyword")),
-            F.struct(F.lit(1).alias("derived"), F.concat(head, stem).alias("keyword")),
+            F.struct(F.lit(1).alias("derived"), form(F.col("keyword")).alias("keyword")),
         ))
     )
     first = both.groupBy(*THEME, "keyword").agg(

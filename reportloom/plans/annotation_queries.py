@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
+from reportloom.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4, stem
 from reportloom.functions.text import split_sentences
 from reportloom.operators import annotate as N, classify as C, contexts as T, dashboard as D, evaluate as V, spans as S
 from reportloom.operators.vectors import document_count, projected, term_counts, tfidf, tfidf_weights, vocabulary
 from reportloom.plans.registry import query
 from reportloom.plans.tables import (
     DOCS_SQL, EVAL_SQL, FRAMEWORKS_SQL, VECTORS_SQL, doc_vectors, docs, eval_rows, frameworks,
-    theme_vectors,
+    table, theme_vectors,
 )
 from reportloom.plans.text_queries import SENTENCES_SQL, sql_list
 from reportloom.session import materialize
@@ -62,6 +63,15 @@ def _(spark, d):
     return pairs.select("record_id", "framework", "theme", F.round("similarity", 4).alias("similarity"))
 
 
+def _part_keywords(spark, d):
+    """A brand is a framework, a type of part a theme, its part names the keywords."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select(
+        F.col("p_brand").alias("framework"), F.col("p_type").alias("theme"), F.lower("p_name").alias("keyword")
+    ).distinct()
+    order = Window.partitionBy("framework", "theme").orderBy("keyword")
+    return parts.withColumns({"theme_idx": F.lit(0), "kw_idx": F.row_number().over(order) - 1})
+
+
 @query("n1_expand_keywords", """
     WITH fw AS (SELECT p_brand AS framework, p_type AS theme, lower(p_name) AS keyword,
       row_number() OVER (PARTITION BY p_brand, p_type ORDER BY lower(p_name)) - 1 AS kw_idx FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part)), k AS (
@@ -71,13 +81,75 @@ def _(spark, d):
     SELECT framework, theme, keyword, (row_number() OVER (PARTITION BY framework, theme ORDER BY f) - 1)::INT AS kw_idx FROM f
 """)
 def _(spark, d):
-    # A brand is a framework, a type of part a theme, its part names the keywords.
-    parts = spark.read.parquet(f"{d}/part.parquet").select(
-        F.col("p_brand").alias("framework"), F.col("p_type").alias("theme"), F.lower("p_name").alias("keyword")
-    ).distinct()
-    order = Window.partitionBy("framework", "theme").orderBy("keyword")
-    fw = parts.withColumns({"theme_idx": F.lit(0), "kw_idx": F.row_number().over(order) - 1})
-    return N.expand_keywords(fw).drop("theme_idx")
+    return N.expand_keywords(_part_keywords(spark, d)).drop("theme_idx")
+
+
+# The steps of the stemmer over a table s0 with the columns word and w, by their published description.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_M1 = f"^({_C})?{_V}{_C}"
+_CVC = f"^({_C}[aeiouy][^aeiouwxyY]|[aeiou][^aeiou])$"
+
+
+def _ending_sql(endings: dict[str, str], tables: str) -> str:
+    """One step that replaces the longest of the endings behind a measure of one."""
+    listed = "|".join(endings)
+    places = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in endings.items()) + "}"
+    before, after = tables.split()
+    return f"""{after} AS (SELECT word, CASE WHEN e <> '' AND regexp_matches(h, '{_M1}') THEN h || {places}[e] ELSE w END AS w
+      FROM (SELECT *, regexp_extract(w, '^(.*?)({listed})$', 1) AS h, regexp_extract(w, '^(.*?)({listed})$', 2) AS e FROM {before}))"""
+
+
+STEM_SQL = f"""
+    s1 AS (SELECT word, CASE WHEN length(w) = 4 AND w LIKE '%ies' THEN w[:-2] WHEN w LIKE '%sses' OR w LIKE '%ies' THEN w[:-3]
+      WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END AS w FROM s0),
+    h2 AS (SELECT *, regexp_extract(w, '^(.*)(ed|ing)$', 1) AS h FROM s1),
+    s2 AS (SELECT word, CASE WHEN w LIKE '%ied' THEN CASE WHEN length(w) = 4 THEN w[:-2] ELSE w[:-3] END
+      WHEN w LIKE '%eed' THEN CASE WHEN regexp_matches(w[:-4], '{_M1}') THEN w[:-2] ELSE w END
+      WHEN NOT regexp_matches(h, '[aeiou]|.y') THEN w
+      WHEN regexp_matches(h, '(at|bl|iz)$') THEN h || 'e'
+      WHEN length(h) > 1 AND h[-1] = h[-2] AND NOT regexp_matches(h, '[aeiouylsz]$') THEN h[:-2]
+      WHEN regexp_matches(h, '{_CVC}') THEN h || 'e' ELSE h END AS w FROM h2),
+    s3 AS (SELECT word, regexp_replace(w, '^(.+[^aeiouy])y$', '\\1i') AS w FROM s2),
+    s4 AS (SELECT word, CASE WHEN w LIKE '%alli' AND regexp_matches(w[:-5], '{_M1}') THEN w[:-3] ELSE w END AS w FROM s3),
+    {_ending_sql(STEP_2, "s4 s5")},
+    s6 AS (SELECT word, CASE WHEN w LIKE '%logi' AND regexp_matches(w[:-4], '{_M1}') THEN w[:-2] ELSE w END AS w FROM s5),
+    {_ending_sql(STEP_3, "s6 s7")},
+    h8 AS (SELECT *, CASE WHEN regexp_matches(w, '[st]ion$') THEN w[:-4] ELSE regexp_extract(w, '^(.*?)({"|".join(STEP_4)})$', 1) END AS h FROM s7),
+    s8 AS (SELECT word, CASE WHEN regexp_matches(h, '{_M1}{_V}{_C}') THEN h ELSE w END AS w FROM h8),
+    s9 AS (SELECT word, CASE WHEN w LIKE '%e' AND (regexp_matches(w[:-2], '{_M1}{_V}{_C}')
+      OR regexp_matches(w[:-2], '{_M1}({_V})?$') AND NOT regexp_matches(w[:-2], '{_CVC}')) THEN w[:-2] ELSE w END AS w FROM s8),
+    s10 AS (SELECT word, CASE WHEN w LIKE '%ll' AND regexp_matches(w[:-2], '{_M1}{_V}{_C}') THEN w[:-2] ELSE w END AS w FROM s9),
+    stems AS (SELECT word, coalesce(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in IRREGULAR.items())}}}[word],
+      CASE WHEN length(word) <= 2 THEN word ELSE lower(w) END) AS stem FROM s10)
+"""
+
+
+@query("n1_stem_keywords", f"""
+    WITH fw AS (SELECT p_brand AS framework, p_type AS theme, lower(p_name) AS keyword,
+      row_number() OVER (PARTITION BY p_brand, p_type ORDER BY lower(p_name)) - 1 AS kw_idx FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part)),
+    s0 AS (SELECT DISTINCT keyword AS word, regexp_replace(keyword, '^y', 'Y') AS w FROM fw), {STEM_SQL},
+    k AS (SELECT framework, theme, 0 AS derived, kw_idx, keyword FROM fw UNION ALL
+      SELECT framework, theme, 1, kw_idx, stem FROM fw JOIN stems ON word = keyword),
+    f AS (SELECT framework, theme, keyword, min((derived, kw_idx)) AS f FROM k GROUP BY ALL)
+    SELECT framework, theme, keyword, (row_number() OVER (PARTITION BY framework, theme ORDER BY f, keyword) - 1)::INT AS kw_idx FROM f
+""")
+def _(spark, d):
+    return N.expand_keywords(_part_keywords(spark, d), stem).drop("theme_idx")
+
+
+@query("n1_word_stems", f"""
+    WITH words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+    n AS (SELECT word, count(*) AS n FROM words GROUP BY 1),
+    s0 AS (SELECT word, regexp_replace(word, '^y', 'Y') AS w FROM n), {STEM_SQL}
+    SELECT stem, count(*) AS forms, sum(n)::BIGINT AS occurrences, min(word) AS first_form FROM stems JOIN n USING (word) GROUP BY 1
+""")
+def _(spark, d):
+    """Words of all documents by their stem; every distinct word is stemmed once."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
+    counted = table(spark, d, "documents").select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return counted.groupBy(stem("word").alias("stem")).agg(
+        F.count("*").alias("forms"), F.sum("n").alias("occurrences"), F.min("word").alias("first_form")
+    )
 
 
 @query("n2_keyword_spans", f'{_HITS} SELECT record_id, theme_key, "start", "end", keywords, sentence FROM spans')
