@@ -17,6 +17,7 @@ from reportloom.plans.text_queries import SENTENCES_SQL, SQL_LEMMA, sql_list
 from reportloom.schema import ATTACHMENT, reduced_view
 from reportloom.session import scratch_path
 from reportloom.sources import files, pages
+from reportloom.sources.cards import listing_cards
 
 
 def extracted(spark, d):
@@ -162,6 +163,25 @@ def _(spark, d):
     return pages.pages_to_reports(table(spark, d, "pages")).select("record_id", "title", "content")
 
 
+@query("s5_listing_cards", r"""
+    WITH m AS (SELECT DISTINCT page_id, url, regexp_extract(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+        '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<nav\b[^>]*>(.*?)</nav\s*>', 1) AS nav FROM pages),
+    i AS (SELECT page_id, url, unnest(l) AS item, unnest(range(len(l))) AS pos
+      FROM (SELECT page_id, url, regexp_extract_all(nav, '(?is)<li\b[^>]*>(.*?)</li\s*>', 1) AS l FROM m)),
+    a AS (SELECT page_id, pos, regexp_extract(url, '^(https?://[^/]+)', 1) AS site,
+        regexp_extract(item, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS href,
+        regexp_extract(item, '(?is)<a\b[^>]*\bhref[^>]*>(.*?)</a\s*>', 1) AS body FROM i WHERE regexp_matches(item, '(?i)<a\b[^>]*\bhref'))
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS card,
+      regexp_replace(strip_accents(replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '[^!-~]', '', 'g') AS title,
+      CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '/') THEN site || href ELSE site || '/' || href END AS url
+    FROM a
+""")
+def _(spark, d):
+    """The entries of the first navigation list of every page as cards; titles without accents, as SQL can't decompose them."""
+    found = listing_cards(table(spark, d, "pages"), ("nav", None), ("li", None), ("a", None))
+    return found.select("page_id", "card", F.regexp_replace("title", "[^!-~]", "").alias("title"), "url")
+
+
 @query("s6_page_links", f"""
     WITH a AS (SELECT page_id, url, unnest(l) AS link, unnest(range(len(l))) AS pos FROM (SELECT page_id, url, {_LINKS} AS l FROM pages)),
     h AS (SELECT page_id, pos::INT AS pos, regexp_extract(url, '^(https?://[^/]+)', 1) AS site,
