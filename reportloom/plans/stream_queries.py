@@ -47,15 +47,16 @@ def _(spark, d):
 _WEEK = "time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01')"
 
 
-@query("r3_windowed_counts", f"""
-    SELECT * FROM (SELECT {_WEEK} AS window_start, {_WEEK} + INTERVAL '7 days' AS window_end, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3)
-    WHERE window_end <= (SELECT max(ts) - INTERVAL '1 day' FROM events)
+@query("r3_windowed_counts", """
+    SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS window_start,
+      time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') + INTERVAL '7 days' AS window_end, event_type, count(*) AS n
+    FROM events GROUP BY ALL
 """)
 def _(spark, d):
-    # The table stores times without a zone; watermarks need the zoned type (UTC). A window is written once it is closed.
+    # The table stores times without a zone; watermarks need the zoned type (UTC). Open windows count too.
     events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = jobs.windowed_counts(events, "ts", "7 days", "1 day", ["event_type"])
-    found = jobs.run_to_table(counts, scratch_path(spark, "counts"), scratch_path(spark, "counts_state"))
+    found = jobs.run_to_table(counts, scratch_path(spark, "counts"), scratch_path(spark, "counts_state"), "complete")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 

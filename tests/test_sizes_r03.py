@@ -16,3 +16,15 @@ def test_sentences_are_not_shuffled_for_their_words(spark):
     found = N.sentence_matches(split_sentences(docs), fw)
     assert sorted((r.record_id, r.keyword) for r in found.collect()) == [(1, "end"), (1, "of the"), (2, "of the")]
     assert "Exchange hashpartitioning" not in executed(found)
+
+
+def test_windows_that_are_still_open_are_counted(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-03 12:00:00' + to_days(d) AS ts, 7::BIGINT AS user_id, 'click' AS event_type
+      FROM (VALUES (1, 0), (2, 0), (3, 40), (4, 41)) t(i, d)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, queries()["r3_windowed_counts"](spark, str(tmp_path)).collect()))
+    assert sum(r[-1] for r in got) == 4
+    assert got == sorted(con.sql(oracle_sql()["r3_windowed_counts"]).fetchall())
