@@ -151,13 +151,31 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
     })
 
 
+def members(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+    """``(key, cluster, times, term, weight)``: the weights of labelled documents, written once for all steps that read them.
+
+    ``times`` is the number of labels of a key, as often as its weights are listed. Weights that were just scaled
+    per document are dealt out by key already, so that this join moves labels only. What was made here may be handed
+    on as the weights of the functions below.
+    """
+    if "times" in weights.columns:
+        return weights
+    counted = labels.withColumn("times", F.count("*").over(Window.partitionBy(key)))
+    return materialize(weights.join(counted.select(key, "cluster", "times"), key).select(key, "cluster", "times", "term", "weight"), "members")
+
+
 def centroids(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Mean weight per cluster and term; documents without the term count as 0."""
+    placed = weights if "times" in weights.columns else weights.join(labels, key)
+    return _centroids(placed, labels)
+
+
+def _centroids(placed: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("size"))
-    sums = weights.join(labels, key).groupBy("cluster", "term").agg(
+    sums = placed.groupBy("cluster", "term").agg(
         F.sum("weight").alias("total"), F.count("*").alias("docs")
     )
-    return sums.join(sizes, "cluster").select(
+    return sums.join(F.broadcast(sizes), "cluster").select(  # a row per cluster
         "cluster", "term", (F.col("total") / F.col("size")).alias("centroid"), "docs", "size"
     )
 
@@ -180,16 +198,17 @@ def cluster_terms(weights: DataFrame, labels: DataFrame, n: int = 20, key: str =
 
 def representative_documents(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Cosine of each document to the centroid of its cluster."""
-    center = centroids(weights, labels, key).select("cluster", "term", "centroid")
+    placed = members(weights, labels, key)
+    center = materialize(_centroids(placed, labels).select("cluster", "term", "centroid"), "centroids")
     lengths = center.groupBy("cluster").agg(
         F.sqrt(F.sum(F.col("centroid") * F.col("centroid"))).alias("length")
     )
-    dots = weights.join(labels, key).join(center, ["cluster", "term"]).groupBy(key, "cluster").agg(
+    dots = placed.drop("times").join(center, ["cluster", "term"]).groupBy(key, "cluster").agg(
         F.sum(F.col("weight") * F.col("centroid")).alias("dot"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own"),
     )
     similarity = F.try_divide(F.col("dot"), F.col("own") * F.col("length"))
-    return labels.join(dots, [key, "cluster"], "left").join(lengths, "cluster", "left").select(
+    return labels.join(dots, [key, "cluster"], "left").join(F.broadcast(lengths), "cluster", "left").select(
         key, "cluster", F.round(F.coalesce(similarity, F.lit(0.0)), 4).alias("similarity")
     )
 
@@ -208,13 +227,24 @@ def cohesion(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> D
     )
 
 
-def _distances(weights: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Squared length of every document, and per cluster: size, squared length of the mean, mean squared length."""
-    own = labels.join(weights.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("_own")), key, "left")
-    own = own.select(key, "cluster", F.coalesce("_own", F.lit(0.0)).alias("own"))
-    norms = centroids(weights, labels, key).groupBy("cluster").agg(F.sum(F.col("centroid") * F.col("centroid")).alias("norm"))
+def _distances(placed: DataFrame, center: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Squared length of every document; per cluster: size, squared length of the mean, mean squared length; and products.
+
+    The products ``(key, other, dot)`` of documents with the means of clusters are over shared terms. They are summed in
+    one pass over the members and written, one row per document and cluster.
+    """
+    # A key with several labels lists its weights as often.
+    once = F.col("weight") / F.col("times")
+    own = labels.join(placed.groupBy(key).agg(F.sum(F.col("weight") * once).alias("_own")), key, "left")
+    own = materialize(own.select(key, "cluster", F.coalesce("_own", F.lit(0.0)).alias("own")), "lengths")
+    norms = center.groupBy("cluster").agg(F.sum(F.col("centroid") * F.col("centroid")).alias("norm"))
     stats = own.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("own").alias("mean_own"))
-    return own, stats.join(norms, "cluster", "left").na.fill(0.0, ["norm"])
+    stats = materialize(stats.join(norms, "cluster", "left").na.fill(0.0, ["norm"]), "cluster-stats")
+    # The means of a term are one list of at most a row per cluster, so a weight travels once, whatever the number of clusters.
+    listed = center.groupBy("term").agg(F.collect_list(F.struct(F.col("cluster").alias("other"), "centroid")).alias("_means"))
+    met = placed.select(key, "term", once.alias("_once")).join(listed, "term")
+    dots = met.select(key, "_once", F.inline("_means")).groupBy(key, "other").agg(F.sum(F.col("_once") * F.col("centroid")).alias("dot"))
+    return own, stats, materialize(dots, "products")
 
 
 def silhouette(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
@@ -225,11 +255,14 @@ def silhouette(weights: DataFrame, labels: DataFrame, key: str = "record_id") ->
     clusters would be without one, so the two smallest mean lengths stand for all of them. A cluster of
     one document has silhouette 0.
     """
-    own, stats = _distances(weights, labels, key)
-    center = centroids(weights, labels, key).select(F.col("cluster").alias("other"), "term", "centroid")
-    dots = weights.join(center, "term").groupBy(key, "other").agg(F.sum(F.col("weight") * F.col("centroid")).alias("dot"))
+    placed = members(weights, labels, key)
+    center = materialize(_centroids(placed, labels), "centroids")
+    return _silhouette(*_distances(placed, center, labels, key), key)
+
+
+def _silhouette(own: DataFrame, stats: DataFrame, dots: DataFrame, key: str) -> DataFrame:
     sizes = stats.select(F.col("cluster").alias("other"), "size", "mean_own")
-    known = own.join(dots, key, "left").join(sizes, "other", "left")
+    known = own.join(dots, key, "left").join(F.broadcast(sizes), "other", "left")
     apart = F.greatest(F.col("own") - 2 * F.col("dot") + F.col("mean_own"), F.lit(0.0))
     here = F.col("cluster") == F.col("other")
     per = known.groupBy(key, "cluster", "own").agg(
@@ -242,7 +275,7 @@ def silhouette(weights: DataFrame, labels: DataFrame, key: str = "record_id") ->
     other = F.get(F.filter("_two", lambda c: c["cluster"] != F.col("cluster")), F.lit(0))["mean_own"]
     n = F.col("size")
     inside = F.greatest(F.col("own") - 2 * F.coalesce("_dot", F.lit(0.0)) + F.col("mean_own"), F.lit(0.0)) * n / (n - 1)
-    scored = per.join(stats.select("cluster", "size", "mean_own"), "cluster").withColumn("_two", least).withColumns({
+    scored = per.join(F.broadcast(stats.select("cluster", "size", "mean_own")), "cluster").withColumn("_two", least).withColumns({
         "_a": F.when(n > 1, inside), "_b": F.least("_near", F.col("own") + other),
     })
     value = F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
@@ -251,13 +284,16 @@ def silhouette(weights: DataFrame, labels: DataFrame, key: str = "record_id") ->
 
 def cluster_quality(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin index and mean silhouette from per-cluster sums."""
-    center = centroids(weights, labels, key).select("cluster", "term", "centroid", "size")
-    own, stats = _distances(weights, labels, key)
-    dots = weights.join(labels, key).join(center, ["cluster", "term"]).groupBy(key).agg(
-        F.sum(F.col("weight") * F.col("centroid")).alias("dot")
+    placed = members(weights, labels, key)
+    center = materialize(_centroids(placed, labels), "centroids")
+    own, stats, products = _distances(placed, center, labels, key)
+    # A key with several labels in one cluster counted as often in the product with its own mean.
+    times = labels.groupBy(key, "cluster").agg(F.count("*").alias("_n"))
+    dots = products.join(times, (products[key] == times[key]) & (products["other"] == times["cluster"])).groupBy(products[key]).agg(
+        F.sum(F.col("dot") * F.col("_n")).alias("dot")
     )
     distance = F.greatest(F.col("own") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("norm"), F.lit(0.0))
-    per_cluster = own.join(dots, key, "left").join(stats, "cluster").groupBy("cluster").agg(
+    per_cluster = own.join(dots, key, "left").join(F.broadcast(stats), "cluster").groupBy("cluster").agg(
         F.count("*").alias("size"), F.sum(distance).alias("within"),
         F.avg(F.sqrt(distance)).alias("spread"), F.max("norm").alias("norm"),
     )
@@ -275,7 +311,7 @@ def cluster_quality(weights: DataFrame, labels: DataFrame, key: str = "record_id
         F.col("n").alias("documents"), F.col("k").alias("clusters"),
         F.round(calinski, 4).alias("calinski_harabasz"),
         F.round(_davies_bouldin(per_cluster, center), 4).alias("davies_bouldin"),
-        F.round(silhouette(weights, labels, key).select(F.avg("silhouette")).scalar(), 4).alias("silhouette"),
+        F.round(_silhouette(own, stats, products, key).select(F.avg("silhouette")).scalar(), 4).alias("silhouette"),
     )
 
 
@@ -353,15 +389,30 @@ def within_budget(
     character, so more than ``max_length`` rows can never be chosen and each
     group is cut to that many before its running total is built.
     """
-    cut = top_n_per_group(
-        ranked.withColumn("_len", length).filter("_len > 0"), group, max_length, *order, rank="position"
-    )
+    rows = ranked.withColumn("_len", length).filter("_len > 0")
+    cut = top_n_per_group(_leading(rows, group, max_length, *order), group, max_length, *order, rank="position")
     running = F.sum("_len").over(
         Window.partitionBy(group).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     )
     return cut.withColumn("_total", running).filter(F.col("_total") <= max_length).drop("_len", "_total")
 
 
+BUDGET_PARTS = 256  # parts of a group that are cut on their own
+
+
+def _leading(rows: DataFrame, group: str, max_length: int, *order: Column) -> DataFrame:
+    """Rows that may fit the budget, found inside parts of each group, so no task reads a whole group.
+
+    A row behind one that exceeds the budget in its own part exceeds it in the group too. The first one that
+    does stays in every part, so the running total of the group stops where it did.
+    """
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(BUDGET_PARTS)))
+    ahead = F.sum("_len").over(
+        Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return parts.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).filter(F.col("_ahead") <= max_length).drop("_part", "_ahead")
+
+
 def extractive_summary(
     docs: DataFrame, labels: DataFrame, max_length: int = 500, text: str = "content",
     key: str = "record_id", stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
@@ -382,12 +433,13 @@ def extractive_summary(
     n_docs = sentences.groupBy("cluster").agg(F.count("*").alias("n_docs"))
     df = counts.groupBy("cluster", "term").agg(F.count("*").alias("df"))
     width = df.groupBy("cluster").agg(F.count("*").alias("vocabulary"))
-    weighted = counts.join(df, ["cluster", "term"]).join(n_docs, "cluster").withColumn(
+    # The sizes are a row per cluster; a join by cluster would bring a whole cluster to one task.
+    weighted = counts.join(df, ["cluster", "term"]).join(F.broadcast(n_docs), "cluster").withColumn(
         "w", F.col("tf") * idf_weight("smooth")
     )
     scores = weighted.groupBy("cluster", "sid").agg(
         (F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("total")
-    ).join(width, "cluster").select(
+    ).join(F.broadcast(width), "cluster").select(
         "cluster", "sid", F.round(F.col("total") / F.col("vocabulary"), 10).alias("score")
     )
     ranked = sentences.join(scores, ["cluster", "sid"], "left").na.fill(0.0, ["score"])

@@ -1,8 +1,12 @@
 """What queries move and whether they count all of their input."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from __spark_entry__ import oracle_sql, queries
 from reportloom.functions.text import split_sentences
-from reportloom.operators import annotate as N
+from reportloom.operators import annotate as N, cluster as K
 
 
 def executed(df):
@@ -28,3 +32,35 @@ def test_windows_that_are_still_open_are_counted(spark, tmp_path):
     got = sorted(map(tuple, queries()["r3_windowed_counts"](spark, str(tmp_path)).collect()))
     assert sum(r[-1] for r in got) == 4
     assert got == sorted(con.sql(oracle_sql()["r3_windowed_counts"]).fetchall())
+
+
+def test_a_budget_is_cut_inside_parts_of_a_group(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), i, rng.randint(0, 9), rng.randint(0, 40)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, id int, n int, score int")
+    order = (F.desc("score"), F.asc("id"))
+    near = K._leading(df.withColumn("_len", F.col("n")).filter("n > 0"), "g", 20, *order)
+    assert near.count() < len(rows) - sum(n == 0 for _, _, n, _ in rows)
+    for budget in (0, 20, 500):
+        wanted = set()
+        for g in "ab":
+            total = 0
+            for _, i, n, _ in sorted((r for r in rows if r[0] == g and r[2]), key=lambda r: (-r[3], r[1])):
+                total += n
+                if total > budget:
+                    break
+                wanted.add(i)
+        assert {r.id for r in K.within_budget(df, "g", F.col("n"), budget, *order).collect()} == wanted
+
+
+def test_keys_with_several_labels_keep_their_lengths(spark):
+    weights = spark.createDataFrame(
+        [(1, "x", 0.6), (1, "y", 0.8), (2, "x", 1.0), (3, "z", 1.0), (4, "y", 1.0)], "record_id int, term string, weight double")
+    labels = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "a"), (5, "b")], "record_id int, cluster string")
+    placed = K.members(weights, labels)
+    assert sorted((r.record_id, r.times) for r in placed.collect()) == [(1, 2)] * 4 + [(2, 1), (3, 1), (4, 1)]
+    own, stats, dots = K._distances(placed, K.centroids(placed, labels), labels, "record_id")
+    assert sorted((r.record_id, round(r.own, 9)) for r in own.collect()) == [(1, 1.0), (1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0), (5, 0.0)]
+    assert {(r.record_id, r.other): round(r.dot, 6) for r in dots.collect() if r.record_id == 1} == {
+        (1, "a"): round(0.6 * 1.2 / 3 + 0.8 * 2.6 / 3, 6), (1, "b"): 0.2}
+    assert {r.documents for r in K.cluster_quality(weights, labels).collect()} == {6}
