@@ -6,15 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
-from reportloom.functions.text import clean_text_for_modeling
+from reportloom.functions.text import clean_text_for_modeling, tokens
 from reportloom.operators.dictionary import number_terms
 from reportloom.operators.search import occurrences
 from reportloom.operators.small import top_n_per_group
 from reportloom.operators.vectors import term_counts
-from reportloom.session import materialize
+from reportloom.session import materialize, materialize_buckets
 
 
 class TopicModel:
@@ -65,65 +66,143 @@ def expectation(
     return theta, counts, fit
 
 
-SHARD_ROWS = 1_000_000  # counts of a shard, about; a document is never split
-SHARD = "shard long, docs binary, terms binary, rows binary, columns binary, tf binary"
+SHARD_ROWS = 1_000_000  # counts of a block, about; a document is never split
+SHARD_CHARS = 16_000_000, 400_000_000  # characters of a shard, about: no fewer for the sake of more tasks, no more for memory
+BLOCK = "shard long, first long, docs array<{key}>, n_terms long, terms binary, ends binary, columns binary, tf binary, new array<string>"
 
 
-def count_shards(counts: DataFrame, dictionary: DataFrame, key: str, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(shards of the sparse count matrix, document numbers): sparse vectors built by joins, without hashed terms."""
-    names = number_terms(counts.select(F.col(key).cast("string").alias("doc")), "doc", "doc_no")
-    n = counts.count()
-    numbered = counts.join(dictionary, "term").withColumn("doc", F.col(key).cast("string")).join(names, "doc")
-    many = max(1, -(-n // shard_rows))
-    keyed = numbered.select(F.pmod(F.xxhash64("doc_no"), F.lit(many)).alias("shard"), "doc_no", "term_id", F.col("tf").cast("double").alias("tf"))
+def _shard_numbers(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that hash partitioning deals to ``n`` partitions, one each."""
+    found = spark.range(64 * n + 64).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id"))
+    return [r["id"] for r in found.collect()]
 
-    def pack(table: pa.Table) -> pa.Table:
-        doc, term, tf = (table.column(c).to_numpy() for c in ("doc_no", "term_id", "tf"))
-        order = np.lexsort((term, doc))
-        docs, rows = np.unique(doc[order], return_inverse=True)
-        terms, columns = np.unique(term[order], return_inverse=True)
-        packed = [docs.astype("<i8"), terms.astype("<i8"), rows.astype("<i4"), columns.astype("<i4"), tf[order].astype("<f8")]
-        return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in packed)],
-                        names=[c.split(" ")[0] for c in SHARD.split(", ")])
 
-    return materialize(keyed.groupBy("shard").applyInArrow(pack, SHARD), "count-shards"), names
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs; their width follows from their number."""
+    most = int(values.max(initial=0))
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
-def _em_step(shards: DataFrame, vocabulary: DataFrame, theta: DataFrame, phi: DataFrame, k: int, alpha: float) -> DataFrame:
-    """One step, one job: per shard and term the expected counts, per shard the new shares and the likelihood before."""
-    schema = "shard long, term_id long, " + ", ".join(f"s{t} double" for t in range(k)) + ", theta binary, fit double, prior double"
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}")
+
+
+def count_blocks(texts: DataFrame, key: str, shards: Sequence[int], stop_words: Sequence[str], block_rows: int = SHARD_ROWS) -> DataFrame:
+    """The sparse count matrix of ``(key, clean)``, in blocks of documents; shards of blocks share a numbering of their terms.
+
+    Only texts are shuffled. A block lists its terms by their place in the shard, and the terms that are new in the shard.
+    """
+    n = len(shards)
+    words = F.filter(tokens("clean"), lambda w: ~w.isin(*stop_words)) if stop_words else tokens("clean")
+    own = F.element_at(F.lit(list(shards)), (F.pmod(F.xxhash64(key), F.lit(n)) + 1).cast("int")).cast("long")
+    dealt = texts.filter(F.col(key).isNotNull()).withColumn("shard", own).repartition(n, "shard")
+    if not texts.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        dealt = dealt.groupBy("shard", key).agg(F.concat_ws(" ", F.collect_list("clean")).alias("clean"))
+    schema = BLOCK.format(key=texts.schema[key].dataType.simpleString())
+    names = [field.split(" ")[0] for field in schema.split(", ")]
+
+    def run(batches):
+        held: dict[int, list] = {}
+        known: dict[int, pa.Array] = {}
+        done: dict[int, int] = {}
+
+        def block(shard: int) -> pa.RecordBatch:
+            keys, sizes, flat = (pa.concat_arrays(parts) for parts in zip(*held.pop(shard)))
+            coded = flat.dictionary_encode()
+            many, sizes = max(len(coded.dictionary), 1), sizes.to_numpy()
+            rows = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+            cells, tf = np.unique(rows * many + coded.indices.to_numpy(), return_counts=True)
+            seen = known.get(shard, pa.array([], pa.string()))
+            place = pc.index_in(coded.dictionary, value_set=seen).to_numpy(zero_copy_only=False)
+            fresh = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), bool)
+            at = np.where(fresh, 0, place).astype(np.int64)
+            at[fresh] = len(seen) + np.arange(fresh.sum())
+            new = coded.dictionary.filter(pa.array(fresh))
+            known[shard] = pa.concat_arrays([seen, new])
+            first = done.get(shard, 0)
+            done[shard] = first + len(keys)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return pa.RecordBatch.from_arrays([
+                pa.array([shard], pa.int64()), pa.array([first], pa.int64()), one(keys),
+                pa.array([len(at)], pa.int64()), pa.array([_small(at)], pa.binary()),
+                pa.array([np.bincount(cells // many, minlength=len(sizes)).cumsum().astype("<i8").tobytes()], pa.binary()),
+                pa.array([_small(cells % many)], pa.binary()), pa.array([_small(tf)], pa.binary()), one(new),
+            ], names=names)
+
+        for batch in batches:
+            shard_of = batch.column("shard").to_numpy()
+            listed = batch.column("_w")
+            sizes = pc.list_value_length(listed).to_numpy()
+            for shard in np.unique(shard_of):
+                rows = np.flatnonzero((shard_of == shard) & (sizes > 0))
+                if not len(rows):
+                    continue
+                for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(sizes[rows]) // block_rows)) + 1):
+                    at = pa.array(some)
+                    mine = listed.take(at)
+                    held.setdefault(int(shard), []).append((batch.column(key).take(at), pc.list_value_length(mine), mine.flatten()))
+                    if sum(len(part[2]) for part in held[int(shard)]) >= block_rows:
+                        yield block(int(shard))
+        for shard in [*held]:
+            yield block(shard)
+
+    listed = dealt.select("shard", key, words.alias("_w")).filter(F.size("_w") > 0)
+    return materialize_buckets(listed.mapInArrow(run, schema), "count-blocks", n, "shard")
+
+
+def _em_step(blocks: DataFrame, right: DataFrame, k: int, alpha: float) -> DataFrame:
+    """One step over the blocks, which stay where they are: expected counts per term, shares per document, likelihood before.
+
+    Of the right side a row with a term has its place and weights, one without a document's place and shares. The
+    result has a row per term, a row per document with its shard, and one with the likelihood and the prior.
+    """
+    schema = "shard long, place long, term_id long, " + ", ".join(f"s{t} double" for t in range(k)) + ", fit double, prior double"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [c.split(" ")[0] for c in schema.split(", ")]
-        raw = {c: left.column(c)[0].as_py() for c in ("docs", "rows", "columns", "tf", "theta")}
-        n = len(raw["docs"]) // 8
-        rows, columns = np.frombuffer(raw["rows"], "<i4"), np.frombuffer(raw["columns"], "<i4")
-        own = np.full((n, k), 1.0 / k) if raw["theta"] is None else np.frombuffer(raw["theta"], "<f8").reshape(n, k)
-        order = np.argsort(right.column("term_id").to_numpy())
-        weights = np.stack([right.column(f"p{t}").to_numpy() for t in range(k)], axis=1)[order]
-        new, counts, fit = expectation(rows, columns, np.frombuffer(raw["tf"], "<f8"), own, weights, alpha)
-        shard, many = left.column("shard")[0].as_py(), len(order)
-        # The last row has the sums over the shard's terms, its shares and its likelihood.
-        stacked = np.vstack([counts, counts.sum(axis=0)])
-        last = lambda value, kind: pa.concat_arrays([pa.nulls(many, kind), pa.array([value], kind)])
+        if not len(left):
+            return pa.table({name: pa.array([], pa.float64() if i > 2 else pa.int64()) for i, name in enumerate(names)})
+        term = np.asarray(right.column("term_id").is_valid())
+        place = right.column("place").to_numpy()
+        cells = np.stack([right.column(f"p{t}").to_numpy() for t in range(k)], axis=1)
+        weights = np.empty((int(term.sum()), k))
+        weights[place[term]] = cells[term]
+        ids = np.empty(len(weights), np.int64)
+        ids[place[term]] = right.column("term_id").filter(pa.array(term)).to_numpy()
+        ends = left.column("ends").to_pylist()
+        own = np.full((sum(len(raw) // 8 for raw in ends), k), 1.0 / k)
+        own[place[~term]] = cells[~term]
+        theta, counts, fit = np.empty_like(own), np.zeros_like(weights), 0.0
+        prior = alpha * float(np.log(own).sum())
+        for i, raw in enumerate(ends):
+            upto = np.frombuffer(raw, "<i8")
+            many, first = int(upto[-1]), left.column("first")[i].as_py()
+            columns, tf = (_numbers(left.column(c)[i].as_py(), many) for c in ("columns", "tf"))
+            terms = _numbers(left.column("terms")[i].as_py(), left.column("n_terms")[i].as_py()).astype(np.int64)
+            rows = np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))
+            at = slice(first, first + len(upto))
+            theta[at], found, likely = expectation(rows, columns.astype(np.int64), tf.astype(np.float64), own[at], weights[terms], alpha)
+            counts[terms] += found
+            fit += likely
+        shard, docs = left.column("shard")[0].as_py(), len(own)
+        stacked = np.vstack([counts, theta, np.zeros((1, k))])
+        kinds = [pa.nulls(len(ids), pa.int64()), pa.nulls(1, pa.int64())]
+        last = lambda value: pa.concat_arrays([pa.nulls(len(stacked) - 1, pa.float64()), pa.array([value], pa.float64())])
         return pa.table([
-            pa.array(np.full(many + 1, shard)), pa.concat_arrays([pa.array(right.column("term_id").to_numpy()[order]), pa.nulls(1, pa.int64())]),
-            *(pa.array(stacked[:, t]) for t in range(k)), last(new.astype("<f8").tobytes(), pa.binary()),
-            last(fit, pa.float64()), last(alpha * float(np.log(own).sum()), pa.float64()),
+            pa.concat_arrays([kinds[0], pa.array(np.full(docs, shard)), kinds[1]]), pa.concat_arrays([kinds[0], pa.array(np.arange(docs)), kinds[1]]),
+            pa.concat_arrays([pa.array(ids), pa.nulls(docs + 1, pa.int64())]), *(pa.array(stacked[:, t]) for t in range(k)), last(fit), last(prior),
         ], names=names)
 
-    left = shards.select("shard", "docs", "rows", "columns", "tf").join(theta, "shard", "left")
-    right = vocabulary.join(phi, "term_id")
-    return materialize(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(run, schema), "topic-step")
+    done = blocks.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(run, schema)
+    sums = [F.sum(c).alias(c) for c in (*(f"s{t}" for t in range(k)), "fit", "prior")]
+    return materialize(done.groupBy("shard", "place", "term_id").agg(*sums), "topic-step")
 
 
 def _weights_after(out: DataFrame, k: int, beta: float, n_terms: int) -> DataFrame:
     """(term_id, p0, p1, ...): the weights of terms from the expected counts of a step, every topic summing to 1."""
-    totals = out.filter("term_id is null").agg(F.array(*[F.sum(f"s{t}") + n_terms * beta for t in range(k)])).scalar()
-    sums = out.filter("term_id is not null").groupBy("term_id").agg(*[F.sum(f"s{t}").alias(f"s{t}") for t in range(k)])
-    return sums.withColumn("_totals", totals).select(
-        "term_id", *[((F.col(f"s{t}") + beta) / F.get("_totals", F.lit(t))).alias(f"p{t}") for t in range(k)]
-    )
+    sums = out.filter("term_id is not null")
+    totals = sums.agg(*[F.coalesce(F.sum(f"s{t}"), F.lit(0.0)).alias(f"s{t}") for t in range(k)]).first()  # one row of sums
+    return sums.select("term_id", *[((F.col(f"s{t}") + beta) / (totals[f"s{t}"] + n_terms * beta)).alias(f"p{t}") for t in range(k)])
 
 
 def fit_topics(
@@ -133,10 +212,11 @@ def fit_topics(
 ) -> TopicModel:
     """Topics of the cleaned corpus by EM with Dirichlet priors; equal cleaned texts count once.
 
-    Every term has a number and weights of its own. Counts are shards of documents; a step brings the
-    weights of its terms to each shard, and expected counts go back to be summed per term, so
-    weights are a table partitioned by term and neither vocabulary nor documents reach the driver. ``alpha``
-    and ``beta`` are added to the counts of a topic in a document and of a term in a topic.
+    Every term has a number and weights of its own. Counts are blocks of documents in as many shards as tasks run at
+    once; they are written by shard and never shuffled. A step brings the weights of its terms and the shares of its documents
+    to each shard, and expected counts go back to be summed per term, so weights are a table partitioned by term and
+    neither vocabulary nor documents reach the driver. ``alpha`` and ``beta`` are added to the counts of a topic in a document
+    and of a term in a topic.
     """
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
     if deduplicate:
@@ -146,10 +226,20 @@ def fit_topics(
     else:
         clean = clean.withColumn("copies", F.lit(1).cast("long"))
     clean = materialize(clean, "clean")
-    counts = materialize(term_counts(clean, "clean", key, stop_words), "term-counts")
-    dictionary = number_terms(counts, "term")
-    shards, names = count_shards(counts, dictionary, key, shard_rows)
-    vocabulary = materialize(shards.select("shard", "terms").mapInArrow(_shard_terms, "shard long, term_id long"), "shard-terms")
+    spark = clean.sparkSession
+    size = clean.agg(F.coalesce(F.sum(F.length("clean")), F.lit(0))).first()[0]
+    least, most = SHARD_CHARS
+    shards = _shard_numbers(spark, max(1, min(spark.sparkContext.defaultParallelism, -(-size // least)), -(-size // most)))
+    blocks = count_blocks(clean.select(key, "clean"), key, shards, stop_words, shard_rows)
+    # Blocks list their new terms in the order of places; a shard's blocks follow each other by their first document.
+    before = F.sum(F.size("new")).over(Window.partitionBy("shard").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    placed = blocks.select("shard", F.coalesce(before, F.lit(0)).alias("_before"), "new").select(
+        "shard", "_before", F.posexplode("new").alias("_i", "term")).select("shard", (F.col("_before") + F.col("_i")).alias("place"), "term")
+    # Terms of documents without a key have a number and a first weight, as they have counts.
+    unkeyed = term_counts(clean.filter(F.col(key).isNull()), "clean", key, stop_words).select("term")
+    dictionary = number_terms(placed.select("term").unionByName(unkeyed), "term")
+    vocabulary = materialize_buckets(
+        placed.join(dictionary, "term").select("shard", "place", "term_id").repartition(4 * len(shards), "term_id"), "shard-terms", 4 * len(shards), "term_id")
 
     def first(batches):
         for batch in batches:
@@ -160,45 +250,35 @@ def fit_topics(
     raw = materialize(dictionary.select("term_id").mapInArrow(first, f"term_id long, {weights}"), "topic-start")
     started = raw.agg(F.count("*").alias("n"), *[F.sum(f"p{t}").alias(f"p{t}") for t in range(k)]).first()  # one row of sums
     phi = raw.select("term_id", *[(F.col(f"p{t}") / (started[f"p{t}"] or 1.0)).alias(f"p{t}") for t in range(k)])
-    theta = shards.select("shard").limit(0).withColumn("theta", F.lit(None).cast("binary"))
+    left = blocks.select("shard", "first", "n_terms", "terms", "ends", "columns", "tf")
+    theta = None
     steps = []
     for step in range(iterations):
-        out = _em_step(shards, vocabulary, theta, phi, k, alpha)
+        right = vocabulary.join(phi, "term_id").select("shard", "place", "term_id", *[f"p{t}" for t in range(k)])
+        if theta is not None:
+            right = right.unionByName(theta.select("shard", "place", F.lit(None).cast("long").alias("term_id"), *[F.col(f"s{t}").alias(f"p{t}") for t in range(k)]))
+        out = _em_step(left, right, k, alpha)
         prior = phi.select(sum((F.sum(F.log(f"p{t}")) for t in range(k)), F.lit(0.0)) * beta)
         steps.append(out.agg(F.sum("fit").alias("log_likelihood"), F.sum("prior").alias("_a")).select(
             F.lit(step).alias("step"), "log_likelihood", (F.col("log_likelihood") + F.col("_a") + prior.scalar()).alias("objective")
         ))
-        theta = out.filter("theta is not null").select("shard", "theta")
+        theta = out.filter("shard is not null")
         phi = _weights_after(out, k, beta, started["n"])
     fit = steps[0]
     for more in steps[1:]:
         fit = fit.unionByName(more)
     topics = F.explode(F.arrays_zip(F.array(*map(F.lit, range(k))).alias("topic"), F.array(*[f"p{t}" for t in range(k)]).alias("weight")))
     words = phi.join(dictionary, "term_id").select(F.col("term").alias("word"), topics.alias("_t")).select("_t.topic", "word", "_t.weight")
-    shares = _document_shares(shards, theta, names, clean, key, k)
+    shares = _document_shares(blocks, theta, clean, key, k)
     return TopicModel(materialize(words, "topic_words"), materialize(shares, "topic_shares"), clean, fit)
 
 
-def _shard_terms(batches):
-    for batch in batches:
-        for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("terms").to_pylist()):
-            terms = np.frombuffer(raw, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), shard)), pa.array(terms)], names=["shard", "term_id"])
-
-
-def _document_shares(shards: DataFrame, theta: DataFrame, names: DataFrame, clean: DataFrame, key: str, k: int) -> DataFrame:
+def _document_shares(blocks: DataFrame, theta: DataFrame, clean: DataFrame, key: str, k: int) -> DataFrame:
     """(key, topic, share) of every document with at least one term."""
-    def run(batches):
-        for batch in batches:
-            for docs, raw in zip(batch.column("docs").to_pylist(), batch.column("theta").to_pylist()):
-                no = np.frombuffer(docs, "<i8")
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(no, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(no))), pa.array(np.frombuffer(raw, "<f8")),
-                ], names=["doc_no", "topic", "share"])
-
-    listed = shards.select("shard", "docs").join(theta, "shard").select("docs", "theta").mapInArrow(run, "doc_no long, topic int, share double")
-    ids = names.join(clean.select(key, F.col(key).cast("string").alias("doc")), "doc").select("doc_no", key)
-    return listed.join(ids, "doc_no").select(key, "topic", "share")
+    listed = blocks.select("shard", "first", F.posexplode("docs").alias("_i", key)).select("shard", (F.col("first") + F.col("_i")).alias("place"), key)
+    shares = F.posexplode(F.array(*[f"s{t}" for t in range(k)])).alias("topic", "share")
+    # A key of several cleaned texts is listed as often.
+    return listed.join(theta, ["shard", "place"]).join(clean.select(key), key).select(key, shares)
 
 
 def topic_export(model: TopicModel, n: int = 10) -> DataFrame:
@@ -235,8 +315,9 @@ def topic_insights(
     if excerpt_length is not None:
         cut = F.concat(F.substring(text, 1, excerpt_length), F.lit("..."))
         excerpt = F.when(F.length(text) > excerpt_length, cut).otherwise(text)
-    doc_list = best.join(
-        docs.select(key, "title", F.col("date_of_report").cast("string").alias("date"), excerpt.alias("summary")), key
+    # At most ``n_docs`` rows a topic travel to the texts, not the texts to them.
+    doc_list = docs.select(key, "title", F.col("date_of_report").cast("string").alias("date"), excerpt.alias("summary")).join(
+        F.broadcast(best), key
     ).groupBy("topic").agg(F.sort_array(F.collect_list(F.struct(
         "rank", key, "title", "date", F.col("share").alias("relevance"), "summary"
     ))).alias("documents"))

@@ -65,3 +65,12 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_buckets(df, name: str, buckets: int, column: str):
+    """Like ``materialize``, dealt into buckets by ``column``, so that joins and groups by it need not shuffle the table again."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    made = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.mode("error").format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(made)
+    return spark.read.table(made)

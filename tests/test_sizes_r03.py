@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from reportloom.functions.text import split_sentences
-from reportloom.operators import annotate as N, cluster as K
+from reportloom.operators import annotate as N, cluster as K, topics as O
+from reportloom.streaming import jobs
 
 
 def executed(df):
@@ -64,3 +65,29 @@ def test_keys_with_several_labels_keep_their_lengths(spark):
     assert {(r.record_id, r.other): round(r.dot, 6) for r in dots.collect() if r.record_id == 1} == {
         (1, "a"): round(0.6 * 1.2 / 3 + 0.8 * 2.6 / 3, 6), (1, "b"): 0.2}
     assert {r.documents for r in K.cluster_quality(weights, labels).collect()} == {6}
+
+
+def test_counts_of_topics_stay_where_they_are(spark):
+    rows = [(i, " ".join(f"word{chr(97 + (i * j) % 23)}" for j in range(12))) for i in range(40)] + [(3, "worda wordzz"), (None, "wordb wordyy")]
+    texts = spark.createDataFrame(rows, "record_id int, clean string")
+    shards = O._shard_numbers(spark, 3)
+    assert spark.createDataFrame([(s,) for s in shards], "shard long").repartition(3, "shard").selectExpr("spark_partition_id() AS p").distinct().count() == 3
+    blocks = O.count_blocks(texts, "record_id", shards, (), block_rows=60)
+    assert blocks.count() > 3
+    keys = [r.k for r in blocks.select(F.explode("docs").alias("k")).collect()]
+    assert sorted(keys) == list(range(40))  # a key of two texts is one document, a text without one is none
+    assert {r.t for r in blocks.select(F.explode("new").alias("t")).collect()} == {w for k, t in rows if k is not None for w in t.split()}
+    right = spark.createDataFrame([(s, 0, 0, 1.0) for s in shards], "shard long, place long, term_id long, p0 double")
+    grouped = blocks.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(lambda a, b: a.select(["shard"]), "shard long")
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the weights, not the blocks
+
+
+def test_all_tasks_work_on_a_batch_of_one_file(spark, tmp_path):
+    arriving = spark.range(1000).selectExpr("id AS record_id", "concat('Report ', id) AS title", "'Ref: 2020-0001' AS content")
+    arriving.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = jobs.report_stream(spark, f"{tmp_path}/in", arriving.schema)
+    jobs.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/state", lambda b: b.withColumn("_task", F.spark_partition_id())).awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.count() == 1000 and found.select("record_id").distinct().count() == 1000
+    assert found.select("_task").distinct().count() >= spark.sparkContext.defaultParallelism
