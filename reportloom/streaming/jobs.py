@@ -28,10 +28,11 @@ def ingest(
     """Process each batch and write it below ``target``, one folder per batch.
 
     A batch that is run again after a failure replaces its own folder, so no row
-    is written twice.
+    is written twice. Rows of a batch are dealt out to all tasks, so a few large files are no few long tasks.
     """
     def save(batch: DataFrame, number: int) -> None:
-        process(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        tasks = 2 * batch.sparkSession.sparkContext.defaultParallelism
+        process(batch.repartition(tasks)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
