@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,6 +64,11 @@ MODELING_NOISE = [
     r"(?U)\b(?:regulation|paragraph|section|subsection|article)\s+\d+\b",
     r"(?U)\b(?:coroner|inquest|hearing|evidence|witness|statement|report|dated|signed)\b",
 ]
+# What a text must hold for the pattern of the same place to be found in it; None: a digit.
+MODELING_HINTS = [
+    ["http", "www"], ["@"], None, None, [":"], ["/"], ["ref", "case"], ["regulation", "paragraph", "section", "article"],
+    ["coroner", "inquest", "hearing", "evidence", "witness", "statement", "report", "dated", "signed"],
+]
 NAME_LABELS = [
     r"(?i)^deceased name:?\s*",
     r"(?i)^coroner'?s?\s*(?:name)?:?\s*",
@@ -73,10 +79,17 @@ NAME_LABELS = [
 ]
 
 
+def _may_hold(text: Column, hints: Sequence[str] | None) -> Column:
+    if hints is None:
+        return F.rlike(text, F.lit(r"\p{Nd}"))
+    return reduce(Column.__or__, [F.contains(text, F.lit(h)) for h in hints])
+
+
 def clean_text_for_modeling(value: ColumnOrName) -> Column:
     """Lower-case letters only, words over two characters, else ''."""
     text = F.lower(F.coalesce(as_col(value), F.lit("")))
-    text = drop_all(text, MODELING_NOISE)
+    for pattern, hints in zip(MODELING_NOISE, MODELING_HINTS, strict=True):
+        text = let(text, lambda t: F.when(_may_hold(t, hints), F.regexp_replace(t, pattern, "")).otherwise(t))  # noqa: B023
     text = F.regexp_replace(text, "[^a-z]+", " ")
     kept = F.filter(F.split(text, " "), lambda w: F.length(w) > 2)
     return let(kept, lambda w: F.when(F.size(w) >= 3, F.array_join(w, " ")).otherwise(""))

@@ -7,13 +7,13 @@ from itertools import product
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import clean_text_for_modeling, split_sentences, tokens
 from reportloom.operators.small import top_n_per_group, with_each
-from reportloom.operators.vectors import bm25, idf_weight, projected, tfidf, unit_length
+from reportloom.operators.vectors import bm25, idf_weight, projected, tfidf
 from reportloom.operators.ward import MICRO, cluster_features, micro_clusters, ward_cuts, ward_merges
 from reportloom.session import materialize
 
@@ -31,12 +31,12 @@ def model_vectors(
     ``weighting`` is ``tfidf``, with the schemes given, or ``bm25``. Terms are not hashed to places; documents without a term are left out.
     """
     if weighting == "tfidf":
-        weights = tfidf(docs, text, key, stop_words, min_df, tf_scheme=tf_scheme, idf_scheme=idf_scheme)
+        weights = tfidf(docs, text, key, stop_words, min_df, tf_scheme=tf_scheme, idf_scheme=idf_scheme, norm=False)
     elif weighting == "bm25":
-        weights = unit_length(bm25(docs, text, key, stop_words, min_df), key)
+        weights = bm25(docs, text, key, stop_words, min_df)
     else:
         raise ValueError(f"unknown weighting: {weighting}")
-    return projected(weights, dims, key).select(key, array_to_vector("vector").alias("features"))
+    return projected(weights, dims, key, unit=True).select(key, array_to_vector("vector").alias("features"))
 
 
 def _fit(vectors: DataFrame, k: int, method: str, seed: int) -> DataFrame:
@@ -103,7 +103,8 @@ def cluster_documents(docs: DataFrame, text: str = "content", key: str = "record
     vector_options = {
         n: options.pop(n) for n in ("min_df", "dims", "stop_words", "weighting", "tf_scheme", "idf_scheme") if n in options
     }
-    clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
+    # Written: the terms and the number of documents both read it, and the texts are cleaned once.
+    clean = materialize(docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''"), "clean")
     return choose_clusters(model_vectors(clean, "clean", key, **vector_options), key=key, **options)
 
 
@@ -113,18 +114,22 @@ def optimise_parameters(
 ) -> DataFrame:
     """Score every parameter combination: silhouette − 0.1·|clusters − target|.
 
-    Vectors are built once per number of directions and labels once per (directions,
+    Vectors are built once, for the most directions; fewer are their first numbers. Labels are made once per (directions,
     target); combinations that share them reuse the result.
     """
     grid = grid or {"target": [3, 5, 7, 10], "min_cluster_size": [2, 3, 5], "dims": [64, 128, 256]}
     names = ["target", "min_cluster_size", "dims"]
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
     clean = materialize(clean, "clean")
-    vectors, fitted, rows = {}, {}, []
+    most = max(grid["dims"])
+    widest = materialize(model_vectors(clean, "clean", key, most), "vectors")
+    vectors, fitted, rows = {most: widest}, {}, []
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     for target, smallest, dims in product(*[grid[n] for n in names]):
         if dims not in vectors:
-            vectors[dims] = materialize(model_vectors(clean, "clean", key, dims), "vectors")
+            first = F.slice(vector_to_array("features"), 1, dims)
+            scaled = F.transform(first, lambda x: x * float(most / dims) ** 0.5)
+            vectors[dims] = materialize(widest.select(key, array_to_vector(scaled).alias("features")), "vectors")
         if (dims, target) not in fitted:
             labels = _fit(vectors[dims], target, "kmeans", seed)
             sizes = [r["n"] for r in labels.groupBy("cluster").agg(F.count("*").alias("n")).collect()]

@@ -61,7 +61,8 @@ def vocabulary(
 
 
 def in_vocabulary(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    return counts.join(vocab, "term")
+    # A task looks up its part of the vocabulary, a row per term, so the counts need not be sorted by term.
+    return counts.join(vocab.hint("shuffle_hash"), "term")
 
 
 def tf_weight(scheme: str, key: str = "record_id") -> Column:
@@ -155,35 +156,61 @@ def _signs(hashes: np.ndarray, dims: int) -> np.ndarray:
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1)
-            out[:, k:k + 64] = bits[:, :dims - k] * 2.0 - 1.0
+            out[:, k:k + 64] = bits[:, :dims - k]
+    out *= 2.0
+    out -= 1.0
     return out
 
 
-def projected(weights: DataFrame, dims: int = 256, key: str = "record_id") -> DataFrame:
+def projected(weights: DataFrame, dims: int = 256, key: str = "record_id", unit: bool = False) -> DataFrame:
     """``(key, vector)``: signed random projections of all weights of a document, ``dims`` numbers.
 
     No term is left out or shares a place with another: each has its own signs in all directions. Dot products
     of unit vectors keep to about 1 / sqrt(dims). Directions are hashes, so nothing is fitted or broadcast.
+    ``unit`` scales the weights of a document to length one on the way. Fewer ``dims`` give the first numbers of more, but for the scale.
     """
-    listed = weights.groupBy(key).agg(F.collect_list(F.xxhash64("term")).alias("_h"), F.collect_list(F.col("weight")).alias("_w"))
+    rows = weights.select(key, F.xxhash64("term").alias("_h"), F.col("weight").cast("double").alias("_w"))
+    if unit:
+        rows = rows.repartition(key).sortWithinPartitions(key)
+    else:  # weights that were scaled per document are dealt out and sorted by key already; a window keeps them where they are
+        rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+
+    def made(keys, sums, squares):
+        scale = np.sqrt(np.where(squares > 0, squares, 1.0)) if unit else np.ones(len(keys))
+        vector = (sums / (np.sqrt(dims) * scale)[:, None]).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * dims), pa.array(vector))
+        return pa.RecordBatch.from_arrays([keys, lists], names=[key, "vector"])
 
     def run(batches):
+        open_key = None  # the last document may go on in the next batch
         for batch in batches:
-            hashes, own = batch.column("_h"), batch.column("_w")
-            ends = np.asarray(hashes.offsets)
-            flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            weight = own.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            edges = ends - ends[0]
-            out = np.zeros((len(hashes), dims), np.float64)
-            for k in range(len(hashes)):
-                for low in range(edges[k], edges[k + 1], 1 << 14):
-                    at = slice(low, min(low + (1 << 14), edges[k + 1]))
-                    out[k] += weight[at] @ _signs(flat[at], dims)
-            out /= np.sqrt(dims)
-            vector = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(key), vector], names=[key, "vector"])
-
-    return listed.mapInArrow(run, f"`{key}` {weights.schema[key].dataType.simpleString()}, vector array<double>")
+            if not batch.num_rows:
+                continue
+            keys, hashes = batch.column(0), batch.column(1).to_numpy().astype(np.int64)
+            weight = batch.column(2).fill_null(0.0).to_numpy(zero_copy_only=False)
+            same = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(same)) + 1, [len(same)]])
+            sums, squares = np.zeros((len(edges) - 1, dims)), np.add.reduceat(weight * weight, edges[:-1])
+            short = weight.astype(np.float32)
+            for low in range(0, len(same), 1 << 14):
+                high = min(low + (1 << 14), len(same))
+                signs = _signs(hashes[low:high], dims)
+                for k in range(np.searchsorted(edges, low, "right") - 1, np.searchsorted(edges, high)):
+                    at = slice(max(edges[k], low), min(edges[k + 1], high))
+                    sums[k] += short[at] @ signs[at.start - low:at.stop - low]
+            keys = keys.take(pa.array(edges[:-1]))
+            if open_key is not None and keys[0].as_py() == open_key[0][0].as_py():
+                sums[0] += open_key[1][0]
+                squares[0] += open_key[2][0]
+            elif open_key is not None:
+                yield made(*open_key)
+            if len(keys) > 1:
+                yield made(keys[:-1], sums[:-1], squares[:-1])
+            open_key = keys[-1:], sums[-1:], squares[-1:]
+        if open_key is not None:
+            yield made(*open_key)
+
+    return rows.mapInArrow(run, f"`{key}` {weights.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 def rank_documents(weights: DataFrame, query: Sequence[str], k: int = 10, key: str = "record_id") -> DataFrame:
