@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportloom.llm.common import text_slices, words_of
-from reportloom.session import materialize
+from reportloom.session import large_rows, materialize
 
 WINDOW = 10
 REACH = 20  # words on either side of the rarest term that count as near
 BLOCK_WORDS = 200_000  # benchmark words that travel to the tasks at once
 SLICE = 4 << 20  # bytes of text in a segment; a longer text is one by itself
+ROW_GROUP = 16 << 20  # bytes of segments that a writer holds at once
 SEGMENT = "segment long, doc_id array<long>, n_words array<long>, terms array<string>, counts binary, positions binary"
 BLOCK = "block long, items array<string>, n_words array<int>, terms array<string>, codes binary"
 MATCH = "segment long, doc_no int, item string, kind string, start long, stop long"
@@ -81,7 +82,8 @@ def build_index(documents: DataFrame) -> DataFrame:
                 at += 1
 
     texts = _texts(documents, F.col("doc_id").cast("long"), "doc_id")
-    return materialize(texts.mapInArrow(run, SEGMENT), "positional-index")
+    with large_rows(documents.sparkSession, 256):
+        return materialize(texts.mapInArrow(run, SEGMENT), "positional-index", **{"parquet.block.size": str(ROW_GROUP)})
 
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -294,7 +296,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, block_words: int =
     are joined to it by segment and place, so no id or passage gathers rows.
     """
     index = build_index(documents)
-    matches = find_matches(index, benchmark_blocks(benchmark, block_words))
+    # Written here, so that few segments are read at once or wait on their way to Python.
+    with large_rows(index.sparkSession):
+        matches = materialize(find_matches(index, benchmark_blocks(benchmark, block_words)), "matches")
     per_document = matches.groupBy("segment", "doc_no").agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "phrase", F.struct("start", "stop")))).alias("spans"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "phrase", F.col("item")))).alias("items"),

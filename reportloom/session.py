@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -55,16 +56,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str):
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the jobs run inside; what was set before holds again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+# What a finished write has shuffled is not needed again: what follows reads the files.
+WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def large_rows(spark: SparkSession, rows: int = 4, size: int = 8 << 20):
+    """Settings for rows of some megabytes: few of them are read at once or travel to Python in one batch."""
+    return settings(spark, {"spark.sql.parquet.columnarReaderBatchSize": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
+
+
+def materialize(df, name: str, **options):
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of a table that several jobs reuse; unlike a cached block
-    the files outlive lost executors.
+    the files outlive lost executors. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, WRITES):
+        df.write.mode("error").options(compression="zstd", **options).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def discard(written) -> None:
+    """Delete the files of a table made by ``materialize`` that nobody reads any more."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize_buckets(df, name: str, buckets: int, column: str):
@@ -72,5 +105,6 @@ def materialize_buckets(df, name: str, buckets: int, column: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     made = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.mode("error").format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(made)
+    with settings(spark, WRITES):
+        df.write.mode("error").format("parquet").bucketBy(buckets, column).options(path=path, compression="zstd").saveAsTable(made)
     return spark.read.table(made)
