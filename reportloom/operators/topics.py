@@ -15,7 +15,7 @@ from reportloom.operators.dictionary import number_terms
 from reportloom.operators.search import occurrences
 from reportloom.operators.small import top_n_per_group
 from reportloom.operators.vectors import term_counts
-from reportloom.session import materialize, materialize_buckets
+from reportloom.session import discard, materialize, materialize_buckets
 
 
 class TopicModel:
@@ -66,8 +66,9 @@ def expectation(
     return theta, counts, fit
 
 
-SHARD_ROWS = 1_000_000  # counts of a block, about; a document is never split
-SHARD_CHARS = 16_000_000, 400_000_000  # characters of a shard, about: no fewer for the sake of more tasks, no more for memory
+SHARD_ROWS = 250_000  # counts of a block, about; a document is never split
+SHARD_CHARS = 16_000_000, 64_000_000  # characters of a shard, about: no fewer for the sake of more tasks, no more for memory
+SHARD_TOPICS = 5  # with more topics than these a shard has fewer characters
 BLOCK = "shard long, first long, docs array<{key}>, n_terms long, terms binary, ends binary, columns binary, tf binary, new array<string>"
 
 
@@ -213,9 +214,9 @@ def fit_topics(
     """Topics of the cleaned corpus by EM with Dirichlet priors; equal cleaned texts count once.
 
     Every term has a number and weights of its own. Counts are blocks of documents in as many shards as tasks run at
-    once; they are written by shard and never shuffled. A step brings the weights of its terms and the shares of its documents
+    once, or more, as a task holds a shard; they are written by shard and never shuffled. A step brings the weights of its terms and the shares of its documents
     to each shard, and expected counts go back to be summed per term, so weights are a table partitioned by term and
-    neither vocabulary nor documents reach the driver. ``alpha`` and ``beta`` are added to the counts of a topic in a document
+    neither vocabulary nor documents reach the driver. Tables of a step are deleted when the next one is written. ``alpha`` and ``beta`` are added to the counts of a topic in a document
     and of a term in a topic.
     """
     clean = docs.select(key, clean_text_for_modeling(text).alias("clean")).filter("clean <> ''")
@@ -228,7 +229,7 @@ def fit_topics(
     clean = materialize(clean, "clean")
     spark = clean.sparkSession
     size = clean.agg(F.coalesce(F.sum(F.length("clean")), F.lit(0))).first()[0]
-    least, most = SHARD_CHARS
+    least, most = SHARD_CHARS[0], SHARD_CHARS[1] * SHARD_TOPICS // max(k, SHARD_TOPICS)
     shards = _shard_numbers(spark, max(1, min(spark.sparkContext.defaultParallelism, -(-size // least)), -(-size // most)))
     blocks = count_blocks(clean.select(key, "clean"), key, shards, stop_words, shard_rows)
     # Blocks list their new terms in the order of places; a shard's blocks follow each other by their first document.
@@ -252,21 +253,20 @@ def fit_topics(
     phi = raw.select("term_id", *[(F.col(f"p{t}") / (started[f"p{t}"] or 1.0)).alias(f"p{t}") for t in range(k)])
     left = blocks.select("shard", "first", "n_terms", "terms", "ends", "columns", "tf")
     theta = None
-    steps = []
+    steps, last = [], raw
     for step in range(iterations):
         right = vocabulary.join(phi, "term_id").select("shard", "place", "term_id", *[f"p{t}" for t in range(k)])
         if theta is not None:
             right = right.unionByName(theta.select("shard", "place", F.lit(None).cast("long").alias("term_id"), *[F.col(f"s{t}").alias(f"p{t}") for t in range(k)]))
         out = _em_step(left, right, k, alpha)
-        prior = phi.select(sum((F.sum(F.log(f"p{t}")) for t in range(k)), F.lit(0.0)) * beta)
-        steps.append(out.agg(F.sum("fit").alias("log_likelihood"), F.sum("prior").alias("_a")).select(
-            F.lit(step).alias("step"), "log_likelihood", (F.col("log_likelihood") + F.col("_a") + prior.scalar()).alias("objective")
-        ))
+        prior = phi.select(sum((F.sum(F.log(f"p{t}")) for t in range(k)), F.lit(0.0)) * beta).first()[0]  # one number
+        found = out.agg(F.sum("fit").alias("fit"), F.sum("prior").alias("prior")).first()  # one row of sums
+        steps.append((step, found["fit"], None if found["fit"] is None or prior is None else found["fit"] + found["prior"] + prior))
         theta = out.filter("shard is not null")
         phi = _weights_after(out, k, beta, started["n"])
-    fit = steps[0]
-    for more in steps[1:]:
-        fit = fit.unionByName(more)
+        discard(last)  # weights and shares come from this step now
+        last = out
+    fit = spark.createDataFrame(steps, "step int, log_likelihood double, objective double")
     topics = F.explode(F.arrays_zip(F.array(*map(F.lit, range(k))).alias("topic"), F.array(*[f"p{t}" for t in range(k)]).alias("weight")))
     words = phi.join(dictionary, "term_id").select(F.col("term").alias("word"), topics.alias("_t")).select("_t.topic", "word", "_t.weight")
     shares = _document_shares(blocks, theta, clean, key, k)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reportloom import session as S
 from reportloom.llm import decontamination as D
+from reportloom.operators import topics as O
 
 
 def held_shuffles(spark):
@@ -48,3 +49,19 @@ def test_few_segments_are_read_at_once(spark, monkeypatch):
     assert int(seen["matches"][0]) <= 8 and int(seen["matches"][1]) <= 16 << 20 and int(seen["positional-index"][1]) <= 16 << 20
     assert int(seen["positional-index"][2]["parquet.block.size"]) <= 32 << 20
     assert len(rows) == 200 and {r.doc_id for r in rows if r.contaminated} >= {5}
+
+
+def test_shards_of_topics_are_bounded_and_steps_leave_no_tables(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"word{chr(97 + (i * j) % 23)}" for j in range(12))) for i in range(40)], "record_id int, content string")
+    monkeypatch.setattr(S, "scratch_root", lambda spark: str(tmp_path))
+    whole = O.fit_topics(docs, 2, iterations=3)
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("topic-s")]) <= 1
+    monkeypatch.setattr(O, "SHARD_CHARS", (16_000_000, 300))
+    made, numbers = [], O._shard_numbers
+    monkeypatch.setattr(O, "_shard_numbers", lambda spark, n: made.append(n) or numbers(spark, n))
+    parts = O.fit_topics(docs, 2, iterations=3)
+    assert made[0] > 5 and O.SHARD_ROWS <= 250_000
+    weights = [{(r.topic, r.word): round(r.weight, 9) for r in m.words.collect()} for m in (whole, parts)]
+    assert weights[0] == weights[1] and len(weights[0]) > 10
+    fits = [[round(r.objective, 6) for r in m.fit.orderBy("step").collect()] for m in (whole, parts)]
+    assert fits[0] == fits[1] == sorted(fits[0]) and len(fits[0]) == 3
