@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import clean_text_for_modeling, split_sentences, tokens
+from reportloom.operators import blocks as B
 from reportloom.operators.small import top_n_per_group, with_each
 from reportloom.operators.vectors import bm25, idf_weight, projected, tfidf, unit_length
 from reportloom.operators.ward import MICRO, cluster_features, micro_clusters, ward_cuts, ward_merges
@@ -142,7 +143,7 @@ def optimise_parameters(
     ).orderBy(F.desc("score"), "target", "min_cluster_size", "dims")
 
 
-# --- description of given clusters: weights (key, term, weight), labels (key, cluster)
+# --- description of given clusters: weights (key, term, weight) or blocks of them, labels (key, cluster)
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:
     """Size, share and balance ratio of every cluster."""
@@ -156,38 +157,48 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
     })
 
 
-def members(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+Weights = DataFrame | B.WeightBlocks
+
+
+def members(weights: Weights, labels: DataFrame, key: str = "record_id") -> Weights:
     """``(key, cluster, times, term, weight)``: the weights of labelled documents, written once for all steps that read them.
 
     ``times`` is the number of labels of a key, as often as its weights are listed. Weights that were just scaled
     per document are dealt out by key already, so that this join moves labels only. What was made here may be handed
-    on as the weights of the functions below.
+    on as the weights of the functions below. Blocks get the labels of their documents instead, no weight is moved.
     """
+    if isinstance(weights, B.WeightBlocks):
+        return weights if weights.placed else B.place_labels(weights, labels)
     if "times" in weights.columns:
         return weights
     counted = labels.withColumn("times", F.count("*").over(Window.partitionBy(key)))
     return materialize(weights.join(counted.select(key, "cluster", "times"), key).select(key, "cluster", "times", "term", "weight"), "members")
 
 
-def centroids(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+def centroids(weights: Weights, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Mean weight per cluster and term; documents without the term count as 0."""
+    if isinstance(weights, B.WeightBlocks):
+        return _centroids(members(weights, labels, key), labels)
     placed = weights if "times" in weights.columns else weights.join(labels, key)
     return _centroids(placed, labels)
 
 
-def _centroids(placed: DataFrame, labels: DataFrame) -> DataFrame:
+def _centroids(placed: Weights, labels: DataFrame) -> DataFrame:
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("size"))
-    sums = placed.groupBy("cluster", "term").agg(
-        F.sum("weight").alias("total"), F.count("*").alias("docs")
-    )
+    if isinstance(placed, B.WeightBlocks):
+        sums = B.cluster_sums(placed)
+    else:
+        sums = placed.groupBy("cluster", "term").agg(
+            F.sum("weight").alias("total"), F.count("*").alias("docs")
+        )
     return sums.join(F.broadcast(sizes), "cluster").select(  # a row per cluster
         "cluster", "term", (F.col("total") / F.col("size")).alias("centroid"), "docs", "size"
     )
 
 
-def cluster_terms(weights: DataFrame, labels: DataFrame, n: int = 20, key: str = "record_id") -> DataFrame:
+def cluster_terms(weights: Weights, labels: DataFrame, n: int = 20, key: str = "record_id") -> DataFrame:
     """Top terms: centroid weight × frequency in the cluster over frequency overall."""
-    center = centroids(weights, labels, key)
+    center = materialize(centroids(weights, labels, key), "centroids")
     n_docs = labels.select(F.count("*")).scalar()
     totals = center.groupBy("term").agg(F.sum("docs").alias("term_docs"))
     in_cluster = F.col("docs") / F.col("size")
@@ -201,24 +212,32 @@ def cluster_terms(weights: DataFrame, labels: DataFrame, n: int = 20, key: str =
     return top_n_per_group(scored, "cluster", n, F.desc("score"), F.asc("term"))
 
 
-def representative_documents(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+def representative_documents(weights: Weights, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Cosine of each document to the centroid of its cluster."""
     placed = members(weights, labels, key)
     center = materialize(_centroids(placed, labels).select("cluster", "term", "centroid"), "centroids")
     lengths = center.groupBy("cluster").agg(
         F.sqrt(F.sum(F.col("centroid") * F.col("centroid"))).alias("length")
     )
-    dots = placed.drop("times").join(center, ["cluster", "term"]).groupBy(key, "cluster").agg(
-        F.sum(F.col("weight") * F.col("centroid")).alias("dot"),
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own"),
-    )
+    if isinstance(placed, B.WeightBlocks):
+        # A key with several labels in one cluster lists its weights as often.
+        times = labels.groupBy(key, "cluster").agg(F.count("*").alias("_n"))
+        found = B.products(placed, center, own_only=True).withColumnRenamed("other", "cluster").join(B.squared_lengths(placed), key)
+        dots = found.join(times, [key, "cluster"]).select(
+            key, "cluster", (F.col("dot") * F.col("_n")).alias("dot"), F.sqrt(F.col("_own") * F.col("_n")).alias("own")
+        )
+    else:
+        dots = placed.drop("times").join(center, ["cluster", "term"]).groupBy(key, "cluster").agg(
+            F.sum(F.col("weight") * F.col("centroid")).alias("dot"),
+            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own"),
+        )
     similarity = F.try_divide(F.col("dot"), F.col("own") * F.col("length"))
     return labels.join(dots, [key, "cluster"], "left").join(F.broadcast(lengths), "cluster", "left").select(
         key, "cluster", F.round(F.coalesce(similarity, F.lit(0.0)), 4).alias("similarity")
     )
 
 
-def cohesion(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+def cohesion(weights: Weights, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Mean cosine inside each cluster over all pairs, diagonal included.
 
     For unit vectors that is the squared length of their mean, so no pair is formed;
@@ -232,7 +251,7 @@ def cohesion(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> D
     )
 
 
-def _distances(placed: DataFrame, center: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _distances(placed: Weights, center: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Squared length of every document; per cluster: size, squared length of the mean, mean squared length; and products.
 
     The products ``(key, other, dot)`` of documents with the means of clusters are over shared terms. They are summed in
@@ -240,11 +259,15 @@ def _distances(placed: DataFrame, center: DataFrame, labels: DataFrame, key: str
     """
     # A key with several labels lists its weights as often.
     once = F.col("weight") / F.col("times")
-    own = labels.join(placed.groupBy(key).agg(F.sum(F.col("weight") * once).alias("_own")), key, "left")
+    in_blocks = isinstance(placed, B.WeightBlocks)
+    squares = B.squared_lengths(placed) if in_blocks else placed.groupBy(key).agg(F.sum(F.col("weight") * once).alias("_own"))
+    own = labels.join(squares, key, "left")
     own = materialize(own.select(key, "cluster", F.coalesce("_own", F.lit(0.0)).alias("own")), "lengths")
     norms = center.groupBy("cluster").agg(F.sum(F.col("centroid") * F.col("centroid")).alias("norm"))
     stats = own.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("own").alias("mean_own"))
     stats = materialize(stats.join(norms, "cluster", "left").na.fill(0.0, ["norm"]), "cluster-stats")
+    if in_blocks:
+        return own, stats, B.products(placed, center)
     # The means of a term are one list of at most a row per cluster, so a weight travels once, whatever the number of clusters.
     listed = center.groupBy("term").agg(F.collect_list(F.struct(F.col("cluster").alias("other"), "centroid")).alias("_means"))
     met = placed.select(key, "term", once.alias("_once")).join(listed, "term")
@@ -252,7 +275,7 @@ def _distances(placed: DataFrame, center: DataFrame, labels: DataFrame, key: str
     return own, stats, materialize(dots, "products")
 
 
-def silhouette(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+def silhouette(weights: Weights, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Silhouette of every document of a given labelling, in squared distances, without pairs of documents.
 
     The mean squared distance to a cluster follows from its mean and mean squared length. Documents meet clusters on
@@ -287,7 +310,7 @@ def _silhouette(own: DataFrame, stats: DataFrame, dots: DataFrame, key: str) ->
     return scored.select(key, "cluster", value.alias("silhouette"))
 
 
-def cluster_quality(weights: DataFrame, labels: DataFrame, key: str = "record_id") -> DataFrame:
+def cluster_quality(weights: Weights, labels: DataFrame, key: str = "record_id") -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin index and mean silhouette from per-cluster sums."""
     placed = members(weights, labels, key)
     center = materialize(_centroids(placed, labels), "centroids")

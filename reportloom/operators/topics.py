@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import clean_text_for_modeling, tokens
+from reportloom.operators.blocks import numbers, small
 from reportloom.operators.dictionary import number_terms
 from reportloom.operators.search import occurrences
 from reportloom.operators.small import top_n_per_group
@@ -78,16 +79,6 @@ def _shard_numbers(spark: SparkSession, n: int) -> list[int]:
     return [r["id"] for r in found.collect()]
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes as the largest needs; their width follows from their number."""
-    most = int(values.max(initial=0))
-    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
-
-
-def _numbers(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // n}")
-
-
 def count_blocks(texts: DataFrame, key: str, shards: Sequence[int], stop_words: Sequence[str], block_rows: int = SHARD_ROWS) -> DataFrame:
     """The sparse count matrix of ``(key, clean)``, in blocks of documents; shards of blocks share a numbering of their terms.
 
@@ -125,9 +116,9 @@ def count_blocks(texts: DataFrame, key: str, shards: Sequence[int], stop_words:
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int64()), pa.array([first], pa.int64()), one(keys),
-                pa.array([len(at)], pa.int64()), pa.array([_small(at)], pa.binary()),
+                pa.array([len(at)], pa.int64()), pa.array([small(at)], pa.binary()),
                 pa.array([np.bincount(cells // many, minlength=len(sizes)).cumsum().astype("<i8").tobytes()], pa.binary()),
-                pa.array([_small(cells % many)], pa.binary()), pa.array([_small(tf)], pa.binary()), one(new),
+                pa.array([small(cells % many)], pa.binary()), pa.array([small(tf)], pa.binary()), one(new),
             ], names=names)
 
         for batch in batches:
@@ -178,8 +169,8 @@ def _em_step(blocks: DataFrame, right: DataFrame, k: int, alpha: float) -> DataF
         for i, raw in enumerate(ends):
             upto = np.frombuffer(raw, "<i8")
             many, first = int(upto[-1]), left.column("first")[i].as_py()
-            columns, tf = (_numbers(left.column(c)[i].as_py(), many) for c in ("columns", "tf"))
-            terms = _numbers(left.column("terms")[i].as_py(), left.column("n_terms")[i].as_py()).astype(np.int64)
+            columns, tf = (numbers(left.column(c)[i].as_py(), many) for c in ("columns", "tf"))
+            terms = numbers(left.column("terms")[i].as_py(), left.column("n_terms")[i].as_py()).astype(np.int64)
             rows = np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))
             at = slice(first, first + len(upto))
             theta[at], found, likely = expectation(rows, columns.astype(np.int64), tf.astype(np.float64), own[at], weights[terms], alpha)

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
-from reportloom.operators import cluster as K, topics as O, vectors as X, ward as W
+from reportloom.operators import blocks as B, cluster as K, topics as O, vectors as X, ward as W
 from reportloom.plans.registry import query
 from reportloom.plans.tables import DOCS_SQL, docs, table
 from reportloom.plans.text_queries import SENTENCES_SQL, sql_list
@@ -40,9 +40,9 @@ def _weights(spark, d, tf="raw", idf="smooth"):
     return X.tfidf(docs(spark, d), tf_scheme=tf, idf_scheme=idf)
 
 
-def _stored_weights(spark, d):
-    """Weights as a written table, for queries that read them several times."""
-    return materialize(_weights(spark, d), "weights")
+def _blocks(spark, d):
+    """Weights in blocks of documents, for the description of clusters."""
+    return B.tfidf_blocks(docs(spark, d))
 
 
 def _labels(spark, d):
@@ -239,7 +239,7 @@ _TERMS = f"""{_CLUSTER}, sc AS (SELECT cluster, term, round(centroid * (docs::DO
 
 @query("x9_cluster_terms", f"WITH {_TERMS} SELECT * FROM terms")
 def _(spark, d):
-    return K.cluster_terms(_stored_weights(spark, d), _labels(spark, d))
+    return K.cluster_terms(_blocks(spark, d), _labels(spark, d))
 
 
 @query("x10_representative_documents", f"""
@@ -248,7 +248,7 @@ def _(spark, d):
     SELECT lab.doc_id, lab.cluster, coalesce(round(dot / (own * length), 4), 0) AS similarity FROM lab LEFT JOIN dots USING (doc_id, cluster) LEFT JOIN cl USING (cluster)
 """)
 def _(spark, d):
-    return _by_doc(K.representative_documents(_weights(spark, d), _labels(spark, d)))
+    return _by_doc(K.representative_documents(_blocks(spark, d), _labels(spark, d)))
 
 
 @query("j3_cluster_records", f"""
@@ -258,7 +258,7 @@ def _(spark, d):
     FROM docs JOIN lab ON lab.doc_id = record_id LEFT JOIN dots ON dots.doc_id = record_id LEFT JOIN cl ON cl.cluster = lab.cluster
 """)
 def _(spark, d):
-    best = K.representative_documents(_weights(spark, d), _labels(spark, d))
+    best = K.representative_documents(_blocks(spark, d), _labels(spark, d))
     return K.cluster_records(docs(spark, d).select("record_id", "title", "coroner_area"), best)
 
 
@@ -276,7 +276,7 @@ def _(spark, d):
     FROM size LEFT JOIN cen ON cen.cluster = size.cluster GROUP BY 1, 2
 """)
 def _(spark, d):
-    return K.cohesion(_stored_weights(spark, d), _labels(spark, d))
+    return K.cohesion(_blocks(spark, d), _labels(spark, d))
 
 
 @query("x12_cluster_quality", f"""
@@ -301,7 +301,7 @@ def _(spark, d):
       (SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 4) FROM sil) AS silhouette FROM s CROSS JOIN tot
 """)
 def _(spark, d):
-    return K.cluster_quality(_weights(spark, d), _labels(spark, d))
+    return K.cluster_quality(_blocks(spark, d), _labels(spark, d))
 
 
 @query("x12_document_silhouette", f"""
@@ -315,7 +315,7 @@ def _(spark, d):
     SELECT doc_id, cluster, round(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END, 4)::DOUBLE AS silhouette FROM sil
 """)
 def _(spark, d):
-    return _by_doc(_rounded(K.silhouette(_weights(spark, d), _labels(spark, d)), "silhouette"))
+    return _by_doc(_rounded(K.silhouette(_blocks(spark, d), _labels(spark, d)), "silhouette"))
 
 
 _BAND = "CASE WHEN size > 10 THEN ' This is a major theme appearing in ' || size || ' documents.' WHEN size > 5 THEN ' This theme appears in ' || size || ' documents.' ELSE ' This is a smaller theme with ' || size || ' documents.' END"
@@ -329,7 +329,7 @@ _BAND = "CASE WHEN size > 10 THEN ' This is a major theme appearing in ' || size
 """)
 def _(spark, d):
     labels = _labels(spark, d)
-    return K.cluster_summary(K.cluster_terms(_stored_weights(spark, d), labels), K.cluster_sizes(labels))
+    return K.cluster_summary(K.cluster_terms(_blocks(spark, d), labels), K.cluster_sizes(labels))
 
 
 @query("x14_extractive_summary", f"""
@@ -424,7 +424,7 @@ def _(spark, d):
 
 def _cluster_export(spark, d):
     r, labels = docs(spark, d), _labels(spark, d)
-    weights = K.members(_weights(spark, d), labels)
+    weights = K.members(_blocks(spark, d), labels)
     terms = materialize(K.cluster_terms(weights, labels), "cluster-terms")  # a few rows a cluster, read twice
     return K.cluster_export(
         K.cluster_summary(terms, K.cluster_sizes(labels)), terms, K.representative_documents(weights, labels), r)

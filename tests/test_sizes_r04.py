@@ -1,10 +1,11 @@
 """What steps leave on disk and hold in memory at once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from reportloom import session as S
 from reportloom.llm import decontamination as D
-from reportloom.operators import topics as O
+from reportloom.operators import blocks as B, cluster as K, topics as O, vectors as X
 
 
 def held_shuffles(spark):
@@ -65,3 +66,33 @@ def test_shards_of_topics_are_bounded_and_steps_leave_no_tables(spark, monkeypat
     assert weights[0] == weights[1] and len(weights[0]) > 10
     fits = [[round(r.objective, 6) for r in m.fit.orderBy("step").collect()] for m in (whole, parts)]
     assert fits[0] == fits[1] == sorted(fits[0]) and len(fits[0]) == 3
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_blocks_describe_clusters_like_long_weights(spark, monkeypatch, odd):
+    """Keys that repeat or are null, several or no labels of a key, texts without a term; blocks of few words, one cluster at once."""
+    rows = [(i, " ".join(f"w{'abc'[i % 3]}{(i * j) % 11}" for j in range(3 + i % 9))) for i in range(60)] + [(60, ""), (61, None), (62, "the of")]
+    labels = [(i, "xyz"[i % 3]) for i in range(63)]
+    if odd:
+        rows += [(3, "wa1 wa1 more"), (5, rows[5][1]), (None, "wa1 wb2 nobody"), (None, "wb2")]
+        labels += [(4, "y"), (4, "y"), (7, None), (8, "v"), (None, "x"), (99, "x")]
+        labels = labels[:30] + labels[31:]
+    docs = spark.createDataFrame(rows, "record_id int, content string").repartition(3)
+    labels = spark.createDataFrame(labels, "record_id int, cluster string")
+    monkeypatch.setattr(B, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(B, "PART_CLUSTERS", 1)
+    monkeypatch.setattr(B, "MOST_CELLS", 30)
+    long, blocks = S.materialize(X.tfidf(docs), "weights"), B.tfidf_blocks(docs)
+    assert blocks.table.count() > 5
+    for describe in (K.cluster_terms, K.representative_documents, K.cohesion, K.silhouette, K.cluster_quality):
+        found = [sorted((tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in describe(w, labels).collect()), key=repr) for w in (long, blocks)]
+        assert found[0] == found[1] and found[0], describe.__name__
+
+
+def test_only_terms_and_labels_of_blocks_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"one two three four word{i % 5}") for i in range(50)], "record_id int, content string")
+    labels = docs.selectExpr("record_id", "record_id % 3 AS cluster")
+    placed = K.members(B.tfidf_blocks(docs), labels)
+    with S.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = placed.table._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "weight" not in plan
