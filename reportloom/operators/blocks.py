@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
 from reportloom.functions.text import tokens
 from reportloom.operators.vectors import term_counts
-from reportloom.session import large_rows, materialize, materialize_buckets
+from reportloom.session import WRITES, large_rows, materialize, materialize_buckets, settings
 
 BLOCK_TOKENS = 2_000_000  # tokens of a block, about; a document is never split
 PART_CLUSTERS = 32  # clusters whose means meet a block at once
@@ -47,17 +47,23 @@ class WeightBlocks:
         return self.table.schema["docs"].dataType.elementType.simpleString()
 
 
-def _listed(docs: DataFrame, text: str, key: str, stop_words: Sequence[str]) -> DataFrame:
+MARK = "\u0001"  # between a group and its term; no character of a word
+
+
+def _listed(docs: DataFrame, text: str, key: str, stop_words: Sequence[str], group: Column | None) -> DataFrame:
     """(key, _terms, _tf) of every document with a term; a key of several rows is one document, its terms counted over all of them."""
     words = F.filter(tokens(text), lambda w: ~w.isin(*stop_words)) if stop_words else tokens(text)
     named = docs.select(key, text).filter(F.col(key).isNotNull())
-    plain = lambda rows: rows.select(key, words.alias("_terms"), F.lit(None).cast("array<long>").alias("_tf"))
-    if named.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    told = lambda terms: terms if group is None else F.transform(terms, lambda t: F.concat(group, F.lit(MARK), t))
+    plain = lambda rows: rows.select(key, told(words).alias("_terms"), F.lit(None).cast("array<long>").alias("_tf"))
+    with settings(docs.sparkSession, WRITES):
+        single = named.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    if single:
         return plain(named).filter(F.size("_terms") > 0)
     marked = named.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
     several = term_counts(marked.filter("_n > 1"), text, key, stop_words).groupBy(key).agg(
         F.collect_list(F.struct("term", "tf")).alias("_t")
-    ).select(key, F.transform("_t", lambda t: t["term"]).alias("_terms"), F.transform("_t", lambda t: t["tf"]).alias("_tf"))
+    ).select(key, told(F.transform("_t", lambda t: t["term"])).alias("_terms"), F.transform("_t", lambda t: t["tf"]).alias("_tf"))
     return plain(marked.filter("_n = 1")).unionByName(several).filter(F.size("_terms") > 0)
 
 
@@ -65,11 +71,11 @@ def _one(values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def term_blocks(docs: DataFrame, text: str, key: str, stop_words: Sequence[str], buckets: int, block_tokens: int | None = None) -> DataFrame:
+def term_blocks(docs: DataFrame, text: str, key: str, stop_words: Sequence[str], buckets: int, group: Column | None = None) -> DataFrame:
     """The sparse count matrix in blocks of documents, each with its own terms and the number of its documents that hold them."""
     schema = BLOCK.format(key=docs.schema[key].dataType.simpleString())
     names = [field.split(" ")[0] for field in schema.split(", ")]
-    most = block_tokens or BLOCK_TOKENS
+    most = BLOCK_TOKENS
 
     def block(at: int, parts: list) -> pa.RecordBatch:
         keys, sizes, flat, times = zip(*parts)
@@ -105,20 +111,21 @@ def term_blocks(docs: DataFrame, text: str, key: str, stop_words: Sequence[str],
         if parts:
             yield block(at, parts)
 
-    return materialize_buckets(_listed(docs, text, key, stop_words).mapInArrow(run, schema), "term-blocks", buckets, "block")
+    return materialize_buckets(_listed(docs, text, key, stop_words, group).mapInArrow(run, schema), "term-blocks", buckets, "block")
 
 
 def tfidf_blocks(
-    docs: DataFrame, text: str = "content", key: str = "record_id", stop_words: Sequence[str] = ENGLISH_STOP_WORDS, block_tokens: int | None = None,
+    docs: DataFrame, text: str = "content", key: str = "record_id", stop_words: Sequence[str] = ENGLISH_STOP_WORDS, group: Column | None = None,
 ) -> WeightBlocks:
     """The weights of ``tfidf`` with its defaults, without a row per document and term.
 
     Blocks are written once and stay where they are; only their distinct terms are shuffled, with the
     number of documents that hold them, and document frequencies go back. Rows without a key are one document that
-    counts among the documents, as in ``tfidf``, but has no weights.
+    counts among the documents, as in ``tfidf``, but has no weights. With a ``group``, a text made from the key, terms are told
+    apart by it, so frequencies count inside groups.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = term_blocks(docs, text, key, stop_words, buckets, block_tokens)
+    made = term_blocks(docs, text, key, stop_words, buckets, group)
     unkeyed = term_counts(docs.filter(F.col(key).isNull()), text, key, stop_words).select(
         F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("place"), "term", F.lit(1).alias("held"))
     placed = made.select("block", F.posexplode(F.arrays_zip("terms", "held")).alias("place", "t")).select(
@@ -144,17 +151,22 @@ def place_labels(blocks: WeightBlocks, labels: DataFrame) -> WeightBlocks:
     return replace(blocks, table=blocks.table.join(materialize_buckets(listed, "block-labels", blocks.buckets, "block"), "block"), placed=True)
 
 
-def _matrix(rows, k: int, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """(starts, sizes) of the documents of a block, (weights, columns) of their cells, and terms and keys."""
+def _cells(rows, k: int):
+    """(starts, sizes) of the documents of a block, (tf, columns) of their cells, and df, terms and keys."""
     terms, keys = (rows.column(c).slice(k, 1) for c in ("terms", "docs"))
     terms, keys = (pa.concat_arrays(x.chunks).flatten() if isinstance(x, pa.ChunkedArray) else x.flatten() for x in (terms, keys))
     ends = numbers(rows.column("ends")[k].as_py(), len(keys)).astype(np.int64)
     cells = int(ends[-1])
     columns = numbers(rows.column("columns")[k].as_py(), cells).astype(np.int64)
-    df = numbers(rows.column("df")[k].as_py(), len(terms))
-    weights = numbers(rows.column("tf")[k].as_py(), cells) * (np.log((n_docs + 1.0) / (df + 1.0)) + 1.0)[columns]
+    df = numbers(rows.column("df")[k].as_py(), len(terms)).astype(np.float64)
     starts = np.concatenate([[0], ends[:-1]])
-    sizes = ends - starts
+    return starts, ends - starts, numbers(rows.column("tf")[k].as_py(), cells), columns, df, terms, keys
+
+
+def _matrix(rows, k: int, n_docs: int):
+    """(starts, sizes) of the documents of a block, (weights, columns) of their cells, and terms and keys."""
+    starts, sizes, tf, columns, df, terms, keys = _cells(rows, k)
+    weights = tf * (np.log((n_docs + 1.0) / (df + 1.0)) + 1.0)[columns]
     weights /= np.repeat(np.sqrt(np.add.reduceat(weights * weights, starts)), sizes)
     return starts, sizes, weights, columns, terms, keys
 
@@ -270,3 +282,27 @@ def _nothing(kind) -> pa.Array:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return pa.array([], to_arrow_type(kind))
+
+
+def group_vocabulary(blocks: WeightBlocks) -> DataFrame:
+    """``(group, vocabulary)``: the number of terms of every group of blocks that tell terms apart by groups."""
+    terms = blocks.table.select(F.explode("terms").alias("t")).distinct()
+    before = F.length("t") - F.length(F.substring_index("t", MARK, -1)) - 1
+    return _written(terms.groupBy(F.substr("t", F.lit(1), before).alias("group")).agg(F.count("*").alias("vocabulary")), "group-vocabulary")
+
+
+def unit_sums(blocks: WeightBlocks, sizes: dict) -> DataFrame:
+    """``(cluster, sid, total)``: the summed unit weights of rows whose key is ``(cluster, sid)``, by frequencies inside a cluster of ``sizes`` rows."""
+    kind = blocks.table.schema["docs"].dataType.elementType["cluster"].dataType.simpleString()
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                starts, many, tf, columns, df, _, keys = _cells(batch, k)
+                coded = keys.field("cluster").dictionary_encode()
+                n = np.array([sizes[c] for c in coded.dictionary.to_pylist()], np.float64)[coded.indices.to_numpy()]
+                weights = tf * (np.log((np.repeat(n, many) + 1.0) / (df[columns] + 1.0)) + 1.0)
+                total = np.add.reduceat(weights, starts) / np.sqrt(np.add.reduceat(weights * weights, starts))
+                yield pa.RecordBatch.from_arrays([keys.field("cluster"), keys.field("sid"), pa.array(total)], names=["cluster", "sid", "total"])
+
+    return _written(blocks.table.mapInArrow(run, f"cluster {kind}, sid string, total double"), "unit-sums")

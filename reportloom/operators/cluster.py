@@ -11,10 +11,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reportloom.functions.constants import ENGLISH_STOP_WORDS
-from reportloom.functions.text import clean_text_for_modeling, split_sentences, tokens
+from reportloom.functions.text import clean_text_for_modeling, split_sentences
 from reportloom.operators import blocks as B
 from reportloom.operators.small import top_n_per_group, with_each
-from reportloom.operators.vectors import bm25, idf_weight, projected, tfidf, unit_length
+from reportloom.operators.vectors import bm25, projected, tfidf, unit_length
 from reportloom.operators.ward import MICRO, cluster_features, micro_clusters, ward_cuts, ward_merges
 from reportloom.session import materialize
 
@@ -448,34 +448,30 @@ def extractive_summary(
     """Highest scoring sentences of each cluster, up to a length, with source.
 
     The score is the mean TF-IDF weight of a sentence over the vocabulary of its
-    cluster. Equal sentences share their term counts, so each is weighted once.
+    cluster. Equal sentences share their term counts, so each is weighted once. Texts move once, to their labels;
+    sentences are ranked by their numbers and only the chosen ones are read again.
     """
-    sentences = split_sentences(docs, text, [key]).join(labels, key).select(
-        "cluster", key, "sentence_idx", "sentence",
+    labelled = docs.select(key, text).join(labels.select(key, "cluster"), key)
+    sentences = materialize(split_sentences(labelled, text, [key, "cluster"]).select(
+        F.monotonically_increasing_id().alias("_row"), "cluster", key, "sentence_idx", "sentence",
         F.concat_ws("|", key, "sentence_idx").alias("sid"),
-    )
-    words = F.filter(tokens("sentence"), lambda w: ~w.isin(*stop_words))
-    counts = sentences.select("cluster", "sid", F.explode(words).alias("term")).groupBy(
-        "cluster", "sid", "term"
-    ).agg(F.count("*").alias("tf"))
-    n_docs = sentences.groupBy("cluster").agg(F.count("*").alias("n_docs"))
-    df = counts.groupBy("cluster", "term").agg(F.count("*").alias("df"))
-    width = df.groupBy("cluster").agg(F.count("*").alias("vocabulary"))
-    # The sizes are a row per cluster; a join by cluster would bring a whole cluster to one task.
-    weighted = counts.join(df, ["cluster", "term"]).join(F.broadcast(n_docs), "cluster").withColumn(
-        "w", F.col("tf") * idf_weight("smooth")
-    )
-    scores = weighted.groupBy("cluster", "sid").agg(
-        (F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("total")
-    ).join(F.broadcast(width), "cluster").select(
+    ), "sentences")
+    known = sentences.filter(F.col("cluster").isNotNull())
+    # A row per cluster.
+    sizes = {r["cluster"]: r["n"] for r in known.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    blocks = B.tfidf_blocks(known.select(F.struct("cluster", "sid").alias("_of"), "sentence"), "sentence", "_of", stop_words, F.col("_of.cluster").cast("string"))
+    width = B.group_vocabulary(blocks)
+    scores = B.unit_sums(blocks, sizes).withColumn("group", F.col("cluster").cast("string")).join(F.broadcast(width), "group").select(
         "cluster", "sid", F.round(F.col("total") / F.col("vocabulary"), 10).alias("score")
     )
-    ranked = sentences.join(scores, ["cluster", "sid"], "left").na.fill(0.0, ["score"])
+    lean = sentences.select("_row", "cluster", key, "sentence_idx", "sid", F.length("sentence").alias("_chars"))
+    ranked = materialize(lean.join(scores, ["cluster", "sid"], "left").na.fill(0.0, ["score"]).drop("sid"), "ranked")
     chosen = within_budget(
-        ranked, "cluster", F.length("sentence"), max_length,
+        ranked, "cluster", F.col("_chars"), max_length,
         F.desc("score"), F.asc(key), F.asc("sentence_idx"),
     )
-    return chosen.select("cluster", "position", key, "sentence", "score")
+    # Their lengths keep to the budget, so few rows a cluster travel to the texts.
+    return sentences.select("_row", "sentence").join(F.broadcast(chosen), "_row").select("cluster", "position", key, "sentence", "score")
 
 
 def size_defaults(docs: DataFrame) -> DataFrame:

@@ -96,3 +96,31 @@ def test_only_terms_and_labels_of_blocks_are_shuffled(spark):
     with S.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         plan = placed.table._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "weight" not in plan
+
+
+def test_a_summary_ranks_sentences_without_moving_their_words(spark, monkeypatch):
+    """Keys that repeat, several, null or no labels; scores as counted in plain Python, one table of texts and no row per sentence and term."""
+    import math
+    import re
+    from collections import Counter
+
+    rows = [(1, "Alpha beta beta. Gamma ran. Ran again"), (2, "Alpha gamma. Delta delta epsilon"), (2, "Beta alpha. Zeta"), (3, "Theta iota. Of the."), (4, "Alpha"), (5, None), (None, "Lost words")]
+    labels = [(1, 0), (2, 0), (2, 1), (3, 1), (3, 1), (4, None), (9, 1)]
+    docs, given = spark.createDataFrame(rows, "record_id int, content string"), spark.createDataFrame(labels, "record_id int, cluster int")
+    monkeypatch.setattr(B, "BLOCK_TOKENS", 4)
+    written, real = [], K.materialize
+    monkeypatch.setattr(K, "materialize", lambda df, name, **o: written.append((name, df.columns)) or real(df, name, **o))
+    found = [(r.cluster, r.record_id, r.sentence, round(r.score, 8)) for r in K.extractive_summary(docs, given, 1000, stop_words=["of", "the"]).collect()]
+    assert written and all("term" not in columns for _, columns in written) and sum("sentence" in columns for _, columns in written) == 1
+
+    sentences = [(c, k, i, s) for k, t in rows for l, c in labels if k == l and t for i, s in enumerate(re.split(r"(?<=[.])\s+(?=[A-Z])", t))]
+    tf, df, score = {}, Counter(), {}
+    for c, k, i, s in sentences:
+        tf.setdefault((c, k, i), Counter()).update(w for w in re.findall(r"\w{2,}", s.lower()) if w not in ("of", "the"))
+    for (c, _, _), terms in tf.items():
+        df.update((c, t) for t in terms)
+    n, width = Counter(c for c, *_ in sentences), Counter(c for c, _ in df)
+    for (c, k, i), terms in tf.items():
+        w = [m * (math.log((n[c] + 1) / (df[c, t] + 1)) + 1) for t, m in terms.items()]
+        score[c, k, i] = sum(w) / math.sqrt(sum(x * x for x in w)) / width[c] if w and c is not None else 0.0
+    assert sorted(found, key=repr) == sorted(((c, k, s, round(score[c, k, i], 8)) for c, k, i, s in sentences), key=repr)
